@@ -42,8 +42,10 @@ def parse_int(text: Column) -> Column:
 
 
 def clamp(x: Column, low, high) -> Column:
-    """Clamp that lets NaN through; Spark alone would order NaN highest."""
-    return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+    """Clamp that lets NaN and NULL through; Spark's ``least`` and ``greatest``
+    alone order NaN highest and skip NULL."""
+    within = F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    return F.when(F.isnan(x) | x.isNull(), x).otherwise(within)
 
 
 def _bad(text: Column, value: Column) -> Column:
