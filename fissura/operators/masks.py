@@ -148,7 +148,7 @@ def merge_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     touches = F.lag("x1").over(scanline) == F.col("x0")
     return (
         pieces.withColumn("new", F.when(touches, 0).otherwise(1))
-        .withColumn("run", F.sum("new").over(scanline))
+        .withColumn("run", F.sum("new").over(scanline.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*keys, "y", "run")
         .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
         .drop("run")

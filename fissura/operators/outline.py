@@ -12,10 +12,11 @@ border scanline, and for images taller than a strip a second step links the
 border gaps alone. Two shuffles at most, whatever the shape of the mask.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,40 +46,40 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _strip_gaps(key: tuple, runs: pa.Table) -> pa.Table:
-    """Gaps between the runs of one strip, by component, enclosed or not.
+def _gaps_of(runs: pa.Table) -> pa.Table:
+    """Gaps between the runs of whole strips, by component, enclosed or not.
 
-    ``key`` is the image's key columns, the strip and its number of rows.
+    ``runs`` is sorted by image, strip, ``y`` and ``x0``. All its strips are
+    handled in the same array operations.
     """
-    strip, rows = (k.as_py() for k in key[-2:])
-    y, x0, x1 = (runs.column(c).to_numpy() for c in ("y", "x0", "x1"))
-    order = np.lexsort((x0, y))
-    y, x0, x1 = y[order], x0[order].astype(np.int64), x1[order].astype(np.int64)
+    image = runs.column("image_id").to_numpy()
+    strip, rows, y, x0, x1 = (
+        runs.column(c).to_numpy().astype(np.int64) for c in ("strip", "rows", "y", "x0", "x1")
+    )
+    in_strip = np.r_[False, (image[1:] == image[:-1]) & (strip[1:] == strip[:-1])]
+    in_line = in_strip & np.r_[False, y[1:] == y[:-1]]
 
-    # Scanlines with runs, numbered in order; gaps lie between two runs of one.
-    first = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+    # Scanlines with runs, numbered in order; a gap lies between two runs of one.
+    first = np.flatnonzero(~in_line)
     last = np.r_[first[1:], len(y)] - 1
-    line_y = y[first]
-    line = np.repeat(np.arange(len(first)), last - first + 1)
-    left = np.flatnonzero(y[1:] == y[:-1])
-    g_line, g0, g1 = line[left], x1[left], x0[left + 1]
-    g_y = y[left]
+    line = np.cumsum(~in_line) - 1
+    group = np.cumsum(~in_strip)[first]
+    left = np.flatnonzero(in_line) - 1
+    g_line, g_y, g0, g1 = line[left], y[left], x1[left], x0[left + 1]
 
     # Node 0 is the outside. A scanline without runs is all outside, unless it
     # belongs to the neighbouring strip, which decides about it.
     escapes = np.zeros(len(left), dtype=bool)
-    for step, foreign in (
-        (-1, (g_y == strip * rows) & (strip > 0)),
-        (1, g_y == (strip + 1) * rows),
-    ):
+    top = strip[left] * rows[left]
+    for step, foreign in ((-1, (g_y == top) & (top > 0)), (1, g_y == top + rows[left])):
         other = np.clip(g_line + step, 0, len(first) - 1)
-        present = line_y[other] == g_y + step
+        present = (group[other] == group[g_line]) & (y[first[other]] == g_y + step)
         beside = (g0 < x0[first[other]]) | (g1 > x1[last[other]])
         escapes |= ~foreign & (~present | beside)
 
     # Gaps of the next scanline that overlap a gap are consecutive.
     span = np.int64(1) << 32
-    below = np.flatnonzero(np.isin(line_y[g_line] + 1, line_y))
+    below = np.flatnonzero(present)
     lo = np.searchsorted(g_line * span + g1, (g_line[below] + 1) * span + g0[below], "right")
     hi = np.searchsorted(g_line * span + g0, (g_line[below] + 1) * span + g1[below], "left")
     n_edges = np.maximum(hi - lo, 0)
@@ -91,14 +92,36 @@ def _strip_gaps(key: tuple, runs: pa.Table) -> pa.Table:
         np.r_[targets + 1, np.zeros_like(escaped)],
     )[1:]
 
-    kept = runs.column_names[: len(key) - 1]
-    columns = {c: pa.repeat(k, len(left)) for c, k in zip(kept, key)}
-    columns["y"] = pa.array(g_y, pa.int32())
-    columns["x0"] = pa.array(g0, pa.int32())
-    columns["x1"] = pa.array(g1, pa.int32())
-    columns["part"] = pa.array(part, pa.int64())
-    columns["enclosed"] = pa.array(part != 0)
-    return pa.table(columns)
+    columns = runs.select([c for c in runs.column_names if c not in ("rows", "x0", "x1")]).take(left)
+    for name, values in (("x0", g0), ("x1", g1)):
+        columns = columns.append_column(name, pa.array(values, pa.int32()))
+    return columns.append_column("part", pa.array(part)).append_column(
+        "enclosed", pa.array(part != 0)
+    )
+
+
+def _gap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply ``_gaps_of`` to a sorted partition, never splitting a strip."""
+
+    def strip_of(batch, i):
+        return batch.column("image_id")[i], batch.column("strip")[i]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        end = strip_of(batch, -1)
+        ends = pc.and_(pc.equal(batch.column("image_id"), end[0]), pc.equal(batch.column("strip"), end[1]))
+        cut = batch.num_rows - pc.sum(ends).as_py()
+        if cut == 0 and held and strip_of(held[0], 0) == end:
+            held.append(batch)
+            continue
+        done = [b for b in (*held, batch.slice(0, cut)) if b.num_rows]
+        held = [batch.slice(cut)]
+        if done:
+            yield from _gaps_of(pa.Table.from_batches(done)).to_batches()
+    if held:
+        yield from _gaps_of(pa.Table.from_batches(held)).to_batches()
 
 
 def _open_parts(key: tuple, gaps: pa.Table) -> pa.Table:
@@ -145,7 +168,12 @@ def enclosed_gaps(
             T.StructField("enclosed", T.BooleanType()),
         ]
     )
-    gaps = strips.groupBy(*keys, "strip", "rows").applyInArrow(_strip_gaps, layout)
+    # Sorted, so that a task streams through its strips one after the other.
+    gaps = (
+        strips.repartition("image_id", "strip")
+        .sortWithinPartitions("image_id", "strip", "y", "x0")
+        .mapInArrow(_gap_batches, layout)
+    )
     result = [*keys, "y", "x0", "x1"]
 
     tall = F.col("height") > rows
@@ -172,47 +200,41 @@ def boundary_words(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     Every word hands its bits to the places above and below and its end bits to
     the words beside it; one aggregation then has all five views of a word.
     """
-    y, w, bits = F.col("y"), F.col("w"), F.col("bits")
-    zero = F.lit(0).cast("bigint")
-
-    def view(slot, dy, dw, value):
-        return F.struct(
-            F.lit(slot).alias("slot"), (y + dy).alias("y"), (w + dw).alias("w"), value.alias("bits")
-        )
-
-    first_bit = bits.bitwiseAND(F.lit(1).cast("bigint"))
-    last_bit = F.call_function("shiftright", bits, F.lit(WORD - 1))
-    views = F.explode(
-        F.filter(
-            F.array(
-                view("own", 0, 0, bits),
-                view("above", 1, 0, bits),
-                view("below", -1, 0, bits),
-                view("left", 0, 1, last_bit),
-                view("right", 0, -1, first_bit * (1 << (WORD - 1))),
-            ),
-            lambda v: v["bits"] != 0,
-        )
-    )
-
-    def gathered(slot):
-        return F.bit_or(F.when(F.col("slot") == slot, bits).otherwise(zero)).alias(slot)
-
-    own = F.col("own")
+    y, w, bits, view = F.col("y"), F.col("w"), F.col("bits"), F.col("view")
+    own, above, below, left, right = range(5)
+    seen_at = {
+        "y": y + F.when(view == above, 1).when(view == below, -1).otherwise(0),
+        "w": w + F.when(view == left, 1).when(view == right, -1).otherwise(0),
+        "bits": F.when(view == left, F.call_function("shiftright", bits, F.lit(WORD - 1)))
+        .when(view == right, (bits % 2) * (1 << (WORD - 1)))
+        .otherwise(bits),
+    }
+
+    def gathered(of):
+        return F.bit_or(F.when(view == of, bits).otherwise(F.lit(0).cast("bigint")))
+
+    here = F.col("own")
     inner = (
         F.col("above")
         .bitwiseAND(F.col("below"))
-        .bitwiseAND((own * 2).bitwiseAND(F.lit(FULL_WORD)).bitwiseOR(F.col("left")))
-        .bitwiseAND(F.call_function("shiftright", own, F.lit(1)).bitwiseOR(F.col("right")))
+        .bitwiseAND((here * 2).bitwiseAND(F.lit(FULL_WORD)).bitwiseOR(F.col("left")))
+        .bitwiseAND(F.call_function("shiftright", here, F.lit(1)).bitwiseOR(F.col("right")))
     )
     return (
         runs_to_words(runs)
-        .withColumn("view", views)
-        .select(*keys, "view.*")
+        .withColumn("view", F.explode(F.array(*(F.lit(v) for v in range(5)))))
+        .withColumns(seen_at)
+        .filter("bits != 0")
         .groupBy(*keys, "y", "w")
-        .agg(*(gathered(s) for s in ("own", "above", "below", "left", "right")))
+        .agg(
+            gathered(own).alias("own"),
+            gathered(above).alias("above"),
+            gathered(below).alias("below"),
+            gathered(left).alias("left"),
+            gathered(right).alias("right"),
+        )
         .filter("own != 0")
-        .select(*keys, "y", "w", own.bitwiseAND(F.bitwise_not(inner)).alias("bits"))
+        .select(*keys, "y", "w", here.bitwiseAND(F.bitwise_not(inner)).alias("bits"))
         .filter("bits != 0")
     )
 
