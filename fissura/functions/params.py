@@ -21,6 +21,7 @@ FLOAT_PATTERN = (
     r"|(?i:inf|infinity|nan)))\s*$"
 )
 INT_PATTERN = rf"^\s*([+-]?{_DIGITS})\s*$"
+COLOUR_PATTERN = "^" + ",".join([rf"\s*([+-]?{_DIGITS})\s*"] * 3) + "$"
 
 
 def _number(text: Column, pattern: str) -> Column:
@@ -91,14 +92,18 @@ def parse_colour(text: Column, mode: str = "lenient") -> Column:
 
     Anything but three whole numbers is NULL, or an error in strict mode.
     """
-    channels = F.transform(
-        F.split(text, ",", -1), lambda p: clamp(parse_int(p), 0.0, 255.0).cast("int")
+    channels = (
+        clamp(
+            F.regexp_replace(F.regexp_extract(text, COLOUR_PATTERN, i), "_", "").try_cast("double"),
+            0.0,
+            255.0,
+        )
+        .cast("int")
+        .alias(n)
+        for i, n in enumerate("bgr", start=1)
     )
-    valid = (F.size(channels) == 3) & F.forall(channels, lambda c: c.isNotNull())
-    colour = F.struct(*(channels[i].alias(n) for i, n in enumerate("bgr")))
-    parsed = F.when(F.coalesce(valid, F.lit(False)), colour)
+    valid = text.rlike(COLOUR_PATTERN)
+    parsed = F.when(valid, F.struct(*channels))
     if mode == "lenient":
         return parsed
-    return F.when(text.isNotNull() & parsed.isNull(), F.raise_error(F.lit(COLOUR_MESSAGE))).otherwise(
-        parsed
-    )
+    return F.when(~valid, F.raise_error(F.lit(COLOUR_MESSAGE))).otherwise(parsed)

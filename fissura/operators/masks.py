@@ -28,6 +28,7 @@ MASK_THRESHOLD = 0.5
 # them costs nothing and saves joining the size back.
 IMAGE = ("image_id", "height", "width")
 IMAGE_AND_OUTLINE = (*IMAGE, "outline")
+_OF_IMAGE = ("height", "width", "outline", "mask_h", "mask_w")
 
 
 def float_lit(value: float) -> Column:
@@ -59,35 +60,6 @@ def malformed(detections: DataFrame) -> DataFrame:
     )
 
 
-def instance_runs(
-    detections: DataFrame,
-    threshold: float = MASK_THRESHOLD,
-    keys: Sequence[str] = ("image_id", "instance_id"),
-) -> DataFrame:
-    """Runs of each instance mask. Row-local: no shuffle.
-
-    A run starts at a set pixel whose left neighbour is unset or on another
-    scanline; its end is the first unset pixel in the rest of the scanline.
-    """
-    flags = F.transform("scores", lambda s: F.coalesce(_is_set(s, threshold), F.lit(False)))
-    starts = (
-        detections.select(*keys, "mask_w", flags.alias("flags"))
-        .select(*keys, "mask_w", "flags", F.posexplode("flags").alias("p", "on"))
-        .withColumn("x0", F.col("p") % F.col("mask_w"))
-        .filter("on and (x0 = 0 or not get(flags, p - 1))")
-    )
-    rest = F.slice("flags", F.col("p") + 1, F.col("mask_w") - F.col("x0"))
-    length = F.array_position(rest, False) - 1
-    return starts.select(
-        *keys,
-        F.expr("p div mask_w").cast("int").alias("y"),
-        "x0",
-        (F.col("x0") + F.when(length >= 0, length).otherwise(F.size(rest)))
-        .cast("int")
-        .alias("x1"),
-    )
-
-
 def score_words(
     detections: DataFrame,
     threshold: float = MASK_THRESHOLD,
@@ -112,6 +84,15 @@ def score_words(
     ).agg(F.bit_or(_bit(F.col("x") % WORD)).alias("bits"))
 
 
+def instance_runs(
+    detections: DataFrame,
+    threshold: float = MASK_THRESHOLD,
+    keys: Sequence[str] = ("image_id", "instance_id"),
+) -> DataFrame:
+    """Runs of each instance mask on its own."""
+    return merge_pieces(words_to_pieces(score_words(detections, threshold, keys)), keys)
+
+
 def union_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     return words.groupBy(*keys, "y", "w").agg(F.bit_or("bits").alias("bits"))
 
@@ -144,7 +125,9 @@ def runs_to_words(runs: DataFrame) -> DataFrame:
 
 def merge_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join disjoint pieces that touch into maximal runs, per key and scanline."""
-    scanline = Window.partitionBy(*keys, "y").orderBy("x0")
+    # What depends on the image alone need not take part in the sort.
+    identity = [k for k in keys if k not in _OF_IMAGE]
+    scanline = Window.partitionBy(*identity, "y").orderBy("x0")
     touches = F.lag("x1").over(scanline) == F.col("x0")
     return (
         pieces.withColumn("new", F.when(touches, 0).otherwise(1))

@@ -14,7 +14,12 @@ from pyspark.sql.functions import arrow_udf
 
 
 def scanlines(images: DataFrame) -> DataFrame:
-    """One row per scanline of each image, other columns kept."""
+    """One row per scanline of each image, other columns kept.
+
+    Cut in generated code, which reads ``data`` once per image. Shuffle the
+    result before passing it to Python, as ``paint`` does: fused with a Python
+    stage, each row would be buffered with the whole image.
+    """
     kept = [c for c in images.columns if c not in ("data", "y", "line")]
     stride = F.col("width") * F.col("n_channels")
     return (
@@ -53,8 +58,7 @@ def _covered(runs: pa.Array, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edges[:total]) > 0)
 
 
-@arrow_udf(T.BinaryType())
-def bgr_line(line: pa.Array, n_channels: pa.Array) -> pa.Array:
+def _as_bgr(line: pa.Array, n_channels: pa.Array) -> pa.Array:
     """Grey and alpha scanlines as plain B,G,R; B,G,R is passed on."""
     kinds = n_channels.to_numpy(zero_copy_only=False)
     if (kinds == 3).all():
@@ -68,15 +72,20 @@ def bgr_line(line: pa.Array, n_channels: pa.Array) -> pa.Array:
 
 @arrow_udf(T.BinaryType())
 def paint_line(
-    bgr: pa.Array, fill: pa.Array, outline: pa.Array, alpha: pa.Array, colour: pa.Array
+    line: pa.Array,
+    n_channels: pa.Array,
+    fill: pa.Array,
+    drawn: pa.Array,
+    alpha: pa.Array,
+    colour: pa.Array,
 ) -> pa.Array:
-    data, at = _bytes_of(bgr)
+    data, at = _bytes_of(_as_bgr(line, n_channels))
     first = at // 3
     source = data.reshape(-1, 3)
     painted = source.copy()
     a = alpha.to_numpy(zero_copy_only=False)
     c = np.stack([colour.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-    row = np.repeat(np.arange(len(bgr)), np.diff(first))
+    row = np.repeat(np.arange(len(line)), np.diff(first))
 
     inside = _covered(fill, first)
     weight = a[row[inside], None]
@@ -84,31 +93,36 @@ def paint_line(
     mixed = np.rint(source[inside] * (1 - weight) + c[row[inside]] * weight)
     painted[inside] = np.clip(np.nan_to_num(mixed), 0, 255).astype(np.uint8)
 
-    drawn = _covered(outline, first)
-    painted[drawn] = c[row[drawn]]
+    edge = _covered(drawn, first)
+    painted[edge] = c[row[edge]]
     return _binary(painted, at)
 
 
-def by_scanline(runs: DataFrame, name: str) -> DataFrame:
-    """Runs of a scanline as one array of at most half the image's width."""
-    return runs.groupBy("image_id", "y").agg(F.collect_list(F.struct("x0", "x1")).alias(name))
+def runs_by_scanline(fill: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Both kinds of runs of a scanline as arrays, at most half its width each."""
+    run, filled = F.struct("x0", "x1").alias("run"), F.col("filled")
+    return (
+        fill.select("image_id", "y", run, F.lit(True).alias("filled"))
+        .unionByName(drawn.select("image_id", "y", run, F.lit(False).alias("filled")))
+        .groupBy("image_id", "y")
+        .agg(
+            F.collect_list(F.when(filled, F.col("run"))).alias("fill"),
+            F.collect_list(F.when(~filled, F.col("run"))).alias("drawn"),
+        )
+    )
 
 
-def paint(lines: DataFrame, fill: DataFrame, outline: DataFrame) -> DataFrame:
+def paint(lines: DataFrame, fill: DataFrame, drawn: DataFrame) -> DataFrame:
     """Overlay scanlines ``image_id, y, bgr``.
 
     ``lines`` carries ``alpha`` and ``colour``. Scanlines without runs keep
-    their pixels.
+    their pixels. The join hashes the runs, a fraction of the pixels they are
+    painted on, so that the pixels are shuffled once and never sorted.
     """
-    bgr = bgr_line("line", "n_channels")
-    return (
-        lines.join(by_scanline(fill, "fill"), ["image_id", "y"], "left")
-        .join(by_scanline(outline, "drawn"), ["image_id", "y"], "left")
-        .select(
-            "image_id",
-            "y",
-            paint_line(bgr, "fill", "drawn", "alpha", "colour").alias("bgr"),
-        )
+    runs = runs_by_scanline(fill, drawn).hint("shuffle_hash")
+    painted = paint_line("line", "n_channels", "fill", "drawn", "alpha", "colour")
+    return lines.join(runs, ["image_id", "y"], "left").select(
+        "image_id", "y", painted.alias("bgr")
     )
 
 

@@ -9,7 +9,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,13 @@ from fissura.schemas import SCORED
 DEFAULT_IMGSZ = 640
 FAILED = "Inference failed: "
 
+# Score values a task holds back before it hands a batch on.
+_OUTPUT_CELLS = 1 << 24
+
+_SCORED_TYPES = (
+    pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.string(),
+)
+
 _LOADED: dict = {}
 
 
@@ -49,6 +56,13 @@ def _as_bgr(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray
     return np.repeat(image, 3, axis=2) if n_channels == 1 else image[:, :, :3]
 
 
+def _scored_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, _SCORED_TYPES)], [f.name for f in SCORED]
+    )
+
+
 def score_images(
     images: DataFrame,
     load: Callable,
@@ -61,27 +75,36 @@ def score_images(
     A ``conf`` column in ``images`` overrides the argument image by image.
     Failures are caught per image, so one bad file never fails a task.
     """
-    needed = ["image_id", "height", "width", "n_channels", "data"]
     threshold = F.col("conf") if "conf" in images.columns else F.lit(conf)
-    columns = [f.name for f in SCORED]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def instances(row: dict) -> list[tuple]:
+        model = model_of(load, weights)
+        image = _as_bgr(row["data"], row["height"], row["width"], row["n_channels"])
+        found = model(image, row["conf"], imgsz)
+        masks = [(float(c), np.asarray(m, np.float32)) for c, m in found]
+        return [
+            (row["image_id"], i, c, *m.shape, m.ravel(), None) for i, (c, m) in enumerate(masks)
+        ]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            rows, cells = [], 0
+            for row in batch.to_pylist():
                 try:
-                    model = model_of(load, weights)
-                    image = _as_bgr(row.data, row.height, row.width, row.n_channels)
-                    found = [
-                        (row.image_id, i, np.float32(c), *np.shape(m), np.ravel(m).astype(np.float32), None)
-                        for i, (c, m) in enumerate(model(image, row.conf, imgsz))
-                    ]
+                    found = instances(row)
                 except Exception as exc:
-                    found = [(row.image_id, None, None, None, None, None, f"{FAILED}{exc}")]
-                yield pd.DataFrame(found, columns=columns).astype(
-                    {"instance_id": "Int64", "mask_h": "Int32", "mask_w": "Int32", "conf": "Float32"}
-                )
-
-    return images.select(*needed, threshold.alias("conf")).mapInPandas(score, SCORED)
+                    found = [(row["image_id"], None, None, None, None, None, f"{FAILED}{exc}")]
+                rows += found
+                cells += sum(len(r[5]) for r in found if r[5] is not None)
+                if cells > _OUTPUT_CELLS:
+                    yield _scored_batch(rows)
+                    rows, cells = [], 0
+            if rows:
+                yield _scored_batch(rows)
+
+    return images.select(
+        "image_id", "height", "width", "n_channels", "data", threshold.alias("conf")
+    ).mapInArrow(score, SCORED)
 
 
 def split_scored(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -66,10 +66,12 @@ def overlay(
     """Overlay of every decodable image, damaged or not.
 
     ``images`` may carry ``conf``, ``alpha``, ``outline`` and ``colour``
-    columns; ``params`` stands in for those it lacks.
+    columns; ``params`` stands in for those it lacks. The mask is written to
+    shared storage when this is called: filling, outlining and painting all
+    read it, and it is a small part of the scores it comes from.
     """
     images = with_params(images, params)
-    fill = fitted_mask(images, detections, params)
+    fill = durable(fitted_mask(images, detections, params), "mask")
     edge = outline.thick_outline_runs(fill)
     kept = ("image_id", "height", "width", "n_channels", "alpha", "colour", "data")
     lines = paint.paint(paint.scanlines(images.select(*kept)), fill, edge)
