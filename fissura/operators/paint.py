@@ -112,18 +112,26 @@ def runs_by_scanline(fill: DataFrame, drawn: DataFrame) -> DataFrame:
     )
 
 
-def paint(lines: DataFrame, fill: DataFrame, drawn: DataFrame) -> DataFrame:
+def paint(
+    lines: DataFrame, fill: DataFrame, drawn: DataFrame, skipped: DataFrame | None = None
+) -> DataFrame:
     """Overlay scanlines ``image_id, y, bgr``.
 
     ``lines`` carries ``alpha`` and ``colour``. Scanlines without runs keep
-    their pixels. The join hashes the runs, a fraction of the pixels they are
-    painted on, so that the pixels are shuffled once and never sorted.
+    their pixels; images in ``skipped`` (``image_id, height``) are left out.
+    The join hashes the runs, a fraction of the pixels they are painted on, so
+    that the pixels are shuffled once and never sorted.
     """
-    runs = runs_by_scanline(fill, drawn).hint("shuffle_hash")
+    runs = runs_by_scanline(fill, drawn)
+    if skipped is not None:
+        every_line = F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
+        gone = skipped.filter("height > 0").select("image_id", every_line, F.lit(True).alias("skip"))
+        runs = runs.unionByName(gone, allowMissingColumns=True)
+        lines = lines.join(runs.hint("shuffle_hash"), ["image_id", "y"], "left").filter("skip is null")
+    else:
+        lines = lines.join(runs.hint("shuffle_hash"), ["image_id", "y"], "left")
     painted = paint_line("line", "n_channels", "fill", "drawn", "alpha", "colour")
-    return lines.join(runs, ["image_id", "y"], "left").select(
-        "image_id", "y", painted.alias("bgr")
-    )
+    return lines.select("image_id", "y", painted.alias("bgr"))
 
 
 def explode_pixels(lines: DataFrame) -> DataFrame:

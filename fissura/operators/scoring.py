@@ -26,7 +26,8 @@ FAILED = "Inference failed: "
 _OUTPUT_CELLS = 1 << 24
 
 _SCORED_TYPES = (
-    pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.string(),
+    *(pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.list_(pa.float32())),
+    *(pa.int32(), pa.int32(), pa.string()),
 )
 
 _LOADED: dict = {}
@@ -70,30 +71,35 @@ def score_images(
     conf: float = DEFAULT_CONF,
     imgsz: int = DEFAULT_IMGSZ,
 ) -> DataFrame:
-    """One row per detected instance; one row with ``error`` per failed image.
+    """Detections of every image, and one row per image with its size.
 
     A ``conf`` column in ``images`` overrides the argument image by image.
-    Failures are caught per image, so one bad file never fails a task.
+    Failures are caught per image and land in the ``error`` of its row, so one
+    bad file never fails a task.
     """
     threshold = F.col("conf") if "conf" in images.columns else F.lit(conf)
-
-    def instances(row: dict) -> list[tuple]:
-        model = model_of(load, weights)
-        image = _as_bgr(row["data"], row["height"], row["width"], row["n_channels"])
-        found = model(image, row["conf"], imgsz)
-        masks = [(float(c), np.asarray(m, np.float32)) for c, m in found]
-        return [
-            (row["image_id"], i, c, *m.shape, m.ravel(), None) for i, (c, m) in enumerate(masks)
+    blank = (None,) * 5
+
+    def rows_of(row: dict) -> list[tuple]:
+        size = (row["height"], row["width"])
+        try:
+            model = model_of(load, weights)
+            image = _as_bgr(row["data"], *size, row["n_channels"])
+            found = [
+                (float(c), np.asarray(m, np.float32)) for c, m in model(image, row["conf"], imgsz)
+            ]
+        except Exception as exc:
+            return [(row["image_id"], *blank, *size, f"{FAILED}{exc}")]
+        return [(row["image_id"], *blank, *size, None)] + [
+            (row["image_id"], i, c, *m.shape, m.ravel(), *size, None)
+            for i, (c, m) in enumerate(found)
         ]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, cells = [], 0
             for row in batch.to_pylist():
-                try:
-                    found = instances(row)
-                except Exception as exc:
-                    found = [(row["image_id"], None, None, None, None, None, f"{FAILED}{exc}")]
+                found = rows_of(row)
                 rows += found
                 cells += sum(len(r[5]) for r in found if r[5] is not None)
                 if cells > _OUTPUT_CELLS:
@@ -107,19 +113,28 @@ def score_images(
     ).mapInArrow(score, SCORED)
 
 
-def split_scored(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Detections, and ``image_id, error`` of the images that failed.
+def detections_of(scored: DataFrame) -> DataFrame:
+    """The detections. Like the other readers of ``scored``, give it a written
+    table, so that the model runs once."""
+    return scored.filter("instance_id is not null").drop("height", "width", "error")
 
-    Both read ``scored``; pass a written table so the model runs once.
-    """
-    detections = scored.filter("error is null").drop("error")
-    return detections, scored.filter("error is not null").select("image_id", "error")
+
+def sizes_of(scored: DataFrame) -> DataFrame:
+    """``image_id, height, width`` of every image, known without decoding again."""
+    return scored.filter("instance_id is null").select("image_id", "height", "width")
+
+
+def errors_of(scored: DataFrame) -> DataFrame:
+    return scored.filter("error is not null").select("image_id", "error")
 
 
 def confident(detections: DataFrame, conf: float | DataFrame = DEFAULT_CONF) -> DataFrame:
     """Detections at or above the confidence, given once or per ``image_id``.
 
-    Spark orders NaN highest; here a NaN on either side never passes.
+    Spark orders NaN highest; here a NaN on either side never passes. The join
+    with limits per image is followed by a shuffle of its own: it frees Spark
+    to split an image with very many detections over several tasks, and spreads
+    them before they are counted or united.
     """
     known = detections.filter(~F.isnan("conf"))
     if isinstance(conf, DataFrame):
@@ -128,5 +143,6 @@ def confident(detections: DataFrame, conf: float | DataFrame = DEFAULT_CONF) ->
             known.join(limits.filter(~F.isnan("least_conf")), "image_id")
             .filter(F.col("conf") >= F.col("least_conf"))
             .drop("least_conf")
+            .repartition("image_id", "instance_id")
         )
     return known.filter("false" if np.isnan(conf) else F.col("conf") >= float_lit(conf))

@@ -61,20 +61,33 @@ def fitted_mask(images: DataFrame, detections: DataFrame, params: OverlayParams)
 
 
 def overlay(
-    images: DataFrame, detections: DataFrame, params: OverlayParams = OverlayParams()
+    images: DataFrame,
+    detections: DataFrame,
+    params: OverlayParams = OverlayParams(),
+    sizes: DataFrame | None = None,
+    failed: DataFrame | None = None,
 ) -> Overlay:
     """Overlay of every decodable image, damaged or not.
 
     ``images`` may carry ``conf``, ``alpha``, ``outline`` and ``colour``
-    columns; ``params`` stands in for those it lacks. The mask is written to
-    shared storage when this is called: filling, outlining and painting all
-    read it, and it is a small part of the scores it comes from.
+    columns; ``params`` stands in for those it lacks. ``sizes`` spares decoding
+    the images for their size, and images in ``failed`` get no overlay.
+
+    The mask is written to shared storage when this is called: filling,
+    outlining and painting all read it, and it is a small part of the scores it
+    comes from.
     """
     images = with_params(images, params)
-    fill = durable(fitted_mask(images, detections, params), "mask")
+    known = images
+    if sizes is not None:
+        known = images.drop("height", "width", "n_channels", "data").join(sizes, "image_id")
+    fill = durable(fitted_mask(known, detections, params), "mask")
     edge = outline.thick_outline_runs(fill)
     kept = ("image_id", "height", "width", "n_channels", "alpha", "colour", "data")
-    lines = paint.paint(paint.scanlines(images.select(*kept)), fill, edge)
+    skipped = None
+    if failed is not None:
+        skipped = failed.select("image_id").join(known.select("image_id", "height"), "image_id")
+    lines = paint.paint(paint.scanlines(images.select(*kept)), fill, edge, skipped)
     return Overlay(lines, fill, edge)
 
 
@@ -93,8 +106,9 @@ def run(
 ) -> DataFrame:
     """Score, paint and report ``images`` (with ``out_path``); returns the report.
 
-    Scores are written once to shared storage and every later branch reads
-    that table. Failed images get a report row and no overlay.
+    Images are decoded twice: to score them and to paint them. Scores are
+    written once to shared storage and every later branch reads that table.
+    Failed images get a report row and no overlay.
     """
     spark = images.sparkSession
     for column in ("image_id", "out_path"):
@@ -102,9 +116,10 @@ def run(
             raise ValueError(f"{column} is not unique")
     scoring.ship_weights(spark, weights)
     scored = durable(scoring.score_images(images, load, weights, params.conf), "scored")
-    detections, errors = scoring.split_scored(scored)
-    good = images.join(errors.select("image_id"), "image_id", "left_anti")
-    write_scanlines(overlay(good, detections, params).lines, f"{out_dir}/overlay")
-    rows = report.report(images, selected(images, detections, params), errors)
+    detections, errors = scoring.detections_of(scored), scoring.errors_of(scored)
+    result = overlay(images, detections, params, scoring.sizes_of(scored), errors)
+    write_scanlines(result.lines, f"{out_dir}/overlay")
+    listed = images.drop("height", "width", "n_channels", "data")
+    rows = report.report(listed, selected(images, detections, params), errors)
     rows.write.mode("overwrite").parquet(f"{out_dir}/report")
     return spark.read.schema(rows.schema).parquet(f"{out_dir}/report")

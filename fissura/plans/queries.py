@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 from fissura.functions import names, params
 from fissura.operators import masks, outline, paint, report, scoring, validation
 from fissura.plans import fixtures as fx
-from fissura.plans.overlay import OverlayParams, fitted_mask, mask_words, overlay
+from fissura.plans.overlay import OverlayParams, fitted_mask, overlay
 from fissura.sources.images import scan_images
 from fissura.sources.sinks import write_image_files, write_scanlines
-from fissura.storage import new_dir
+from fissura.storage import durable, new_dir
 from fissura.streaming.ingest import image_stream, ingest
 
 SITE = OverlayParams(conf=0.35, threshold=0.1)
@@ -182,19 +182,18 @@ def detection_report(spark, sf_dir):
         "out_path", names.beside_input(F.col("path"))
     )
     scored = scoring.score_images(images, _channel_model, "none", 0.8)
-    detections, errors = scoring.split_scored(scored)
+    scored = durable(scored, "scored")
     rows = report.report(
         images.select("image_id", "path", "out_path"),
-        scoring.confident(detections, 0.8),
-        errors,
+        scoring.confident(scoring.detections_of(scored), 0.8),
+        scoring.errors_of(scored),
     )
     return rows.select("image_id", "num_instances", "out_path", "status", "message", "error")
 
 
 def scored_masks(spark, sf_dir):
     scored = scoring.score_images(fx.planes(spark, sf_dir), _channel_model, "none", 0.8)
-    detections, _ = scoring.split_scored(scored)
-    return masks.instance_runs(scoring.confident(detections, 0.8))
+    return masks.instance_runs(scoring.confident(scoring.detections_of(scored), 0.8))
 
 
 def result_pairs(spark, sf_dir):

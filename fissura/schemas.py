@@ -43,8 +43,16 @@ DETECTIONS = T.StructType(
     ]
 )
 
-# What the scorer emits: detections, or one row with only `error` filled.
-SCORED = T.StructType([*DETECTIONS.fields, T.StructField("error", T.StringType())])
+# What the scorer emits: per image one row with its size and perhaps an error
+# (`instance_id` is NULL), and one row per detection.
+SCORED = T.StructType(
+    [
+        *DETECTIONS.fields,
+        T.StructField("height", T.IntegerType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 RUN = T.StructType(
     [T.StructField("x0", T.IntegerType()), T.StructField("x1", T.IntegerType())]
