@@ -2,9 +2,9 @@
 
 *Outside* is the background that is 4-connected to a frame around the image;
 the outline is the mask pixels with a 4-neighbour outside. Background that the
-mask encloses, and mask parts inside it, get no outline. So: find the enclosed
-gaps, fill them, and keep the pixels of the filled shape that a cross-shaped
-erosion removes.
+mask encloses, and mask parts inside it, get no outline. So: fill the enclosed
+gaps, and keep the pixels of the filled shape that a cross-shaped erosion
+removes.
 
 Enclosed gaps are found per strip of scanlines: one task sees one strip of one
 image, never more than ``strip_pixels`` of it. Neighbouring strips share their
@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ from fissura.operators.masks import (
 )
 
 STRIP_PIXELS = 1 << 24
+_RUN = -1  # component number of a run, which is no gap
 
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node of each node's component, for ``n`` nodes and edges a-b."""
@@ -47,9 +48,9 @@ def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _gaps_of(runs: pa.Table) -> pa.Table:
-    """Gaps between the runs of whole strips, by component, enclosed or not.
+    """The runs of whole strips and the gaps between them, by component.
 
-    ``runs`` is sorted by image, strip, ``y`` and ``x0``. All its strips are
+    ``solid`` marks runs and the gaps they enclose. ``runs`` is sorted by image, strip, ``y`` and ``x0``. All its strips are
     handled in the same array operations.
     """
     image = runs.column("image_id").to_numpy()
@@ -92,11 +93,20 @@ def _gaps_of(runs: pa.Table) -> pa.Table:
         np.r_[targets + 1, np.zeros_like(escaped)],
     )[1:]
 
-    columns = runs.select([c for c in runs.column_names if c not in ("rows", "x0", "x1")]).take(left)
-    for name, values in (("x0", g0), ("x1", g1)):
-        columns = columns.append_column(name, pa.array(values, pa.int32()))
-    return columns.append_column("part", pa.array(part)).append_column(
-        "enclosed", pa.array(part != 0)
+    def rows_at(index, start, end, component):
+        kept = [c for c in runs.column_names if c not in ("rows", "x0", "x1")]
+        columns = runs.select(kept).take(index)
+        for name, values in (("x0", start), ("x1", end)):
+            columns = columns.append_column(name, pa.array(values, pa.int32()))
+        return columns.append_column("part", pa.array(component)).append_column(
+            "solid", pa.array(component != 0)
+        )
+
+    return pa.concat_tables(
+        [
+            rows_at(np.arange(len(y)), x0, x1, np.full(len(y), _RUN)),
+            rows_at(left, g0, g1, part),
+        ]
     )
 
 
@@ -132,13 +142,13 @@ def _open_parts(key: tuple, gaps: pa.Table) -> pa.Table:
     pdf = gaps.to_pandas()
     node = pdf.groupby(["strip", "part"]).ngroup().to_numpy() + 1
     place = pdf.groupby(["y", "x0"]).ngroup().to_numpy() + node.max() + 1
-    outside = node[~pdf["enclosed"].to_numpy()]
+    outside = node[~pdf["solid"].to_numpy()]
     root = connected(
         int(place.max()) + 1,
         np.r_[node, outside],
         np.r_[place, np.zeros_like(outside)],
     )
-    found = pdf.loc[(root[node] == 0) & pdf["enclosed"], ["strip", "part"]].drop_duplicates()
+    found = pdf.loc[(root[node] == 0) & pdf["solid"], ["strip", "part"]].drop_duplicates()
     return pa.table(
         {
             "image_id": pa.repeat(key[0], len(found)),
@@ -148,16 +158,30 @@ def _open_parts(key: tuple, gaps: pa.Table) -> pa.Table:
     )
 
 
-def enclosed_gaps(
-    runs: DataFrame, keys: Sequence[str] = IMAGE, strip_pixels: int = STRIP_PIXELS
+def _strip_rows(strip_pixels: int) -> Column:
+    return F.greatest(F.lit(1), F.expr(f"cast({strip_pixels} div width as int)"))
+
+
+def has_tall_images(runs: DataFrame, strip_pixels: int = STRIP_PIXELS) -> bool:
+    """Whether some image has more than one strip. Runs a job on ``runs``."""
+    return not runs.filter(F.col("height") > _strip_rows(strip_pixels)).isEmpty()
+
+
+def filled_runs(
+    runs: DataFrame,
+    keys: Sequence[str] = IMAGE,
+    strip_pixels: int = STRIP_PIXELS,
+    tall_images: bool = True,
 ) -> DataFrame:
-    """Background runs that the mask closes off from the frame."""
-    rows = F.greatest(F.lit(1), F.expr(f"cast({strip_pixels} div width as int)"))
+    """The mask with the background it closes off from the frame filled in.
+
+    A run and a gap it touches stay separate rows. ``tall_images=False`` leaves
+    out the step that links strips, for images known to have only one.
+    """
     shared = (F.col("y") % F.col("rows") == 0) & (F.col("y") > 0)
     own = F.expr("y div rows").cast("int")
     strips = (
-        runs.select(*keys, "y", "x0", "x1")
-        .withColumn("rows", rows)
+        runs.select(*keys, "y", "x0", "x1", _strip_rows(strip_pixels).alias("rows"))
         .withColumn("strip", F.explode(F.when(shared, F.array(own - 1, own)).otherwise(F.array(own))))
         .select(*keys, "strip", "rows", "y", "x0", "x1")
     )
@@ -165,29 +189,30 @@ def enclosed_gaps(
         [
             *strips.select(*keys, "strip", "y", "x0", "x1").schema,
             T.StructField("part", T.LongType()),
-            T.StructField("enclosed", T.BooleanType()),
+            T.StructField("solid", T.BooleanType()),
         ]
     )
     # Sorted, so that a task streams through its strips one after the other.
-    gaps = (
+    spans = (
         strips.repartition("image_id", "strip")
         .sortWithinPartitions("image_id", "strip", "y", "x0")
         .mapInArrow(_gap_batches, layout)
     )
     result = [*keys, "y", "x0", "x1"]
+    if not tall_images:
+        return spans.filter("solid").select(*result)
 
-    tall = F.col("height") > rows
-    low = gaps.filter(~tall & F.col("enclosed")).select(*result)
-
-    high = gaps.filter(tall).withColumn("rows", rows)
+    tall = F.col("height") > _strip_rows(strip_pixels)
+    low = spans.filter(~tall & F.col("solid")).select(*result)
+    high = spans.filter(tall).withColumn("rows", _strip_rows(strip_pixels))
     opened = (
-        high.filter(shared)
-        .select("image_id", "strip", "y", "x0", "part", "enclosed")
+        high.filter(shared & (F.col("part") != _RUN))
+        .select("image_id", "strip", "y", "x0", "part", "solid")
         .groupBy("image_id")
         .applyInArrow(_open_parts, "image_id bigint, strip int, part bigint")
     )
     closed = (
-        high.filter(F.col("enclosed") & (F.col("strip") == own))
+        high.filter(F.col("solid") & (F.col("strip") == own))
         .join(opened, ["image_id", "strip", "part"], "left_anti")
         .select(*result)
     )
@@ -240,24 +265,31 @@ def boundary_words(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def outline_words(
-    runs: DataFrame, keys: Sequence[str] = IMAGE, strip_pixels: int = STRIP_PIXELS
+    runs: DataFrame,
+    keys: Sequence[str] = IMAGE,
+    strip_pixels: int = STRIP_PIXELS,
+    tall_images: bool = True,
 ) -> DataFrame:
-    filled = runs.select(*keys, "y", "x0", "x1").unionByName(
-        enclosed_gaps(runs, keys, strip_pixels)
-    )
-    return boundary_words(filled, keys)
+    return boundary_words(filled_runs(runs, keys, strip_pixels, tall_images), keys)
 
 
 def outline_runs(
-    runs: DataFrame, keys: Sequence[str] = IMAGE, strip_pixels: int = STRIP_PIXELS
+    runs: DataFrame,
+    keys: Sequence[str] = IMAGE,
+    strip_pixels: int = STRIP_PIXELS,
+    tall_images: bool = True,
 ) -> DataFrame:
     """One-pixel outer outline of a mask, as runs."""
-    return merge_pieces(words_to_pieces(outline_words(runs, keys, strip_pixels)), keys)
+    words = outline_words(runs, keys, strip_pixels, tall_images)
+    return merge_pieces(words_to_pieces(words), keys)
 
 
 def thick_outline_runs(
-    runs: DataFrame, keys: Sequence[str] = IMAGE_AND_OUTLINE, strip_pixels: int = STRIP_PIXELS
+    runs: DataFrame,
+    keys: Sequence[str] = IMAGE_AND_OUTLINE,
+    strip_pixels: int = STRIP_PIXELS,
+    tall_images: bool = True,
 ) -> DataFrame:
     """Outline as wide as each image's ``outline`` key says; 0 draws none."""
-    words = outline_words(runs.filter("outline > 0"), keys, strip_pixels)
+    words = outline_words(runs.filter("outline > 0"), keys, strip_pixels, tall_images)
     return thicken_runs(words_to_pieces(words), keys)

@@ -82,7 +82,7 @@ def overlay(
     if sizes is not None:
         known = images.drop("height", "width", "n_channels", "data").join(sizes, "image_id")
     fill = durable(fitted_mask(known, detections, params), "mask")
-    edge = outline.thick_outline_runs(fill)
+    edge = outline.thick_outline_runs(fill, tall_images=outline.has_tall_images(fill))
     kept = ("image_id", "height", "width", "n_channels", "alpha", "colour", "data")
     skipped = None
     if failed is not None:

@@ -17,6 +17,8 @@ from fissura.streaming.ingest import image_stream, ingest
 
 SITE = OverlayParams(conf=0.35, threshold=0.1)
 FRAME = OverlayParams(conf=0.2, threshold=0.1)
+# Frames and speckles are at most 24 rows high, so none needs a second strip.
+LOW = {"tall_images": False}
 
 
 def _pixels(runs: DataFrame) -> DataFrame:
@@ -140,18 +142,18 @@ def blend_pixels(spark, sf_dir):
 def outline_pixels(spark, sf_dir):
     images = fx.frame_images(spark, sf_dir)
     runs = fitted_mask(images, fx.frame_detections(spark, sf_dir), FRAME)
-    return _pixels(outline.outline_runs(runs))
+    return _pixels(outline.outline_runs(runs, **LOW))
 
 
 def outline_speckle(spark, sf_dir):
     runs = masks.union_runs(fx.speckle_runs(spark, sf_dir), masks.IMAGE)
-    return outline.outline_runs(runs).select("image_id", "y", "x0", "x1")
+    return outline.outline_runs(runs, **LOW).select("image_id", "y", "x0", "x1")
 
 
 def outline_thick(spark, sf_dir):
     images = fx.frame_images(spark, sf_dir)
     runs = fitted_mask(images, fx.frame_detections(spark, sf_dir), FRAME)
-    return _pixels(outline.thick_outline_runs(runs))
+    return _pixels(outline.thick_outline_runs(runs, **LOW))
 
 
 def _frames_with_conf(spark, sf_dir):

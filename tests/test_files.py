@@ -76,6 +76,11 @@ def test_size_cap_and_type_act_on_the_listing(spark, folder):
     assert scan.metrics().apply("numFiles").value() == 4
 
 
+def test_listing_columns_decode_nothing(spark, folder):
+    ids = source.scan_images(spark, str(folder[0])).select("image_id", "path", "upload_key")
+    assert "ReadSchema: struct<>" in ids._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_files_are_found_by_manifest(spark, folder):
     root = folder[0]
     listed = source.list_files(spark, str(root))
