@@ -45,17 +45,19 @@ def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, buffers).cast(pa.binary())
 
 
-def _covered(runs: pa.Array, first: np.ndarray) -> np.ndarray:
-    """Pixels of the batch inside any run; ``first`` is each row's first pixel."""
-    lengths = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    start = np.repeat(first[:-1], lengths)
+def _covered(runs: pa.Array, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of the batch inside a run, and the row of each.
+
+    ``first`` is each row's first pixel. Only covered pixels take up memory.
+    """
+    per_row = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(runs)), per_row)
     spans = runs.flatten()
     x0, x1 = (spans.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-    total = int(first[-1])
-    edges = np.bincount(start + x0, minlength=total + 1) - np.bincount(
-        start + x1, minlength=total + 1
-    )
-    return np.flatnonzero(np.cumsum(edges[:total]) > 0)
+    length = (x1 - x0).astype(np.int64)
+    before = np.cumsum(length) - length
+    pixel = np.arange(length.sum()) + np.repeat(first[row] + x0 - before, length)
+    return pixel, np.repeat(row, length)
 
 
 def _as_bgr(line: pa.Array, n_channels: pa.Array) -> pa.Array:
@@ -85,16 +87,15 @@ def paint_line(
     painted = source.copy()
     a = alpha.to_numpy(zero_copy_only=False)
     c = np.stack([colour.field(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-    row = np.repeat(np.arange(len(line)), np.diff(first))
 
-    inside = _covered(fill, first)
-    weight = a[row[inside], None]
+    inside, row = _covered(fill, first)
+    weight = a[row, None]
     # Rounds half to even and saturates, in double precision.
-    mixed = np.rint(source[inside] * (1 - weight) + c[row[inside]] * weight)
+    mixed = np.rint(source[inside] * (1 - weight) + c[row] * weight)
     painted[inside] = np.clip(np.nan_to_num(mixed), 0, 255).astype(np.uint8)
 
-    edge = _covered(drawn, first)
-    painted[edge] = c[row[edge]]
+    edge, row = _covered(drawn, first)
+    painted[edge] = c[row]
     return _binary(painted, at)
 
 
