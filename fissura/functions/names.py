@@ -56,6 +56,8 @@ def result_name(key: Column) -> Column:
     return F.concat(key, F.lit(RESULT_SUFFIX))
 
 
-def beside_input(path: Column) -> Column:
-    """Result path next to the input. Distinct inputs may share one."""
-    return F.concat(parent(path), stem(path), F.lit(RESULT_SUFFIX))
+def beside_input(path: Column, out: Column | None = None) -> Column:
+    """Result path next to the input, or ``out`` where that is given. Distinct
+    inputs may share one."""
+    beside = F.concat(parent(path), stem(path), F.lit(RESULT_SUFFIX))
+    return beside if out is None else F.coalesce(out, beside)

@@ -41,14 +41,6 @@ def _is_set(score: Column, threshold: float) -> Column:
     return (score > float_lit(threshold)) & ~F.isnan(score)
 
 
-def _bit(x: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), x.cast("int"))
-
-
-def _shift_right(bits: Column, n: Column) -> Column:
-    return F.call_function("shiftright", bits, n)
-
-
 def well_formed() -> Column:
     return F.size("scores") == F.col("mask_h") * F.col("mask_w")
 
@@ -81,7 +73,7 @@ def score_words(
         "mask_w",
         F.expr("p div mask_w").cast("int").alias("y"),
         F.expr(f"x div {WORD}").cast("int").alias("w"),
-    ).agg(F.bit_or(_bit(F.col("x") % WORD)).alias("bits"))
+    ).agg(F.expr(f"bit_or(shiftleft(1L, int(x % {WORD})))").alias("bits"))
 
 
 def instance_runs(
@@ -99,28 +91,29 @@ def union_words(words: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def words_to_pieces(words: DataFrame) -> DataFrame:
     """Runs cut at word borders. Replaces ``w, bits`` by ``x0, x1``."""
-    i, bits = F.col("i"), F.col("bits")
-    rest = _shift_right(bits, i)
-    length = F.bit_count(rest.bitwiseXOR(rest + 1)) - 1
     others = [c for c in words.columns if c not in ("w", "bits")]
+    rest = "shiftright(bits, i)"
     return (
-        words.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1))))
+        words.selectExpr("*", f"explode(sequence(0, {WORD - 1})) AS i")
         # bits i-1 and i of the word: 0 then 1
-        .filter(_shift_right(bits * 2, i).bitwiseAND(F.lit(3)) == 2)
-        .withColumn("x0", (F.col("w") * WORD + i).cast("int"))
-        .select(*others, "x0", (F.col("x0") + length).cast("int").alias("x1"))
+        .filter("(shiftright(bits * 2, i) & 3) = 2")
+        .selectExpr(
+            *others,
+            f"int(w * {WORD} + i) AS x0",
+            # as many pixels as there are ones from bit i on
+            f"int(w * {WORD} + i + bit_count({rest} ^ ({rest} + 1)) - 1) AS x1",
+        )
     )
 
 
 def runs_to_words(runs: DataFrame) -> DataFrame:
     """Words covered by runs. Replaces ``x0, x1`` by ``w, bits``; words of
     different runs may share a place and need ``union_words``."""
-    low = F.greatest(F.col("x0") - F.col("w") * WORD, F.lit(0))
-    high = F.least(F.col("x1") - F.col("w") * WORD, F.lit(WORD))
     others = [c for c in runs.columns if c not in ("x0", "x1")]
-    return runs.withColumn(
-        "w", F.explode(F.expr(f"sequence(int(x0 div {WORD}), int((x1 - 1) div {WORD}))"))
-    ).select(*others, "w", (_bit(high) - _bit(low)).alias("bits"))
+    low, high = f"greatest(x0 - w * {WORD}, 0)", f"least(x1 - w * {WORD}, {WORD})"
+    return runs.selectExpr(
+        "*", f"explode(sequence(int(x0 div {WORD}), int((x1 - 1) div {WORD}))) AS w"
+    ).selectExpr(*others, "w", f"shiftleft(1L, {high}) - shiftleft(1L, {low}) AS bits")
 
 
 def merge_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -172,20 +165,16 @@ def thicken_runs(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Every pixel within ``outline / 2`` of a run pixel is set; 1 changes nothing.
     """
-    radius = F.expr("outline div 2").cast("int")
-    reach = F.floor(
-        F.sqrt(F.col("outline") * F.col("outline") / 4 - F.col("dy") * F.col("dy"))
-    ).cast("int")
+    radius = "int(outline div 2)"
     grown = (
-        pieces.withColumn("dy", F.explode(F.sequence(-radius, radius)))
-        .withColumn("y", F.col("y") + F.col("dy"))
-        .filter("y >= 0 and y < height")
-        .withColumn("reach", reach)
-        .withColumns(
-            {
-                "x0": F.greatest(F.col("x0") - F.col("reach"), F.lit(0)),
-                "x1": F.least(F.col("x1") + F.col("reach"), F.col("width")),
-            }
+        pieces.selectExpr("*", f"explode(sequence(-{radius}, {radius})) AS dy")
+        .filter("y + dy >= 0 and y + dy < height")
+        .selectExpr("*", "int(floor(sqrt(outline * outline / 4 - dy * dy))) AS reach")
+        .selectExpr(
+            *keys,
+            "y + dy AS y",
+            "greatest(x0 - reach, 0) AS x0",
+            "least(x1 + reach, width) AS x1",
         )
     )
     return union_runs(grown, keys)

@@ -225,41 +225,34 @@ def boundary_words(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     Every word hands its bits to the places above and below and its end bits to
     the words beside it; one aggregation then has all five views of a word.
     """
-    y, w, bits, view = F.col("y"), F.col("w"), F.col("bits"), F.col("view")
-    own, above, below, left, right = range(5)
-    seen_at = {
-        "y": y + F.when(view == above, 1).when(view == below, -1).otherwise(0),
-        "w": w + F.when(view == left, 1).when(view == right, -1).otherwise(0),
-        "bits": F.when(view == left, F.call_function("shiftright", bits, F.lit(WORD - 1)))
-        .when(view == right, (bits % 2) * (1 << (WORD - 1)))
-        .otherwise(bits),
-    }
-
-    def gathered(of):
-        return F.bit_or(F.when(view == of, bits).otherwise(F.lit(0).cast("bigint")))
-
-    here = F.col("own")
+    seen = (
+        "y + CASE view WHEN 'above' THEN 1 WHEN 'below' THEN -1 ELSE 0 END AS y",
+        "w + CASE view WHEN 'left' THEN 1 WHEN 'right' THEN -1 ELSE 0 END AS w",
+        f"CASE view WHEN 'left' THEN shiftright(bits, {WORD - 1})"
+        f" WHEN 'right' THEN shiftleft(bits & 1L, {WORD - 1}) ELSE bits END AS bits",
+    )
+
+    def gathered(view):
+        return F.expr(f"bit_or(CASE WHEN view = '{view}' THEN bits ELSE 0L END)")
+
     inner = (
-        F.col("above")
-        .bitwiseAND(F.col("below"))
-        .bitwiseAND((here * 2).bitwiseAND(F.lit(FULL_WORD)).bitwiseOR(F.col("left")))
-        .bitwiseAND(F.call_function("shiftright", here, F.lit(1)).bitwiseOR(F.col("right")))
+        f"above & below & (((own * 2) & {FULL_WORD}) | left_bit) & (shiftright(own, 1) | right_bit)"
     )
     return (
         runs_to_words(runs)
-        .withColumn("view", F.explode(F.array(*(F.lit(v) for v in range(5)))))
-        .withColumns(seen_at)
+        .selectExpr("*", "explode(array('own', 'above', 'below', 'left', 'right')) AS view")
+        .selectExpr(*keys, "view", *seen)
         .filter("bits != 0")
         .groupBy(*keys, "y", "w")
         .agg(
-            gathered(own).alias("own"),
-            gathered(above).alias("above"),
-            gathered(below).alias("below"),
-            gathered(left).alias("left"),
-            gathered(right).alias("right"),
+            gathered("own").alias("own"),
+            gathered("above").alias("above"),
+            gathered("below").alias("below"),
+            gathered("left").alias("left_bit"),
+            gathered("right").alias("right_bit"),
         )
         .filter("own != 0")
-        .select(*keys, "y", "w", here.bitwiseAND(F.bitwise_not(inner)).alias("bits"))
+        .selectExpr(*keys, "y", "w", f"own & ~({inner}) AS bits")
         .filter("bits != 0")
     )
 

@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fissura.functions.params import DEFAULT_CONF
 from fissura.operators.masks import float_lit
@@ -57,6 +59,21 @@ def _as_bgr(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray
     return np.repeat(image, 3, axis=2) if n_channels == 1 else image[:, :, :3]
 
 
+def score_tensors(
+    column: str, make_predict: Callable, shape: list[int], kind: T.DataType, batch_size: int = 1024
+) -> Column:
+    """Score a column of equally shaped tensors in batches.
+
+    ``make_predict()`` loads the model, once per Python worker, and returns a
+    function of a ``batch x shape`` array. For images of varying shape, or
+    failures to be caught one by one, see ``score_images``.
+    """
+    score = predict_batch_udf(
+        make_predict, return_type=kind, batch_size=batch_size, input_tensor_shapes=[shape]
+    )
+    return score(column)
+
+
 def _scored_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = [list(c) for c in zip(*rows)]
     return pa.RecordBatch.from_arrays(

@@ -1,7 +1,6 @@
 """Registered queries, one or more per operator, over the driver's tables."""
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,11 +98,9 @@ def _linear_model():
 
 
 def linear_scores(spark, sf_dir):
-    score = predict_batch_udf(
-        _linear_model, return_type=T.DoubleType(), batch_size=1024, input_tensor_shapes=[[64]]
-    )
+    score = scoring.score_tensors("embedding", _linear_model, [64], T.DoubleType())
     return fx.table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("image_id"), F.round(score("embedding"), 4).alias("score")
+        F.col("vec_id").alias("image_id"), F.round(score, 4).alias("score")
     )
 
 

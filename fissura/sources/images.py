@@ -29,12 +29,13 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def scan_images(
-    spark: SparkSession, path: str, max_bytes: int = names.MAX_UPLOAD_BYTES
+    spark: SparkSession, path: str, max_bytes: int | None = names.MAX_UPLOAD_BYTES
 ) -> DataFrame:
     """Decode all accepted files under ``path``.
 
-    Type and size are checked on the listing, before a file is opened. Empty
-    files are not in a scan; see ``validation.not_scanned``.
+    Type and size are checked on the listing, before a file is opened; no
+    ``max_bytes``, no size check. Empty files are not in a scan; see
+    ``validation.not_scanned``.
     """
     raw = (
         spark.read.format("image")
@@ -43,7 +44,9 @@ def scan_images(
         .option("dropInvalid", "false")
         .load(path)
     )
-    return normalise(raw.filter(F.col("_metadata.file_size") <= max_bytes))
+    if max_bytes is not None:
+        raw = raw.filter(F.col("_metadata.file_size") <= max_bytes)
+    return normalise(raw)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

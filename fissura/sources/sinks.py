@@ -38,9 +38,14 @@ def write_files(files: DataFrame, directory: str) -> None:
     Tasks write under a name of their own and then rename, so a retried or
     speculative attempt leaves one whole file.
     """
+    spark = files.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    store_of_path = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = store_of_path.makeQualified(path).toString()
+    if target.startswith("file:"):
+        target = "file://" + target.removeprefix("file:").replace("//", "/")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target = directory if "://" in directory else "file://" + directory.removeprefix("file:")
         store, root = fs.FileSystem.from_uri(target)
         store.create_dir(root)
         for batch in batches:

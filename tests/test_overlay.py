@@ -252,3 +252,35 @@ def test_durable_runs_its_input_once(spark):
 
     stored = durable(spark.range(50).mapInArrow(count, "id bigint"), "test")
     assert stored.count() == 50 and stored.agg(F.sum("id")).first()[0] == 1225 and seen.value == 50
+
+
+def test_raw_request_texts_steer_the_overlay(corpus):
+    from fissura.functions.params import normalise_params, parse_colour
+
+    images, detections, arrays, grids = corpus
+    texts = [("0.4", "1", "3"), ("abc", "1", "3"), (None, "-2", "0"), ("0.1", None, "99")]
+    pick = {
+        name: F.element_at(F.array(*(F.lit(t[k]) for t in texts)), (F.col("image_id") % 4 + 1).cast("int"))
+        for k, name in enumerate(("conf_raw", "alpha_raw", "outline_raw"))
+    }
+    own = normalise_params(images.withColumns(pick)).withColumn(
+        "colour", parse_colour(F.lit(" 5, 300 ,-1"))
+    )
+    found = collect_images(plan.overlay(own, detections).lines)
+    meant = [(0.4, 1.0, 3), (0.25, 0.5, 2), (0.25, 0.0, 0), (0.1, 0.5, 10)]
+    for i, image in enumerate(arrays):
+        want = expected(image, *grids[i], *meant[i % 4], (5, 255, 0))
+        assert np.array_equal(found[i], want), i
+
+
+def test_one_image_with_most_of_the_instances(spark):
+    rng = np.random.default_rng(9)
+    many = [(0, k, 0.9, 6, 40, rng.random(240).astype(np.float32).tolist()) for k in range(300)]
+    few = [(i, 0, 0.9, 6, 40, rng.random(240).astype(np.float32).tolist()) for i in range(1, 20)]
+    detections = spark.createDataFrame(many + few, DETECTIONS).repartition(6)
+    union = np.any([np.array(r[5], np.float32) > np.float32(0.995) for r in many], axis=0)
+    runs = masks.merge_pieces(
+        masks.words_to_pieces(masks.score_words(detections, 0.995)), ["image_id"]
+    )
+    found = brute.pixels(runs.filter("image_id = 0").collect())
+    assert found == brute.set_pixels(union.reshape(6, 40))

@@ -54,3 +54,28 @@ def test_upload_size_filter_reaches_the_scan(spark, tmp_path):
     kept = accepted(check_uploads(list_files(spark, str(tmp_path))))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1]
+
+
+def test_limits_per_image_do_not_pin_a_hot_image_to_one_task(spark):
+    from fissura.plans import fixtures, queries
+    from fissura.plans.overlay import mask_words
+
+    images = queries._frames_with_conf(spark, SF)
+    words = mask_words(images, fixtures.frame_detections(spark, SF), queries.FRAME)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    # Between the join and the union: a spreading shuffle, then a map-side combine.
+    above_join = plan[: plan.index("Join")]
+    assert "REPARTITION_BY_COL" in above_join
+    assert above_join.index("partial_bit_or") < above_join.index("REPARTITION_BY_COL")
+
+
+def test_painting_hashes_runs_and_never_sorts_pixels(spark):
+    from fissura.plans import fixtures, queries
+    from fissura.plans.overlay import overlay
+
+    lines = overlay(fixtures.frame_images(spark, SF), fixtures.frame_detections(spark, SF), queries.FRAME).lines
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    above_pixels = plan[: plan.index("substring(data")]
+    assert "ShuffledHashJoin" in above_pixels and "BuildRight" in above_pixels
+    assert "Sort [" not in above_pixels and above_pixels.count("Exchange") == 1
+    assert plan.count("ArrowEvalPython") == 1
