@@ -168,3 +168,20 @@ def test_stream_runs_whole_operators(spark, tmp_path):
         ingest.image_stream(spark, str(inbox)), str(tmp_path / "out"), str(tmp_path / "state"), lines
     )
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_jpeg_and_tiff_decode(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(6, 4, 5)
+    for y in range(4):
+        for x in range(6):
+            picture.setRGB(x, y, 0x0A7832)  # one colour survives JPEG coding nearly unchanged
+    for kind in ("jpg", "tiff", "bmp", "png"):
+        target = jvm.java.io.File(str(tmp_path / f"p.{kind.upper()}"))
+        assert jvm.javax.imageio.ImageIO.write(picture, kind, target)
+    found = by_name(source.scan_images(spark, str(tmp_path)))
+    assert len(found) == 4
+    for name, r in found.items():
+        assert (r["height"], r["width"], r["n_channels"]) == (4, 6, 3), name
+        pixels = np.frombuffer(bytes(r["data"]), np.uint8).reshape(-1, 3).astype(int)
+        assert np.abs(pixels - (0x32, 0x78, 0x0A)).max() <= (3 if name == "p.JPG" else 0), name
