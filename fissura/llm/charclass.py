@@ -40,13 +40,14 @@ class CharClasses:
         return int(got)
 
     def classify(self, ch: str) -> int:
+        removed = self.splits(" ") == 0  # the splitter drops white space
+        if removed and self.splits(ch) == 0:
+            return SPACE
         if self.splits("a" + ch) == 1:
             return LETTER
         if self.splits("!" + ch) == 1:
             return OTHER
-        if self.splits("1" + ch) == 1:
-            return NUMBER
-        return SPACE
+        return NUMBER if removed or self.splits("1" + ch) == 1 else SPACE
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         got = self.table[codes]

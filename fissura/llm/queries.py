@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from fissura.llm.lexicon import encode_documents
 from fissura.llm.shared import table
 from fissura.llm.token_counts import count_tokens
 
@@ -14,8 +15,15 @@ def op1_token_counts(spark, sf_dir):
     )
 
 
+def op2_bpe_lexicon(spark, sf_dir):
+    return encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
+    "op2_bpe_lexicon": op2_bpe_lexicon,
 }
 
 #: SQL of those that it can express.
