@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from fissura.llm.lexicon import encode_documents
+from fissura.llm.secrets import find_secrets
 from fissura.llm.shared import table
 from fissura.llm.token_counts import count_tokens
 
@@ -21,9 +22,14 @@ def op2_bpe_lexicon(spark, sf_dir):
     )
 
 
+def op9_secret_scan(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 #: SQL of those that it can express.
