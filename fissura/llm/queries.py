@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from fissura.llm.lexicon import encode_documents
+from fissura.llm.packing import pack_documents
 from fissura.llm.secrets import find_secrets
 from fissura.llm.shared import table
 from fissura.llm.token_counts import count_tokens
@@ -26,10 +27,17 @@ def op9_secret_scan(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op10_pattern_packing(spark, sf_dir):
+    return pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048
+    )
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
     "op9_secret_scan": op9_secret_scan,
+    "op10_pattern_packing": op10_pattern_packing,
 }
 
 #: SQL of those that it can express.
