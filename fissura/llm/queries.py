@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from fissura.llm.jaccard_join import join_similar
+from fissura.llm.language import identify
 from fissura.llm.lexicon import encode_documents
 from fissura.llm.packing import pack_documents
 from fissura.llm.secrets import find_secrets
@@ -38,9 +39,16 @@ def op7_ngram_jaccard(spark, sf_dir):
     return join_similar(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op4_language_id(spark, sf_dir):
+    return identify(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
+    "op4_language_id": op4_language_id,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_pattern_packing": op10_pattern_packing,
