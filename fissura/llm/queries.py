@@ -10,6 +10,7 @@ from fissura.llm.lexicon import encode_documents
 from fissura.llm.packing import pack_documents
 from fissura.llm.secrets import find_secrets
 from fissura.llm.shared import table
+from fissura.llm.toxicity import score_toxicity
 from fissura.llm.token_counts import count_tokens
 
 
@@ -45,10 +46,15 @@ def op4_language_id(spark, sf_dir):
     )
 
 
+def op6_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
     "op4_language_id": op4_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_secret_scan": op9_secret_scan,
     "op10_pattern_packing": op10_pattern_packing,
