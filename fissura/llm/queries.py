@@ -10,8 +10,10 @@ from fissura.llm.lexicon import encode_documents
 from fissura.llm.packing import pack_documents
 from fissura.llm.secrets import find_secrets
 from fissura.llm.shared import table
+from fissura.llm.syncmers import fingerprint_documents
 from fissura.llm.toxicity import score_toxicity
 from fissura.llm.token_counts import count_tokens
+from fissura.llm import url_templates
 
 
 def op1_token_counts(spark, sf_dir):
@@ -50,15 +52,25 @@ def op6_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_templates(spark, sf_dir):
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_closed_syncmers(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
+    "op3_url_templates": op3_url_templates,
     "op4_language_id": op4_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_closed_syncmers": op8_closed_syncmers,
     "op9_secret_scan": op9_secret_scan,
     "op10_pattern_packing": op10_pattern_packing,
 }
 
 #: SQL of those that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_templates": url_templates.SQL}
