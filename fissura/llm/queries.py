@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from fissura.llm.cover_tree import link_vectors
 from fissura.llm.jaccard_join import join_similar
 from fissura.llm.language import identify
 from fissura.llm.lexicon import encode_documents
@@ -60,11 +61,16 @@ def op8_closed_syncmers(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_tree(spark, sf_dir):
+    return link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
     "op3_url_templates": op3_url_templates,
     "op4_language_id": op4_language_id,
+    "op5_cover_tree": op5_cover_tree,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_closed_syncmers": op8_closed_syncmers,

@@ -32,8 +32,8 @@ def _pairs(a: str, d: int, combine) -> Column:
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out array<bigint>``: of each anchor of ``text``, hash * 2**32 + place.
 
-    A text with words but no anchor has one, its whole sequence of words; one
-    without words has none. Columns that begin with ``_`` are used on the way.
+    In a text too short to have one, every word is an anchor; one without words
+    has none. Columns that begin with ``_`` are used on the way.
     Each array is a column that later ones use more than once, so it is made
     once and no lambda makes it again.
     """
@@ -55,12 +55,10 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     whole = F.zip_with(part("_k8", 0), part("_h", K - 1), hashed)
     edge = F.zip_with(at_left, at_right, lambda x, y: x | y)
     marked = F.zip_with(edge, whole, lambda e, x: F.when(e, x))
-    placed = F.transform(marked, lambda x, i: F.shiftleft(x, 32).bitwiseOR(i.cast("bigint")))
-    df = df.withColumn("_a", F.array_compact(placed))
-    alone = F.when(F.size("_h") == 0, F.array().cast("array<bigint>")).otherwise(
-        F.array(F.shiftleft(F.xxhash64("_h"), 32))
-    )
-    return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(alone)).select(*kept, out)
+    place = lambda x, i: F.shiftleft(x, 32).bitwiseOR(i.cast("bigint"))
+    df = df.withColumn("_a", F.array_compact(F.transform(marked, place)))
+    words = F.transform(F.col("_h"), place)
+    return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(words)).select(*kept, out)
 
 
 def written(anchors: str) -> Column:
