@@ -236,6 +236,7 @@ def identify(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = PER_LANGUAGE,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row.
 
@@ -244,7 +245,8 @@ def identify(
     alone. A null text, or one without a letter, is ``und`` with score 0, and so
     is every text where no document has a language. Ties go to the language
     first in order. Repeated rows and null ids are kept, null ids never learned
-    from; other columns are ignored. No shuffle of texts.
+    from; of the other columns only those in ``carry`` come along. No shuffle of
+    texts.
     """
     model = train(df, path, id_col, text_col, lang_col, per_language)
     spark = df.sparkSession
@@ -259,5 +261,6 @@ def identify(
 
         return each
 
-    found = map_blocks(texts_of(df, id_col, text_col), work, "doc_id long, lang_pred string, score double")
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    texts = texts_of(df, id_col, text_col, carry)
+    found = map_blocks(texts, work, "doc_id long, lang_pred string, score double")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", *carry)

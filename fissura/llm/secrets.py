@@ -156,13 +156,19 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]")
 
 
 def find_secrets(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per row: counts of the base kinds, the base spans' digest, all spans, the redacted text.
 
+    ``redacted`` is null where nothing is to be hidden.
+
     Spans are in code points, ends exclusive. A null text counts as empty and
-    has no span. Repeated rows give repeated results; other columns are
-    ignored. One pass without a shuffle; a text is read whole.
+    has no span. Repeated rows give repeated results; of the other columns
+    only those in ``carry`` come along. One pass without a shuffle; a text is read whole.
     """
 
     def work():
@@ -180,7 +186,7 @@ def find_secrets(
         return each
 
     return map_blocks(
-        texts_of(df, id_col, text_col),
+        texts_of(df, id_col, text_col, carry),
         work,
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string",
     )

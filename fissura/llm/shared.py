@@ -40,10 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that text operators read; a null text is empty."""
+def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+    """The two columns that text operators read, a null text as empty; and ``row``, if asked for."""
     return df.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry
     )
 
 
@@ -54,19 +54,39 @@ def map_blocks(
 ) -> DataFrame:
     """``work()`` gives, once per task, a function of (ids, texts) that returns columns.
 
-    It is called with at most ``BLOCK_CHARS`` characters at a time, or one longer text.
+    The first two columns of ``df`` are ids and texts; any others come after the
+    new columns as they are. The function is called with at most ``BLOCK_CHARS``
+    characters at a time, or one longer text.
     """
-    types = arrow_schema(schema)
+    made = arrow_schema(schema)
+    carried = df.schema.fields[2:]
+    out = ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for begin, end in blocks(texts):
-                out = each(ids[begin:end], texts.slice(begin, end - begin).to_pylist())
-                yield pa.RecordBatch.from_pydict(out, schema=types)
+                new = each(ids[begin:end], texts.slice(begin, end - begin).to_pylist())
+                new = pa.RecordBatch.from_pydict(new, schema=made)
+                old = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays(
+                    [*new.columns, *old.columns[2:]], names=[*new.schema.names, *old.schema.names[2:]]
+                )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, out)
+
+
+def beside(df: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with the columns of ``operator`` added as ``new.<name>``, in the same pass.
+
+    The operator is given ids and texts, and carries the rows' own columns along
+    as one struct, so nothing is joined and no name can clash.
+    """
+    rows = df.select("doc_id", "text", F.struct("*").alias("row"))
+    found = operator(rows)
+    new = [c for c in found.columns if c != "row"]
+    return found.select("row", F.struct(*new).alias("new"))
 
 
 def arrow_schema(schema: str) -> pa.Schema:

@@ -345,6 +345,7 @@ def score_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     per_label: int = PER_LABEL,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``df``.
 
@@ -353,7 +354,7 @@ def score_toxicity(
     ids or texts are not learned from. Every whole text is scored from the text
     alone, all its windows. A null text, or one without words, scores 0.0; so
     little is learned from fewer than two labels that scores mean nothing then.
-    Repeated rows are kept; other columns are ignored.
+    Repeated rows are kept; of the other columns only those in ``carry`` come along.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -373,7 +374,6 @@ def score_toxicity(
 
         return each
 
-    scored = map_blocks(texts_of(df, id_col, text_col), work, "doc_id long, score double")
-    return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    scored = map_blocks(texts_of(df, id_col, text_col, carry), work, "doc_id long, score double")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted, *carry)
