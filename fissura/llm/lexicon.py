@@ -25,7 +25,7 @@ from fissura.llm.word_bpe import WordBpe, word_bpe
 
 LEXICON_WORDS = 65_536
 WORD_BYTES = 64  # longer words are not compiled
-MEMO = 150_000
+MEMO = 100_000
 
 
 def word_counts(df: DataFrame, path: str, flush: int = 200_000) -> DataFrame:
@@ -161,6 +161,8 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Have the entries of all ``words``."""
+        old = self.memo.old
+        self.memo.update((w, old[w]) for w in words.difference(self.memo) if w in old)
         new = list(words.difference(self.memo))
         tokens = self.bpe.tokens
         for word, place in zip(new, self.lexicon.places(new).tolist()):

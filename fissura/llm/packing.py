@@ -31,7 +31,7 @@ from fissura.llm.shared import Bounded, arrow_schema, map_blocks, stored, texts_
 from fissura.llm.word_bpe import word_bpe
 
 BIN = 8
-MEMO = 300_000
+MEMO = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

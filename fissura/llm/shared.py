@@ -117,20 +117,26 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Bounded(dict):
-    """A memo that computes what it lacks and forgets everything once full.
+    """A memo that computes what it lacks and keeps what was used of late.
 
-    ``bound`` is checked by ``trim``, between blocks, so that a lookup never
-    loses what the same block has put in.
+    ``trim``, called between blocks, makes a full memo the old one and begins
+    anew; what is looked up again comes back from the old one. So a lookup never
+    loses what the same block has put in, and at most about twice ``bound``
+    entries are held.
     """
 
     def __init__(self, compute: Callable, bound: int):
         super().__init__()
-        self.compute, self.bound = compute, bound
+        self.compute, self.bound, self.old = compute, bound, {}
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.bound:
+            self.old = dict(self)
             self.clear()

@@ -36,7 +36,7 @@ HERE, BEFORE = 1, 2  # a piece begins at this character, at the one before
 
 CHUNK = 128
 PIECE_CHARS = 48  # longer pieces are not remembered
-MEMO, STATES = 300_000, 400_000
+MEMO, STATES = 150_000, 400_000
 
 
 def splitter_tables() -> tuple[np.ndarray, np.ndarray]:
