@@ -42,7 +42,7 @@ def cut_pieces(
 
     def work():
         bpe, step = word_bpe(path), 4 * size
-        memo = Bounded(lambda word: np.asarray(bpe.merge(word), "<u4").tobytes(), MEMO)
+        memo = Bounded(lambda word: np.asarray(bpe.library_ids(word), "<u4").tobytes(), MEMO)
         end = int(end_id).to_bytes(4, "little")
 
         def each(ids, texts):

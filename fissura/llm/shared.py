@@ -51,11 +51,12 @@ def map_blocks(
     df: DataFrame,
     work: Callable[[], Callable[[list, list], dict[str, list]]],
     schema: str,
+    chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``work()`` gives, once per task, a function of (ids, texts) that returns columns.
 
     The first two columns of ``df`` are ids and texts; any others come after the
-    new columns as they are. The function is called with at most ``BLOCK_CHARS``
+    new columns as they are. The function is called with at most ``chars``
     characters at a time, or one longer text.
     """
     made = arrow_schema(schema)
@@ -66,7 +67,7 @@ def map_blocks(
         each = work()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for begin, end in blocks(texts):
+            for begin, end in blocks(texts, chars):
                 new = each(ids[begin:end], texts.slice(begin, end - begin).to_pylist())
                 new = pa.RecordBatch.from_pydict(new, schema=made)
                 old = batch.slice(begin, end - begin)
@@ -100,8 +101,8 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``BLOCK_CHARS`` bytes each."""
+def blocks(texts: pa.Array, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``chars`` bytes each, or of one longer text."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -111,7 +112,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     begin = 0
     while begin < len(texts):
         before = total[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(total, before + BLOCK_CHARS, side="right")))
+        end = max(begin + 1, int(np.searchsorted(total, before + chars, side="right")))
         yield begin, end
         begin = end
 

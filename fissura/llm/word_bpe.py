@@ -36,6 +36,8 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.normalize = library.normalizer.normalize_str
+        self.model = library.model
+        self.letters = byte_letters()
         split = library.pre_tokenizer.pre_tokenize_str
         self.classes = CharClasses(lambda text: len(split(text)))
         letters, numbers, spaces = (_set(self.classes, k) for k in (LETTER, NUMBER, SPACE))
@@ -95,6 +97,14 @@ class WordBpe:
                 ranks[i] = merges.get((ids[i], ids[i + 1]), NEVER)[0]
         return ids
 
+    def library_ids(self, word: str) -> list[int]:
+        """The same ids from the library's own model, which is faster."""
+        if word in self.special:
+            return [self.special[word]]
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(word)]
+
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links, for words of any length."""
         import heapq
