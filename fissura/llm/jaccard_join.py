@@ -32,10 +32,11 @@ from fissura.llm.graph import components
 from fissura.llm.shared import arrow_schema, blocks, map_blocks, stored, texts_of
 from fissura.llm.shingles import mix, shingle_sets
 
-BINS = 1 << 20
+BINS = 1 << 21
 PART = 4096  # bins in a row of the sketch
 SMALL = 48  # classes of a bucket whose pairs are candidates
 LENGTHS = 8  # l goes from 1 to this
+SET_CHARS = 500_000  # of text that sets are made of at a time
 FEW = 8  # sketches that a step of the sum adds up
 BLOCK = 256  # classes on either side of a block of a large bucket
 VERIFY_COST = 20.0  # of verifying a candidate, in postings read
@@ -49,7 +50,7 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
         counts = np.zeros(BINS, np.int64)
         for batch in batches:
             column = batch.column(1)
-            for begin, end in blocks(column):
+            for begin, end in blocks(column, SET_CHARS):
                 sets = shingle_sets(column.slice(begin, end - begin).to_pylist(), width)
                 counts += np.bincount(_bin(np.concatenate(sets)), minlength=BINS)
         parts = [counts[a : a + PART].astype("<u4").tobytes() for a in range(0, BINS, PART)]
@@ -82,43 +83,45 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _bin(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> _U(44)).astype(np.int64)
+    return (shingles >> _U(43)).astype(np.int64)
 
 
-def prefix(one: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
-    """(l, published shingles) of a sorted set; ranks grow with how often a bin occurs."""
+RANK_SCALE = 2000.0
+
+
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Counts of bins on a fine logarithmic scale."""
+    return np.minimum(RANK_SCALE * np.log2(counts + 1.0), 65535).astype(np.uint16)
+
+
+def prefix(one: np.ndarray, ranks: np.ndarray, noise: float, num: int, den: int) -> tuple[int, np.ndarray]:
+    """(l, published shingles) of a sorted set; those of the emptiest bins come first.
+
+    A bin's count is at least how often each of its shingles occurs. ``noise`` is
+    what other shingles add to it, and is taken off where costs are estimated.
+    """
     n = len(one)
     overlap = -(-num * n // den)
-    often = ranks[_bin(one)]
-    order = np.argsort(often, kind="stable")  # ties by the shingle itself
+    rank = ranks[_bin(one)]
+    order = np.argsort(rank, kind="stable")  # ties by the shingle itself
     base = n - overlap
     lengths = np.arange(1, min(LENGTHS, overlap) + 1)
-    postings = np.cumsum(np.exp2(often[order[: base + lengths[-1]]] / RANK_SCALE))
-    reads = postings[base + lengths - 1]
+    often = np.maximum(np.exp2(rank[order[: base + lengths[-1]]] / RANK_SCALE) - noise, 1.0)
+    reads = np.cumsum(often)[base + lengths - 1]
     cost = reads + VERIFY_COST * reads / lengths**2
     best = int(lengths[np.argmin(cost)])
     return best, one[order[: base + best]]
 
 
-RANK_SCALE = 512.0
-
-
-def _ranks(counts: np.ndarray) -> np.ndarray:
-    """Frequencies above what other shingles of a bin add, on a fine logarithmic scale."""
-    noise = float(np.median(counts))
-    above = np.maximum(counts - noise, 0) + 1.0
-    return np.minimum(RANK_SCALE * np.log2(above), 65535).astype(np.uint16)
-
-
 SETS = "doc_id long, n long, k1 long, k2 long, l int, shared array<int>"
 
 
 def _sets(texts: DataFrame, width: int, counts: np.ndarray, num: int, den: int) -> DataFrame:
     """Per row: size and digest of its set, and the prefix, in 32 bits a shingle."""
-    ranks = texts.sparkSession.sparkContext.broadcast(_ranks(counts))
+    ranks = texts.sparkSession.sparkContext.broadcast((_ranks(counts), float(np.median(counts)) + 1))
 
     def work():
-        table = ranks.value
+        table, noise = ranks.value
 
         def each(ids, texts):
             rows = []
@@ -126,7 +129,7 @@ def _sets(texts: DataFrame, width: int, counts: np.ndarray, num: int, den: int)
                 if not len(one):
                     rows.append((0, 0, 0, 0, []))
                     continue
-                length, some = prefix(one, table, num, den)
+                length, some = prefix(one, table, noise, num, den)
                 first = mix(one + _U(1)).sum(dtype=np.uint64)
                 second = mix(one ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                 rows.append((len(one), int(first.view(np.int64)), int(second.view(np.int64)), length, _short(some)))
@@ -135,7 +138,7 @@ def _sets(texts: DataFrame, width: int, counts: np.ndarray, num: int, den: int)
 
         return each
 
-    return map_blocks(texts, work, SETS)
+    return map_blocks(texts, work, SETS, SET_CHARS)
 
 
 def _short(shingles: np.ndarray) -> np.ndarray:
@@ -175,7 +178,7 @@ def _whole_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                     keep[mine] = bit[at[mine] % 32768] > 0
             batch = batch.filter(pa.array(keep))
             column = batch.column(1)
-            for begin, end in blocks(column):
+            for begin, end in blocks(column, SET_CHARS):
                 sets = shingle_sets(column.slice(begin, end - begin).to_pylist(), width)
                 yield pa.RecordBatch.from_pydict(
                     {"id": batch.column(0).slice(begin, end - begin), "items": [s.view(np.int64) for s in sets]},
