@@ -62,34 +62,42 @@ def cut_pieces(
     return map_blocks(texts_of(df, id_col, text_col), work, PIECES)
 
 
-def fit_counts(a: np.ndarray, b: np.ndarray, rounds: int = 3) -> np.ndarray:
-    """x >= 0 of the least ``|a x - b|``, by the active-set method."""
-    n = a.shape[1]
-    gram, target = a.T @ a, a.T @ b
-    x, active = np.zeros(n), np.zeros(n, bool)
-    scale = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
+def fit_counts(patterns: list[tuple[int, ...]], b: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """x >= 0 of the least ``|a x - b|``, by the active-set method.
+
+    Column k of ``a`` says how often each bin is in pattern k. Only columns in
+    use are ever laid out; ``b[0]`` stands for no bin and must be 0.
+    """
+    parts = np.zeros((len(patterns), 3), np.int64)
+    for k, pattern in enumerate(patterns):
+        parts[k, : len(pattern)] = pattern
+    x, active = np.zeros(len(patterns)), np.zeros(len(patterns), bool)
+    scale = 1e-9 * max(1.0, float(b.max(initial=0)))
     for _ in range(rounds * len(b)):
-        slope = target - gram @ x
+        left = b - np.bincount(parts.ravel(), np.repeat(x, 3), len(b))
+        left[0] = 0
+        slope = left[parts].sum(axis=1)
         slope[active] = -np.inf
         best = int(np.argmax(slope))
         if slope[best] <= scale:
             break
         active[best] = True
-        while True:
+        while active.any():
             on = np.flatnonzero(active)
-            y = np.linalg.lstsq(gram[np.ix_(on, on)], target[on], rcond=None)[0]
+            a = np.zeros((len(b), len(on)))
+            np.add.at(a, (parts[on].ravel(), np.repeat(np.arange(len(on)), 3)), 1.0)
+            a[0] = 0
+            y = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(on)), a.T @ b)
             if (y > 0).all():
                 x[:] = 0
                 x[on] = y
                 break
             low = y <= 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                step = np.nanmin(np.where(x[on][low] - y[low] > 0, x[on][low] / (x[on][low] - y[low]), 0))
+            fall = x[on] - y
+            step = float(np.min(x[on][low] / np.where(fall[low] > 0, fall[low], 1.0)))
             x[on] += step * (y - x[on])
             active[on[(x[on] <= 1e-12) & low]] = False
             x[~active] = 0
-            if not active.any():
-                break
     return x
 
 
@@ -117,11 +125,7 @@ def plan_patterns(histogram: dict[int, int], size: int, bin_size: int = BIN) ->
     np.add.at(binned, -(-np.arange(size + 1) // bin_size), left)
     patterns = bin_patterns(bins, binned > 0)
     if patterns:
-        a = np.zeros((bins + 1, len(patterns)))
-        for k, pattern in enumerate(patterns):
-            for part in pattern:
-                a[part, k] += 1
-        repeats = np.rint(fit_counts(a, binned)).astype(np.int64)
+        repeats = np.rint(fit_counts(patterns, binned)).astype(np.int64)
         for k in np.flatnonzero(repeats).tolist():
             _instantiate(patterns[k], int(repeats[k]), left, size, bin_size, planned)
     return _best_fit(planned, left, size)
