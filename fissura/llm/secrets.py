@@ -78,36 +78,35 @@ def strength(literal: str) -> float:
     return min(1.0, bits / 3.5) * (0.55, 0.85, 1.0, 1.0)[max(kinds, 1) - 1]
 
 
-def assignments(text: str) -> list[tuple[str, int, int, str | None]]:
-    """(name, start, end, referenced name) of the values; a reference has no literal of its own."""
+def assignments(text: str) -> list[tuple[str, int, int, str, str | None]]:
+    """(name, start, end, content, referenced name) of the values, in order."""
     found, done = [], 0
     for at in SEPARATOR.finditer(text):
         begin, after = at.start(), at.end()
         if begin < done:
             continue
         line = max(text.rfind("\n", max(0, begin - NAME_CHARS), begin) + 1, begin - NAME_CHARS, done)
-        name = NAME_BEFORE.search(text, line, begin)
+        name = NAME_BEFORE.search(text[line:begin])
         if not name:
             continue
         while after < len(text) and text[after] in "=>":  # := => ==
             after += 1
         if value := QUOTED.match(text, after):
-            start = value.start(value.lastindex)
-            while plus := PLUS.match(text, value.end()):
-                value = QUOTED.match(text, plus.end()) or value
-                if value.end() <= plus.end():
-                    break
-            end, reference = value.end(value.lastindex), None
+            start, content, reference = value.start(value.lastindex), value[value.lastindex], None
+            while (plus := PLUS.match(text, value.end())) and (more := QUOTED.match(text, plus.end())):
+                value = more
+                content += value[value.lastindex]
+            end = value.end(value.lastindex)
         elif value := BARE.match(text, after):
             start, end = value.span(1)
             if text[end - 1] in ":=":  # another name, not a value
                 continue
-            alias = REFERENCE.fullmatch(value[1])
+            content, alias = value[1], REFERENCE.fullmatch(value[1])
             reference = alias[1] if alias else None
         else:
             continue
         done = end
-        found.append((name[2], start, end, reference))
+        found.append((name[2], start, end, content, reference))
     return found
 
 
@@ -116,17 +115,17 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, in
     if ":" not in text and "=" not in text:
         return []
     constants: dict[str, int] = {}
-    literals: list[list] = []  # start, end, weight of the most sensitive name reached
-    for name, start, end, reference in assignments(text):
+    literals: list[list] = []  # start, end, content, weight of the most sensitive name reached
+    for name, start, end, content, reference in assignments(text):
         known = constants.get(reference) if reference else None
         if known is None:
             known = len(literals)
-            literals.append([start, end, 0.0])
+            literals.append([start, end, content, 0.0])
         constants[name] = known
-        literals[known][2] = max(literals[known][2], name_weight(name))
+        literals[known][3] = max(literals[known][3], name_weight(name))
     return [
-        (a, b, "literal") for a, b, weight in literals
-        if weight and weight * strength(text[a:b]) >= threshold
+        (a, b, "literal") for a, b, content, weight in literals
+        if weight and weight * strength(content) >= threshold
     ]
 
 

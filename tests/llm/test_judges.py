@@ -173,7 +173,7 @@ def test_base_spans():
     assert got.count("assign") == 2 and got.count("access") == 1 and got.count("hex") == 1
     # A match that is too short is dropped with what it has consumed.
     assert secrets.base_spans("secret: token: abcdefgh") == []
-    assert secrets.base_spans("paſſword=abcdefgh toKen=abcdefgh") == []
+    assert secrets.base_spans("pa\u017f\u017fword=abcdefgh to\u212aen=abcdefgh") == []
 
 
 @pytest.mark.parametrize(
@@ -239,7 +239,7 @@ def test_pipeline_of_awkward_rows(spark):
     docs = documents_of(spark, rows)
     deduplicated = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     ids = sorted(r["doc_id"] or -1 for r in deduplicated)
-    assert ids == [-1, 1, 3, 4, 5, 6, 7, 8, 9, 11, 12]
+    assert ids == [-1, 1, 4, 5, 6, 7, 8, 9, 11, 12]
     assert set(docs.columns) == set(deduplicated[0].asDict())
     hidden = corpus_pipeline.hide_secrets(spark, docs, SF)
     assert hidden.dtypes == docs.dtypes and hidden.count() == len(rows)
