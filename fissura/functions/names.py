@@ -44,8 +44,12 @@ def listing_glob() -> str:
 
 
 def identity_key(*parts: Column) -> Column:
-    """Collision-free name that a retried task computes again unchanged."""
-    return F.sha2(F.concat_ws("\0", *(p.cast("string") for p in parts)), 256)
+    """Collision-free name that a retried task computes again unchanged.
+
+    A missing part is not the same as an empty one, and stays in its place.
+    """
+    marked = (F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts)
+    return F.sha2(F.concat_ws("\0", *marked), 256)
 
 
 def upload_name(key: Column, name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 ``lenient`` follows the upload form: missing fields take their default, one
 bad field resets all three, values are clamped. ``strict`` follows the command
-line: bad text is an error and values are used as given.
+line: values are used as given and bad text is an error, of its row alone.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 DEFAULT_CONF, DEFAULT_ALPHA, DEFAULT_OUTLINE = 0.25, 0.5, 2
 CONF_RANGE, ALPHA_RANGE, OUTLINE_RANGE = (0.0, 1.0), (0.0, 1.0), (0, 10)
 DEFAULT_COLOUR = (0, 0, 255)
+INT_RANGE = (-2147483648.0, 2147483647.0)
 COLOUR_MESSAGE = "color must be 'B,G,R', e.g. 0,0,255"
 
 # Number texts that count as valid. Spark's cast alone also takes `0.5f` and hex.
@@ -60,18 +61,27 @@ def normalise_params(
     alpha_raw: str = "alpha_raw",
     outline_raw: str = "outline_raw",
 ) -> DataFrame:
-    """Add typed ``conf``, ``alpha`` (double) and ``outline`` (int) columns."""
+    """Add typed ``conf``, ``alpha`` (double) and ``outline`` (int) columns.
+
+    Strict mode also adds ``error``, the first bad text of the row; its values
+    are then NULL. Whole numbers beyond 32 bits are brought to the nearest int.
+    """
     texts = [F.col(conf_raw), F.col(alpha_raw), F.col(outline_raw)]
     values = [parse_float(texts[0]), parse_float(texts[1]), parse_int(texts[2])]
     defaults = (DEFAULT_CONF, DEFAULT_ALPHA, float(DEFAULT_OUTLINE))
     names = ("conf", "alpha", "outline")
     if mode == "strict":
+        error = F.coalesce(
+            *(
+                F.when(_bad(t, v), F.concat(F.lit(f"invalid {n} value: "), t))
+                for n, t, v in zip(names, texts, values)
+            )
+        )
         columns = {
-            n: F.when(
-                _bad(t, v), F.raise_error(F.concat(F.lit(f"invalid {n} value: "), t))
-            ).otherwise(F.coalesce(v, F.lit(d)))
-            for n, t, v, d in zip(names, texts, values, defaults)
+            n: F.when(error.isNull(), F.coalesce(v, F.lit(d)))
+            for n, v, d in zip(names, values, defaults)
         }
+        columns["error"] = error
     elif mode == "lenient":
         ranges = (CONF_RANGE, ALPHA_RANGE, OUTLINE_RANGE)
         ok = ~(_bad(texts[0], values[0]) | _bad(texts[1], values[1]) | _bad(texts[2], values[2]))
@@ -83,7 +93,7 @@ def normalise_params(
         }
     else:
         raise ValueError(f"unknown mode: {mode}")
-    columns["outline"] = columns["outline"].cast("int")
+    columns["outline"] = clamp(columns["outline"], *INT_RANGE).cast("int")
     return df.withColumns(columns)
 
 

@@ -28,7 +28,7 @@ MASK_THRESHOLD = 0.5
 # them costs nothing and saves joining the size back.
 IMAGE = ("image_id", "height", "width")
 IMAGE_AND_OUTLINE = (*IMAGE, "outline")
-_OF_IMAGE = ("height", "width", "outline", "mask_h", "mask_w")
+_OF_IMAGE = ("height", "width", "outline")
 
 
 def float_lit(value: float) -> Column:
@@ -131,6 +131,20 @@ def merge_pieces(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def merge_overlapping(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join runs of a scanline that overlap or touch, without packing them to words."""
+    identity = [k for k in keys if k not in _OF_IMAGE]
+    scanline = Window.partitionBy(*identity, "y").orderBy("x0", "x1")
+    reached = F.max("x1").over(scanline.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        runs.withColumn("new", F.when(reached >= F.col("x0"), 0).otherwise(1))
+        .withColumn("run", F.sum("new").over(scanline.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "y", "run")
+        .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+        .drop("run")
+    )
+
+
 def union_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Merge runs that overlap or touch, such as those of several instances."""
     words = union_words(runs_to_words(runs.select(*keys, "y", "x0", "x1")), keys)
@@ -142,7 +156,9 @@ def fit_runs(words: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
 
     Nearest neighbour: target column ``x`` shows source column
     ``floor(x * mask_w / width)``, rows alike. Columns are scaled before the
-    pieces are merged and rows are repeated after, so fitting adds no shuffle.
+    pieces are merged and rows are repeated after. Masks of one image may differ
+    in shape: each shape is merged and scaled on its own, and the few runs that
+    result are united.
     """
     scaled = words_to_pieces(words).withColumns(
         {
@@ -150,26 +166,28 @@ def fit_runs(words: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
             for c in ("x0", "x1")
         }
     )
-    merged = merge_pieces(scaled.filter("x0 < x1"), [*keys, "mask_h"])
+    merged = merge_pieces(scaled.filter("x0 < x1"), [*keys, "mask_h", "mask_w"])
     first = "int((cast(y as bigint) * height + mask_h - 1) div mask_h)"
     after = "int((cast(y + 1 as bigint) * height + mask_h - 1) div mask_h)"
-    return (
+    fitted = (
         merged.filter(f"{first} < {after}")
         .withColumn("y", F.explode(F.expr(f"sequence({first}, {after} - 1)")))
         .select(*keys, "y", "x0", "x1")
     )
+    return merge_overlapping(fitted, keys)
 
 
 def thicken_runs(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Grow runs by a disc of diameter ``outline`` (a column), clipped to the image.
 
     Every pixel within ``outline / 2`` of a run pixel is set; 1 changes nothing.
+    Widths beyond the image cost no more than the image.
     """
-    radius = "int(outline div 2)"
+    radius = "int(least(outline div 2, height))"
     grown = (
         pieces.selectExpr("*", f"explode(sequence(-{radius}, {radius})) AS dy")
         .filter("y + dy >= 0 and y + dy < height")
-        .selectExpr("*", "int(floor(sqrt(outline * outline / 4 - dy * dy))) AS reach")
+        .selectExpr("*", "int(least(floor(sqrt(double(outline) * outline / 4 - dy * dy)), width)) AS reach")
         .selectExpr(
             *keys,
             "y + dy AS y",

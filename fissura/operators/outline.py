@@ -31,10 +31,12 @@ from fissura.operators.masks import (
     thicken_runs,
     words_to_pieces,
 )
+from fissura.storage import durable
 
 STRIP_PIXELS = 1 << 24
 _RUN = -1  # component number of a run, which is no gap
 
+
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node of each node's component, for ``n`` nodes and edges a-b."""
     root = np.arange(n)
@@ -162,49 +164,44 @@ def _strip_rows(strip_pixels: int) -> Column:
     return F.greatest(F.lit(1), F.expr(f"cast({strip_pixels} div width as int)"))
 
 
-def has_tall_images(runs: DataFrame, strip_pixels: int = STRIP_PIXELS) -> bool:
-    """Whether some image has more than one strip. Runs a job on ``runs``."""
-    return not runs.filter(F.col("height") > _strip_rows(strip_pixels)).isEmpty()
-
-
 def filled_runs(
     runs: DataFrame,
     keys: Sequence[str] = IMAGE,
     strip_pixels: int = STRIP_PIXELS,
-    tall_images: bool = True,
 ) -> DataFrame:
     """The mask with the background it closes off from the frame filled in.
 
-    A run and a gap it touches stay separate rows. ``tall_images=False`` leaves
-    out the step that links strips, for images known to have only one.
+    A run and a gap it touches stay separate rows. Images of one strip and
+    taller ones part before the gaps are labelled: only the latter take the
+    step that links strips, and their labels, which it reads twice, are stored.
     """
+    tall = F.col("height") > _strip_rows(strip_pixels)
     shared = (F.col("y") % F.col("rows") == 0) & (F.col("y") > 0)
     own = F.expr("y div rows").cast("int")
-    strips = (
-        runs.select(*keys, "y", "x0", "x1", _strip_rows(strip_pixels).alias("rows"))
-        .withColumn("strip", F.explode(F.when(shared, F.array(own - 1, own)).otherwise(F.array(own))))
-        .select(*keys, "strip", "rows", "y", "x0", "x1")
-    )
-    layout = T.StructType(
-        [
-            *strips.select(*keys, "strip", "y", "x0", "x1").schema,
-            T.StructField("part", T.LongType()),
-            T.StructField("solid", T.BooleanType()),
-        ]
-    )
-    # Sorted, so that a task streams through its strips one after the other.
-    spans = (
-        strips.repartition("image_id", "strip")
-        .sortWithinPartitions("image_id", "strip", "y", "x0")
-        .mapInArrow(_gap_batches, layout)
-    )
     result = [*keys, "y", "x0", "x1"]
-    if not tall_images:
-        return spans.filter("solid").select(*result)
 
-    tall = F.col("height") > _strip_rows(strip_pixels)
-    low = spans.filter(~tall & F.col("solid")).select(*result)
-    high = spans.filter(tall).withColumn("rows", _strip_rows(strip_pixels))
+    def labelled(some: DataFrame) -> DataFrame:
+        strips = (
+            some.select(*keys, "y", "x0", "x1", _strip_rows(strip_pixels).alias("rows"))
+            .withColumn("strip", F.explode(F.when(shared, F.array(own - 1, own)).otherwise(F.array(own))))
+            .select(*keys, "strip", "rows", "y", "x0", "x1")
+        )
+        layout = T.StructType(
+            [
+                *strips.select(*keys, "strip", "y", "x0", "x1").schema,
+                T.StructField("part", T.LongType()),
+                T.StructField("solid", T.BooleanType()),
+            ]
+        )
+        # Sorted, so that a task streams through its strips one after the other.
+        return (
+            strips.repartition("image_id", "strip")
+            .sortWithinPartitions("image_id", "strip", "y", "x0")
+            .mapInArrow(_gap_batches, layout)
+        )
+
+    low = labelled(runs.filter(~tall)).filter("solid").select(*result)
+    high = durable(labelled(runs.filter(tall)), "strips").withColumn("rows", _strip_rows(strip_pixels))
     opened = (
         high.filter(shared & (F.col("part") != _RUN))
         .select("image_id", "strip", "y", "x0", "part", "solid")
@@ -261,19 +258,17 @@ def outline_words(
     runs: DataFrame,
     keys: Sequence[str] = IMAGE,
     strip_pixels: int = STRIP_PIXELS,
-    tall_images: bool = True,
 ) -> DataFrame:
-    return boundary_words(filled_runs(runs, keys, strip_pixels, tall_images), keys)
+    return boundary_words(filled_runs(runs, keys, strip_pixels), keys)
 
 
 def outline_runs(
     runs: DataFrame,
     keys: Sequence[str] = IMAGE,
     strip_pixels: int = STRIP_PIXELS,
-    tall_images: bool = True,
 ) -> DataFrame:
     """One-pixel outer outline of a mask, as runs."""
-    words = outline_words(runs, keys, strip_pixels, tall_images)
+    words = outline_words(runs, keys, strip_pixels)
     return merge_pieces(words_to_pieces(words), keys)
 
 
@@ -281,8 +276,7 @@ def thick_outline_runs(
     runs: DataFrame,
     keys: Sequence[str] = IMAGE_AND_OUTLINE,
     strip_pixels: int = STRIP_PIXELS,
-    tall_images: bool = True,
 ) -> DataFrame:
     """Outline as wide as each image's ``outline`` key says; 0 draws none."""
-    words = outline_words(runs.filter("outline > 0"), keys, strip_pixels, tall_images)
+    words = outline_words(runs.filter("outline > 0"), keys, strip_pixels)
     return thicken_runs(words_to_pieces(words), keys)

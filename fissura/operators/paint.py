@@ -65,11 +65,16 @@ def _as_bgr(line: pa.Array, n_channels: pa.Array) -> pa.Array:
     kinds = n_channels.to_numpy(zero_copy_only=False)
     if (kinds == 3).all():
         return line
-    out = []
-    for raw, kind in zip(line.to_pylist(), kinds):
-        px = np.frombuffer(raw, np.uint8).reshape(-1, kind)
-        out.append((np.repeat(px, 3, axis=1) if kind == 1 else px[:, :3]).tobytes())
-    return pa.array(out, pa.binary())
+    parts, places = [], []
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        data, ends = _bytes_of(line.take(pa.array(at)))
+        pixels = data.reshape(-1, kind)
+        pixels = np.repeat(pixels, 3, axis=1) if kind == 1 else pixels[:, :3]
+        parts.append(_binary(pixels.ravel(), ends // kind * 3))
+        places.append(at)
+    back = np.argsort(np.concatenate(places), kind="stable")
+    return pa.concat_arrays(parts).take(pa.array(back))
 
 
 @arrow_udf(T.BinaryType())
@@ -120,17 +125,17 @@ def paint(
 
     ``lines`` carries ``alpha`` and ``colour``. Scanlines without runs keep
     their pixels; images in ``skipped`` (``image_id, height``) are left out.
-    The join hashes the runs, a fraction of the pixels they are painted on, so
-    that the pixels are shuffled once and never sorted.
+    The kind of join is Spark's choice: no size of the runs is known here.
     """
     runs = runs_by_scanline(fill, drawn)
+    lines = lines.repartition("image_id", "y")  # also where Spark broadcasts the runs: see scanlines
     if skipped is not None:
         every_line = F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")
         gone = skipped.filter("height > 0").select("image_id", every_line, F.lit(True).alias("skip"))
         runs = runs.unionByName(gone, allowMissingColumns=True)
-        lines = lines.join(runs.hint("shuffle_hash"), ["image_id", "y"], "left").filter("skip is null")
+        lines = lines.join(runs, ["image_id", "y"], "left").filter("skip is null")
     else:
-        lines = lines.join(runs.hint("shuffle_hash"), ["image_id", "y"], "left")
+        lines = lines.join(runs, ["image_id", "y"], "left")
     painted = paint_line("line", "n_channels", "fill", "drawn", "alpha", "colour")
     return lines.select("image_id", "y", painted.alias("bgr"))
 

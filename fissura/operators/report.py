@@ -6,23 +6,20 @@ from pyspark.sql import functions as F
 from fissura.operators.masks import count_instances
 
 
+# User-facing messages.
+FOUND, INSTANCE, NOTHING = "Found ", " crack instance", "No cracks detected"
+DETECTED, SAVED = "Detected ", " crack instance(s). Saved: "
+
+
 def page_message(n: Column) -> Column:
-    found = F.concat(
-        F.lit("Found "),
-        n.cast("string"),
-        F.lit(" crack instance"),
-        F.when(n == 1, "").otherwise("s"),
-    )
-    return F.when(n > 0, found).otherwise("No cracks detected")
+    plural = F.when(n == 1, "").otherwise("s")
+    found = F.concat(F.lit(FOUND), n.cast("string"), F.lit(INSTANCE), plural)
+    return F.when(n > 0, found).otherwise(NOTHING)
 
 
 def console_message(n: Column, out_path: Column) -> Column:
-    found = F.concat(
-        F.lit("Detected "), n.cast("string"), F.lit(" crack instance(s). Saved: "), out_path
-    )
-    none = F.lit(
-        "No cracks detected - saving a copy of the original image (try a lower --conf, e.g. 0.1)."
-    )
+    found = F.concat(F.lit(DETECTED), n.cast("string"), F.lit(SAVED), out_path)
+    none = F.concat(F.lit(NOTHING + "; the original is stored as it is: "), out_path)
     return F.when(n > 0, found).otherwise(none)
 
 

@@ -5,13 +5,16 @@ The network is the caller's: ``load(weights)`` returns a function
 is ``height x width x 3`` B,G,R bytes and ``mask`` a 2-D array of scores.
 """
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 from fissura.functions.params import DEFAULT_CONF
 from fissura.operators.masks import float_lit
 from fissura.schemas import SCORED
+from fissura.storage import new_dir
 
 # Inference size in pixels, error text.
 DEFAULT_IMGSZ = 640
@@ -32,24 +36,51 @@ _SCORED_TYPES = (
     *(pa.int32(), pa.int32(), pa.string()),
 )
 
-_LOADED: dict = {}
+# Of this worker, by the token the driver gave to a loader and its weights.
+_MODELS: dict[str, Callable] = {}
 
 
-def model_of(load: Callable, weights: str):
-    """The model, loaded once per Python worker and weights path."""
-    if weights not in _LOADED:
-        shipped = SparkFiles.get(os.path.basename(weights))
-        _LOADED[weights] = load(shipped if os.path.exists(shipped) else weights)
-    return _LOADED[weights]
+@dataclass(frozen=True)
+class Shipped:
+    """Weights as executors know them; ``token`` changes with loader, file and version."""
 
+    token: str
+    name: str
 
-def ship_weights(spark: SparkSession, weights: str) -> str:
-    """Check that the weights exist and hand them to every executor."""
+
+def ship_weights(spark: SparkSession, weights: str, load: Callable | None = None) -> Shipped:
+    """Check that the weights exist and hand them to every executor.
+
+    The file travels under a name of its own, so that neither a file of the same
+    base name nor an older version of the file is taken for it.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(weights)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
         raise FileNotFoundError(f"Weights not found: {weights}")
-    spark.sparkContext.addFile(weights)
-    return weights
+    status = store.getFileStatus(path)
+    version = (weights, status.getModificationTime(), status.getLen())
+    name = f"{hashlib.sha256(repr(version).encode()).hexdigest()[:16]}-{os.path.basename(weights)}"
+    folder = new_dir(spark, "weights")
+    copy = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    conf = spark._jsc.hadoopConfiguration()
+    to = copy.getFileSystem(conf)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, path, to, copy, False, conf)
+    spark.sparkContext.addFile(copy.toString())
+    return Shipped(f"{_identity(load)}:{name}", name)
+
+
+def _identity(load: Callable | None) -> str:
+    """The loader by what it does: its code and all it refers to, as it is shipped."""
+    return hashlib.sha256(CloudPickleSerializer().dumps(load)).hexdigest()
+
+
+def model_of(load: Callable, weights: Shipped | str, token: str):
+    """The model, loaded once per Python worker and token."""
+    if token not in _MODELS:
+        path = SparkFiles.get(weights.name) if isinstance(weights, Shipped) else weights
+        _MODELS[token] = load(path)
+    return _MODELS[token]
 
 
 def _as_bgr(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray:
@@ -84,44 +115,54 @@ def _scored_batch(rows: list[tuple]) -> pa.RecordBatch:
 def score_images(
     images: DataFrame,
     load: Callable,
-    weights: str,
+    weights: Shipped | str,
     conf: float = DEFAULT_CONF,
     imgsz: int = DEFAULT_IMGSZ,
 ) -> DataFrame:
     """Detections of every image, and one row per image with its size.
 
     A ``conf`` column in ``images`` overrides the argument image by image.
-    Failures are caught per image and land in the ``error`` of its row, so one
-    bad file never fails a task.
+    Failures are caught per image and land in the ``error`` of its row: what the
+    model raises, and masks that are not two-dimensional or differ in shape. So
+    one bad file never fails a task. ``weights`` is what ``ship_weights`` gave,
+    or a path that every node can open.
     """
     threshold = F.col("conf") if "conf" in images.columns else F.lit(conf)
     blank = (None,) * 5
-
-    def rows_of(row: dict) -> list[tuple]:
+    token = weights.token if isinstance(weights, Shipped) else f"{_identity(load)}:{weights}"
+
+    def detections(row: dict) -> list[tuple[float, np.ndarray]]:
+        model = model_of(load, weights, token)
+        image = _as_bgr(row["data"], row["height"], row["width"], row["n_channels"])
+        found = [(float(c), np.asarray(m, np.float32)) for c, m in model(image, row["conf"], imgsz)]
+        shapes = {m.shape for _, m in found}
+        if any(len(s) != 2 or 0 in s for s in shapes):
+            raise ValueError("a mask is not two-dimensional")
+        if len(shapes) > 1:
+            raise ValueError("masks of one image differ in shape")
+        return found
+
+    def rows_of(row: dict) -> Iterator[tuple]:
         size = (row["height"], row["width"])
         try:
-            model = model_of(load, weights)
-            image = _as_bgr(row["data"], *size, row["n_channels"])
-            found = [
-                (float(c), np.asarray(m, np.float32)) for c, m in model(image, row["conf"], imgsz)
-            ]
+            found = detections(row)
         except Exception as exc:
-            return [(row["image_id"], *blank, *size, f"{FAILED}{exc}")]
-        return [(row["image_id"], *blank, *size, None)] + [
-            (row["image_id"], i, c, *m.shape, m.ravel(), *size, None)
-            for i, (c, m) in enumerate(found)
-        ]
+            yield (row["image_id"], *blank, *size, f"{FAILED}{exc}")
+            return
+        yield (row["image_id"], *blank, *size, None)
+        for i, (c, m) in enumerate(found):
+            yield (row["image_id"], i, c, *m.shape, m.ravel(), *size, None)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, cells = [], 0
             for row in batch.to_pylist():
-                found = rows_of(row)
-                rows += found
-                cells += sum(len(r[5]) for r in found if r[5] is not None)
-                if cells > _OUTPUT_CELLS:
-                    yield _scored_batch(rows)
-                    rows, cells = [], 0
+                for one in rows_of(row):
+                    rows.append(one)
+                    cells += 0 if one[5] is None else len(one[5])
+                    if cells > _OUTPUT_CELLS:  # also within one image
+                        yield _scored_batch(rows)
+                        rows, cells = [], 0
             if rows:
                 yield _scored_batch(rows)
 

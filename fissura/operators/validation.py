@@ -11,13 +11,21 @@ UNSUPPORTED_MESSAGE = (
     "Unsupported file type. Please upload a JPG, PNG, BMP, TIF, or WEBP image."
 )
 TOO_LARGE_MESSAGE = "File exceeds the 16 MB upload limit."
+EMPTY_MESSAGE = "Inference failed: file is empty"
+ABSENT_MESSAGE = "Inference failed: file was not found"
 
 
-def check_uploads(uploads: DataFrame, max_bytes: int = names.MAX_UPLOAD_BYTES) -> DataFrame:
-    """Add ``ext``, ``reject_reason`` and ``reject_message`` (NULL when accepted)."""
+def check_uploads(
+    uploads: DataFrame, max_bytes: int | None = names.MAX_UPLOAD_BYTES
+) -> DataFrame:
+    """Add ``ext``, ``reject_reason`` and ``reject_message`` (NULL when accepted).
+
+    Without ``max_bytes`` no size is too large.
+    """
     name = F.col("filename")
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     reason = (
-        F.when(F.col("length") > max_bytes, "too_large")
+        F.when(too_large, "too_large")
         .when(name.isNull() | (name == ""), "missing")
         .when(~names.is_allowed(name), "unsupported_type")
     )
@@ -59,6 +67,32 @@ def output_collisions(results: DataFrame, column: str = "out_path") -> DataFrame
     )
 
 
+def input_report(
+    inputs: DataFrame, report: DataFrame, max_bytes: int | None = names.MAX_UPLOAD_BYTES
+) -> DataFrame:
+    """One row per listed input, with what became of it.
+
+    ``inputs`` is ``path, filename, length`` of everything handed in, ``report``
+    the rows of the images that were processed (``path, status, message``).
+    Inputs that fail a check carry its reason; accepted ones that no scan
+    returned are ``empty`` or ``absent``.
+    """
+    done = report.select("path", F.col("status").alias("done"), F.col("message").alias("said"))
+    checked = check_uploads(inputs, max_bytes).join(done, "path", "left")
+    reason, empty = F.col("reject_reason"), F.coalesce(F.col("length") == 0, F.lit(False))
+    status = (
+        F.when(reason.isNotNull(), reason)
+        .when(F.col("done").isNotNull(), F.col("done"))
+        .otherwise(F.when(empty, "empty").otherwise("absent"))
+    )
+    message = (
+        F.when(reason.isNotNull(), F.col("reject_message"))
+        .when(F.col("done").isNotNull(), F.col("said"))
+        .otherwise(F.when(empty, EMPTY_MESSAGE).otherwise(ABSENT_MESSAGE))
+    )
+    return checked.select("path", "filename", "length", status.alias("status"), message.alias("message"))
+
+
 def not_scanned(manifest: DataFrame, scanned: DataFrame) -> DataFrame:
     """Manifest entries no scan returned: absent files, and empty files,
     which Spark's file sources skip."""

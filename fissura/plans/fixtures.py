@@ -15,9 +15,9 @@ CONF_TEXTS = (
 )
 ALPHA_TEXTS = (None, "0.5", "0.25", "1", "-4", "99", "0.75")
 OUTLINE_TEXTS = (None, "2", "2.5", "+4", "-4", "99", "99999999999", " 3 ", "0", "1_0", "7")
-STRICT_CONF_TEXTS = (None, "0.25", " 0.3 ", "2.5", "-1", "1e-1", "+.25")
-STRICT_ALPHA_TEXTS = (None, "0.5", "-4", "99", "1.")
-STRICT_OUTLINE_TEXTS = (None, "2", "-4", "99", " 3 ")
+STRICT_CONF_TEXTS = (None, "0.25", " 0.3 ", "2.5", "-1", "1e-1", "+.25", "abc")
+STRICT_ALPHA_TEXTS = (None, "0.5", "-4", "99", "1.", "", "7")
+STRICT_OUTLINE_TEXTS = (None, "2", "-4", "99", " 3 ", "99999999999", "-99999999999", "2.5", "0")
 COLOUR_TEXTS = (
     None, "0,0,255", " 1 , 2 , 3 ", "300,-5,0", "1,2", "1,2,3,4", "a,b,c", "", "1,2,", "1.5,2,3",
     "+7,08,9",

@@ -146,7 +146,6 @@ def _clamp(value: str, low, high) -> str:
 _PARAM_OUT = """SELECT event_id, CASE WHEN NOT isnan(conf) THEN conf END AS conf,
   isnan(conf) AS conf_is_nan, alpha, outline::INTEGER AS outline FROM final"""
 
-_SUFFIX = names.SUFFIX_PATTERN
 _ALLOWED = "(" + ", ".join(f"'{s}'" for s in names.ALLOWED_SUFFIXES) + ")"
 
 UPLOADS = f"""upload AS (
@@ -158,7 +157,10 @@ checked AS (
   SELECT *, CASE WHEN length > {names.MAX_UPLOAD_BYTES} THEN 'too_large'
                  WHEN coalesce(filename, '') = '' THEN 'missing'
                  WHEN ext NOT IN {_ALLOWED} THEN 'unsupported_type' END AS reject_reason
-  FROM (SELECT *, lower(regexp_extract(filename, '{_SUFFIX}', 1)) AS ext FROM upload))"""
+  FROM (SELECT *, CASE WHEN filename IS NULL THEN NULL WHEN strpos(base, '.') > 0 AND NOT starts_with(reverse(base), '.')
+                         AND length(base) > strpos(reverse(base), '.')
+                       THEN lower(right(base, strpos(reverse(base), '.'))) ELSE '' END AS ext
+        FROM (SELECT *, string_split(filename, '/')[-1] AS base FROM upload)))"""
 
 _PLANES = """plane AS (
   SELECT vec_id AS image_id, c::INTEGER AS c, p, (floor(abs(v::DOUBLE) * 1000)::INTEGER + c * 11) % 256 AS px
@@ -169,6 +171,11 @@ channel AS (
   SELECT image_id, c FROM plane WHERE image_id NOT IN (SELECT image_id FROM failed)
   GROUP BY image_id, c HAVING max(px)::FLOAT / 255::FLOAT >= 0.8::FLOAT)"""
 
+SPECKLES = """mask AS (
+  SELECT DISTINCT l_suppkey AS image_id, (l_partkey % 24)::INTEGER AS y,
+         unnest(range(l_orderkey % 60, l_orderkey % 60 + 1 + l_linenumber % 4))::INTEGER AS x FROM lineitem),
+plate AS (SELECT DISTINCT image_id, 24 AS height, 64 AS width FROM mask)"""
+
 ALL = {
     "masked_area": _query(
         SITE, _hot(0.1), SITES,
@@ -185,10 +192,24 @@ ALL = {
   WHEN 'missing' THEN '{validation.MISSING_MESSAGE}'
   WHEN 'unsupported_type' THEN '{validation.UNSUPPORTED_MESSAGE}' END AS reject_message FROM checked""",
     ),
+    "upload_report": _query(
+        UPLOADS,
+        f"""told AS (SELECT *, upload_id::BIGINT AS i FROM checked)""",
+        select=f"""SELECT upload_id AS path, filename, length,
+  CASE WHEN reject_reason IS NOT NULL THEN reject_reason WHEN coalesce(length, 0) = 0 THEN 'empty'
+       WHEN i % 13 = 3 THEN 'absent' WHEN i % 7 = 1 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN reject_reason = 'too_large' THEN '{validation.TOO_LARGE_MESSAGE}'
+       WHEN reject_reason = 'missing' THEN '{validation.MISSING_MESSAGE}'
+       WHEN reject_reason = 'unsupported_type' THEN '{validation.UNSUPPORTED_MESSAGE}'
+       WHEN coalesce(length, 0) = 0 THEN '{validation.EMPTY_MESSAGE}'
+       WHEN i % 13 = 3 THEN '{validation.ABSENT_MESSAGE}' WHEN i % 7 = 1 THEN 'Inference failed: x'
+       WHEN i % 4 = 0 THEN 'No cracks detected' WHEN i % 4 = 1 THEN 'Found 1 crack instance'
+       ELSE 'Found ' || (i % 4) || ' crack instances' END AS message FROM told""",
+    ),
     "upload_naming": _query(
         UPLOADS,
         select="""SELECT upload_id, k || ext AS upload_name, k || '_overlay.jpg' AS result_name
-  FROM (SELECT *, sha256(filename || chr(0) || length) AS k FROM checked WHERE reject_reason IS NULL)""",
+  FROM (SELECT *, sha256('=' || upload_id || chr(0) || '=' || filename || chr(0) || '=' || length) AS k FROM checked WHERE reject_reason IS NULL)""",
     ),
     "output_name_collisions": f"""SELECT source || '/' || regexp_replace(file, '(.)\\.[^.]+$', '\\1') || '_overlay.jpg' AS out_path,
   count(*)::BIGINT AS n_inputs
@@ -210,10 +231,18 @@ final AS (
     ),
     "param_strict": _query(
         _raw_params(fx.STRICT_CONF_TEXTS, fx.STRICT_ALPHA_TEXTS, fx.STRICT_OUTLINE_TEXTS),
-        """final AS (
-  SELECT event_id, coalesce(cv, 0.25) AS conf, coalesce(av, 0.5) AS alpha, coalesce(ov, 2) AS outline
-  FROM typed)""",
-        select=_PARAM_OUT,
+        """wrong AS (
+  SELECT *, CASE WHEN c IS NOT NULL AND cv IS NULL THEN 'invalid conf value: ' || c
+                 WHEN a IS NOT NULL AND av IS NULL THEN 'invalid alpha value: ' || a
+                 WHEN o IS NOT NULL AND ov IS NULL THEN 'invalid outline value: ' || o END AS error FROM typed),
+final AS (
+  SELECT event_id, error, CASE WHEN error IS NULL THEN coalesce(cv, 0.25) END AS conf,
+         CASE WHEN error IS NULL THEN coalesce(av, 0.5) END AS alpha,
+         CASE WHEN error IS NULL THEN least(greatest(coalesce(ov, 2), -2147483648), 2147483647) END AS outline
+  FROM wrong)""",
+        select=_PARAM_OUT.replace("event_id,", "event_id, error,").replace(
+            "isnan(conf) AS", "coalesce(isnan(conf), FALSE) AS"
+        ),
     ),
     "colour_parse": _query(
         f"raw AS (SELECT event_id, {_pick(fx.COLOUR_TEXTS, 'event_id')} AS t FROM events)",
@@ -258,13 +287,13 @@ final AS (
         FRAMES, GRID, FRAME_DET, _hot(0.1), _mask(), _outside("frame"), select="SELECT * FROM edge"
     ),
     "outline_speckle": _query(
-        """mask AS (
-  SELECT DISTINCT l_suppkey AS image_id, (l_partkey % 24)::INTEGER AS y,
-         unnest(range(l_orderkey % 60, l_orderkey % 60 + 1 + l_linenumber % 4))::INTEGER AS x FROM lineitem),
-plate AS (SELECT DISTINCT image_id, 24 AS height, 64 AS width FROM mask)""",
+        SPECKLES,
         _outside("plate"), _runs("run", "edge"),
         select="SELECT * FROM run",
     ),
+    "outline_strips": _query(
+        SPECKLES, _outside("plate"), _runs("run", "edge"), select="SELECT * FROM run",
+    ),
     "outline_thick": _query(
         FRAMES, GRID, FRAME_DET, _hot(0.1), _mask(), _outside("frame"), THICK,
         select="SELECT * FROM thick",
@@ -283,6 +312,35 @@ plate AS (SELECT DISTINCT image_id, 24 AS height, 64 AS width FROM mask)""",
   CASE WHEN f.image_id IS NOT NULL THEN 'Inference failed: forced failure' END AS error
   FROM embeddings i LEFT JOIN failed f ON f.image_id = i.vec_id
   LEFT JOIN (SELECT image_id, count(*) AS n FROM channel GROUP BY image_id) c ON c.image_id = i.vec_id""",
+    ),
+    "result_files": _query(
+        _PLANES,
+        """frame AS (SELECT DISTINCT image_id, 8 AS height, 8 AS width, 1 AS outline FROM plane
+  WHERE image_id NOT IN (SELECT image_id FROM failed)),
+mask AS (
+  SELECT DISTINCT p.image_id, (p.p // 8)::INTEGER AS y, (p.p % 8)::INTEGER AS x
+  FROM plane p JOIN channel k ON k.image_id = p.image_id AND k.c = p.c
+  WHERE p.px::FLOAT / 255::FLOAT > 0.5::FLOAT)""",
+        _outside("frame"),
+        """whole AS (
+  SELECT p.image_id, (p.p // 8)::INTEGER AS y, (p.p % 8)::INTEGER AS x, p.c,
+         CASE WHEN e.image_id IS NOT NULL THEN [0, 0, 255][p.c + 1]
+              WHEN m.image_id IS NOT NULL THEN round_even(p.px * 0.5::DOUBLE + [0, 0, 255][p.c + 1] * 0.5::DOUBLE, 0)
+              ELSE p.px END::INTEGER AS v
+  FROM plane p JOIN frame f ON f.image_id = p.image_id
+  LEFT JOIN mask m ON m.image_id = p.image_id AND m.y = p.p // 8 AND m.x = p.p % 8
+  LEFT JOIN edge e ON e.image_id = p.image_id AND e.y = p.p // 8 AND e.x = p.p % 8)""",
+        select="""SELECT image_id, y, x, max(v) FILTER (c = 0) AS b, max(v) FILTER (c = 1) AS g,
+  max(v) FILTER (c = 2) AS r FROM whole GROUP BY image_id, y, x""",
+    ),
+    "stream_detect": _query(
+        FRAMES, GRID,
+        """hit AS (
+  SELECT image_id, y, x, (image_id * 31 + y * 7 + x * 3) % 256 > 127 AS blue,
+         (image_id * 31 + y * 7 + x * 3 + 11) % 256 > 200 AS green FROM grid)""",
+        select="""SELECT 'frame_' || image_id || '.bmp' AS file,
+  (max(blue::INTEGER) + max(green::INTEGER))::BIGINT AS num_instances,
+  count(*) FILTER (blue OR green)::BIGINT AS mask_area FROM hit GROUP BY image_id""",
     ),
     "scored_masks": _query(
         _PLANES,

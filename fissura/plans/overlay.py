@@ -3,14 +3,15 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fissura.functions import names
 from fissura.functions import params as P
 from fissura.operators import masks, outline, paint, report, scoring
 from fissura.operators.validation import output_collisions
-from fissura.sources.sinks import write_scanlines
-from fissura.storage import durable
+from fissura.sources.sinks import write_image_files, write_scanlines
+from fissura.storage import discard, durable, new_dir
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class OverlayParams:
     outline: int = P.DEFAULT_OUTLINE
     colour: tuple[int, int, int] = P.DEFAULT_COLOUR
     threshold: float = masks.MASK_THRESHOLD
+    imgsz: int = scoring.DEFAULT_IMGSZ
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,14 @@ class Overlay:
 
 
 def with_params(images: DataFrame, params: OverlayParams) -> DataFrame:
-    """Fill in the parameter columns ``images`` does not bring per image."""
+    """Fill in the parameters that ``images`` does not bring, column by column and row by row."""
     colour = F.struct(*(F.lit(v).alias(n) for n, v in zip("bgr", params.colour)))
     constants = {"alpha": F.lit(params.alpha), "outline": F.lit(params.outline), "colour": colour}
-    return images.withColumns({k: v for k, v in constants.items() if k not in images.columns})
+    if "conf" in images.columns:
+        constants["conf"] = F.lit(params.conf)
+    return images.withColumns(
+        {k: F.coalesce(F.col(k), v) if k in images.columns else v for k, v in constants.items()}
+    )
 
 
 def mask_words(images: DataFrame, detections: DataFrame, params: OverlayParams) -> DataFrame:
@@ -82,7 +88,7 @@ def overlay(
     if sizes is not None:
         known = images.drop("height", "width", "n_channels", "data").join(sizes, "image_id")
     fill = durable(fitted_mask(known, detections, params), "mask")
-    edge = outline.thick_outline_runs(fill, tall_images=outline.has_tall_images(fill))
+    edge = outline.thick_outline_runs(fill)
     kept = ("image_id", "height", "width", "n_channels", "alpha", "colour", "data")
     skipped = None
     if failed is not None:
@@ -92,9 +98,22 @@ def overlay(
 
 
 def selected(images: DataFrame, detections: DataFrame, params: OverlayParams) -> DataFrame:
-    """The detections that count: those at or above the image's confidence."""
+    """The detections that count: whole masks at or above the image's confidence."""
     limit = images.select("image_id", "conf") if "conf" in images.columns else params.conf
-    return scoring.confident(detections, limit)
+    return scoring.confident(detections.filter(masks.well_formed()), limit)
+
+
+def _png_name(out_path: Column) -> Column:
+    """The last part of the result path, with the suffix of what is written."""
+    base = F.regexp_extract(out_path, names.BASENAME_PATTERN, 1)
+    return F.concat(names.stem(base), F.lit(".png"))
+
+
+def _clashes(images: DataFrame, column: str) -> DataFrame:
+    """Error rows of the images that share a value which must be their own."""
+    shared = output_collisions(images, column).select(column)
+    message = F.lit(f"{scoring.FAILED}{column} is not unique")
+    return images.join(shared, column, "left_semi").select("image_id", message.alias("error"))
 
 
 def run(
@@ -106,20 +125,50 @@ def run(
 ) -> DataFrame:
     """Score, paint and report ``images`` (with ``out_path``); returns the report.
 
+    Every image without a failure, damaged or not, becomes a PNG file in
+    ``out_dir/images``, named after its ``out_path``; the report names that
+    file, and echoes the parameters. Scanlines are also kept as a table.
+
     Images are decoded twice: to score them and to paint them. Scores are
-    written once to shared storage and every later branch reads that table.
-    Failed images get a report row and no overlay.
+    written once to shared storage, every later branch reads that table, and it
+    is deleted at the end. Failed images get a report row and no overlay: those
+    the model failed on, those with malformed masks, and those that share an
+    ``out_path``. Images that share an ``image_id`` cannot be told apart and end
+    the job.
     """
     spark = images.sparkSession
-    for column in ("image_id", "out_path"):
-        if not output_collisions(images, column).isEmpty():
-            raise ValueError(f"{column} is not unique")
-    scoring.ship_weights(spark, weights)
-    scored = durable(scoring.score_images(images, load, weights, params.conf), "scored")
-    detections, errors = scoring.detections_of(scored), scoring.errors_of(scored)
-    result = overlay(images, detections, params, scoring.sizes_of(scored), errors)
+    if not output_collisions(images, "image_id").isEmpty():
+        raise ValueError("image_id is not unique")
+    shipped = scoring.ship_weights(spark, weights, load)
+    named = images.withColumn("file", _png_name(F.col("out_path")))
+    conf = F.col("conf") if "conf" in images.columns else F.lit(params.conf)
+    filled = with_params(named.withColumn("conf", conf), params)
+    path = new_dir(spark, "scored")
+    scored = durable(
+        scoring.score_images(filled, load, shipped, params.conf, params.imgsz), "scored", path
+    )
+    detections = scoring.detections_of(scored)
+    listed = filled.drop("height", "width", "n_channels", "data")
+    errors = durable(
+        scoring.errors_of(scored)
+        .unionByName(masks.malformed(detections))
+        .unionByName(_clashes(listed, "file"))
+        .groupBy("image_id")
+        .agg(F.min("error").alias("error")),
+        "errors",
+    )
+    sizes = scoring.sizes_of(scored)
+    result = overlay(filled, detections, params, sizes, errors)
     write_scanlines(result.lines, f"{out_dir}/overlay")
-    listed = images.drop("height", "width", "n_channels", "data")
-    rows = report.report(listed, selected(images, detections, params), errors)
+    lines = spark.read.schema(result.lines.schema).parquet(f"{out_dir}/overlay")
+    whole = paint.assemble(lines, listed.join(sizes, "image_id"))
+    write_image_files(
+        whole.join(listed.select("image_id", "file"), "image_id"), f"{out_dir}/images", "file", "png"
+    )
+    target = F.concat(F.lit(f"{out_dir}/images/"), F.col("file"))
+    rows = report.report(
+        listed.withColumn("out_path", target).drop("file"), selected(filled, detections, params), errors
+    )
     rows.write.mode("overwrite").parquet(f"{out_dir}/report")
+    discard(spark, path)
     return spark.read.schema(rows.schema).parquet(f"{out_dir}/report")

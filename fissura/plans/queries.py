@@ -8,16 +8,14 @@ from pyspark.sql import types as T
 from fissura.functions import names, params
 from fissura.operators import masks, outline, paint, report, scoring, validation
 from fissura.plans import fixtures as fx
-from fissura.plans.overlay import OverlayParams, fitted_mask, overlay
+from fissura.plans.overlay import OverlayParams, fitted_mask, overlay, run
 from fissura.sources.images import scan_images
-from fissura.sources.sinks import write_image_files, write_scanlines
+from fissura.sources.sinks import write_files, write_image_files, write_scanlines
 from fissura.storage import durable, new_dir
 from fissura.streaming.ingest import image_stream, ingest
 
 SITE = OverlayParams(conf=0.35, threshold=0.1)
 FRAME = OverlayParams(conf=0.2, threshold=0.1)
-# Frames and speckles are at most 24 rows high, so none needs a second strip.
-LOW = {"tall_images": False}
 
 
 def _pixels(runs: DataFrame) -> DataFrame:
@@ -49,7 +47,7 @@ def upload_validation(spark, sf_dir):
 
 def upload_naming(spark, sf_dir):
     kept = validation.accepted(validation.check_uploads(fx.uploads(spark, sf_dir)))
-    return validation.name_uploads(kept, "filename", "length").select(
+    return validation.name_uploads(kept, "upload_id", "filename", "length").select(
         "upload_id", "upload_name", "result_name"
     )
 
@@ -59,6 +57,19 @@ def output_name_collisions(spark, sf_dir):
     return validation.output_collisions(paths)
 
 
+def upload_report(spark, sf_dir):
+    """What became of every upload: rejected, empty, absent, failed or done."""
+    inputs = fx.uploads(spark, sf_dir).withColumn("path", F.col("upload_id"))
+    taken = validation.accepted(validation.check_uploads(inputs)).filter("length > 0")
+    i = F.col("upload_id").cast("long")
+    done = taken.filter(i % 13 != 3).select(
+        "path",
+        F.when(i % 7 == 1, "error").otherwise("ok").alias("status"),
+        F.when(i % 7 == 1, "Inference failed: x").otherwise(report.page_message(i % 4)).alias("message"),
+    )
+    return validation.input_report(inputs, done)
+
+
 def _params(df: DataFrame, *texts: str) -> DataFrame:
     # NaN as a flag, so that engines need not agree on how to print it.
     nan = F.isnan("conf")
@@ -80,7 +91,7 @@ def param_strict(spark, sf_dir):
     raw = fx.raw_params(
         spark, sf_dir, fx.STRICT_CONF_TEXTS, fx.STRICT_ALPHA_TEXTS, fx.STRICT_OUTLINE_TEXTS
     )
-    return _params(params.normalise_params(raw, "strict"))
+    return _params(params.normalise_params(raw, "strict"), "error")
 
 
 def colour_parse(spark, sf_dir):
@@ -139,18 +150,24 @@ def blend_pixels(spark, sf_dir):
 def outline_pixels(spark, sf_dir):
     images = fx.frame_images(spark, sf_dir)
     runs = fitted_mask(images, fx.frame_detections(spark, sf_dir), FRAME)
-    return _pixels(outline.outline_runs(runs, **LOW))
+    return _pixels(outline.outline_runs(runs))
 
 
 def outline_speckle(spark, sf_dir):
     runs = masks.union_runs(fx.speckle_runs(spark, sf_dir), masks.IMAGE)
-    return outline.outline_runs(runs, **LOW).select("image_id", "y", "x0", "x1")
+    return outline.outline_runs(runs).select("image_id", "y", "x0", "x1")
+
+
+def outline_strips(spark, sf_dir):
+    """The speckles in strips of seven scanlines, linked across their borders."""
+    runs = masks.union_runs(fx.speckle_runs(spark, sf_dir), masks.IMAGE)
+    return outline.outline_runs(runs, strip_pixels=7 * 64).select("image_id", "y", "x0", "x1")
 
 
 def outline_thick(spark, sf_dir):
     images = fx.frame_images(spark, sf_dir)
     runs = fitted_mask(images, fx.frame_detections(spark, sf_dir), FRAME)
-    return _pixels(outline.thick_outline_runs(runs, **LOW))
+    return _pixels(outline.thick_outline_runs(runs))
 
 
 def _frames_with_conf(spark, sf_dir):
@@ -247,11 +264,55 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(sink).select(_file_name("path"), "height", "width", "error")
 
 
+def result_files(spark, sf_dir):
+    """The whole job, read back through the paths that its report names."""
+    out = new_dir(spark, "results")
+    weights = new_dir(spark, "model")
+    content = F.encode(F.lit("channels"), "utf-8").alias("content")
+    write_files(spark.range(1).select(F.lit("model.txt").alias("name"), content), weights)
+    images = fx.planes(spark, sf_dir).withColumn("out_path", names.beside_input(F.col("path")))
+    rows = run(images, _channel_model, f"{weights}/model.txt", out, OverlayParams(conf=0.8, outline=1))
+    files = scan_images(spark, f"{out}/images").select(_file_name("path"), "height", "width", "n_channels", "data")
+    ok = rows.filter("status = 'ok'").select("image_id", "num_instances", _file_name("out_path"))
+    lines = paint.scanlines(files.join(ok, "file").select("image_id", "height", "width", "n_channels", "data"))
+    return paint.explode_pixels(lines.select("image_id", "y", F.col("line").alias("bgr")))
+
+
+def stream_detect(spark, sf_dir):
+    """Images scored, painted and counted as they arrive, in batches of a few files."""
+    sink, checkpoint = new_dir(spark, "detected"), new_dir(spark, "detect-state")
+
+    def step(images):
+        scored = durable(scoring.score_images(images, _bright_model, "none", 0.5), "scored")
+        found = scoring.confident(scoring.detections_of(scored), 0.5)
+        runs = masks.merge_pieces(masks.words_to_pieces(masks.score_words(found, 0.5)), ["image_id"])
+        counted = masks.count_instances(images.select("image_id", "path", "upload_key"), found)
+        return counted.join(masks.mask_areas(runs), "image_id", "left")
+
+    directory = _frame_files(spark, sf_dir)
+    n = spark.read.format("binaryFile").load(directory).select("path").count()
+    ingest(image_stream(spark, directory, files_per_batch=-(-n // 3)), sink, checkpoint, step)
+    return spark.read.parquet(sink).select(
+        _file_name("path"), "num_instances", F.coalesce("mask_area", F.lit(0).cast("bigint")).alias("mask_area")
+    )
+
+
+def _bright_model(weights: str):
+    """Blue above 127 is one instance, and green above 200 another."""
+
+    def model(image, conf, imgsz):
+        marks = [image[:, :, 0] > 127, image[:, :, 1] > 200]
+        return [(0.75, m.astype(np.float32)) for m in marks if m.any()]
+
+    return model
+
+
 ALL = {
     f.__name__: f
     for f in (
         masked_area,
         upload_validation,
+        upload_report,
         upload_naming,
         output_name_collisions,
         param_parse_clamp,
@@ -267,6 +328,7 @@ ALL = {
         blend_pixels,
         outline_pixels,
         outline_speckle,
+        outline_strips,
         outline_thick,
         overlay_pixels,
         detection_report,
@@ -275,5 +337,7 @@ ALL = {
         image_scan,
         overlay_sink,
         stream_ingest,
+        result_files,
+        stream_detect,
     )
 }

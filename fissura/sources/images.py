@@ -28,14 +28,12 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
 
 
-def scan_images(
-    spark: SparkSession, path: str, max_bytes: int | None = names.MAX_UPLOAD_BYTES
-) -> DataFrame:
+def scan_images(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Decode all accepted files under ``path``.
 
     Type and size are checked on the listing, before a file is opened; no
-    ``max_bytes``, no size check. Empty files are not in a scan; see
-    ``validation.not_scanned``.
+    ``max_bytes``, no size check. What a scan leaves out (other types, larger
+    files, empty ones) ``validation.input_report`` lists with its reason.
     """
     raw = (
         spark.read.format("image")

@@ -2,6 +2,7 @@
 
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,26 @@ def bmp_bytes(data: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
     return pa.array(files, pa.binary())
 
 
+def _png(raw: bytes, height: int, width: int) -> bytes:
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        data = kind + body
+        return struct.pack(">I", len(body)) + data + struct.pack(">I", zlib.crc32(data))
+
+    pixels = np.frombuffer(raw, np.uint8).reshape(height, width, 3)[:, :, ::-1]
+    lines = np.zeros((height, width * 3 + 1), np.uint8)  # each begins with filter type 0
+    lines[:, 1:] = pixels.reshape(height, -1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    body = chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + body
+
+
+@arrow_udf(T.BinaryType())
+def png_bytes(data: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
+    """B,G,R pixels as a lossless PNG file."""
+    rows = zip(data.to_pylist(), height.to_pylist(), width.to_pylist())
+    return pa.array([_png(*row) for row in rows], pa.binary())
+
+
 def write_files(files: DataFrame, directory: str) -> None:
     """Write each ``name, content`` row as a file of ``directory``.
 
@@ -61,7 +82,9 @@ def write_files(files: DataFrame, directory: str) -> None:
     ).save()
 
 
-def write_image_files(images: DataFrame, directory: str, name: str = "name") -> None:
-    """Write each image of ``images`` as ``<name>``; the format is BMP."""
-    files = images.select(F.col(name).alias("name"), bmp_bytes("data", "height", "width").alias("content"))
-    write_files(files, directory)
+def write_image_files(
+    images: DataFrame, directory: str, name: str = "name", kind: str = "bmp"
+) -> None:
+    """Write each image of ``images`` as ``<name>``, in BMP or PNG format."""
+    encoded = {"bmp": bmp_bytes, "png": png_bytes}[kind]("data", "height", "width")
+    write_files(images.select(F.col(name).alias("name"), encoded.alias("content")), directory)

@@ -5,31 +5,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER = "spark.checkpoint.dir"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every node can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every node can reach: ``spark.checkpoint.dir``, or what
+    ``SparkContext.setCheckpointDir`` was given.
 
-    A folder of our own is used only on a local master with the setting unset.
+    On a local master with neither, one folder is made for the session and set.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get(_FOLDER, None)
     if configured:
         return configured.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
-    return tempfile.mkdtemp(prefix="fissura-")
+        raise ValueError(f"set {_FOLDER} to a folder all nodes share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fissura-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fissura/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage once and return a scan of it.
 
     Used where several branches read the output of a costly step (model
     scoring): the step runs once, a lost executor costs no recomputation of
     it, and each branch prunes columns on the written table.
     """
-    path = new_dir(df.sparkSession, label)
+    path = path or new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that ``durable`` has written to ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

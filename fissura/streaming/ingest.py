@@ -1,10 +1,13 @@
 """Incremental ingestion: every new image file is processed once.
 
-The stream's checkpoint remembers the files it has handed out. A batch that is
-replayed after a failure writes the same ``batch_id`` directory again, so the
-result holds each image once.
+The stream's checkpoint remembers the files it has handed out. Results lie
+under the stream's name, made from its checkpoint, and the batch number, so a
+batch that is replayed after a failure writes its own directory again. A ledger
+of upload keys lies beside them: a new stream on an old sink keeps the earlier
+results and processes only what no other stream has stored.
 """
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +21,10 @@ from fissura.sources.images import normalise
 def image_stream(
     spark: SparkSession,
     path: str,
-    max_bytes: int = names.MAX_UPLOAD_BYTES,
-    files_per_batch: int | None = None,
+    max_bytes: int | None = None,
+    files_per_batch: int | None = 1000,
 ) -> DataFrame:
+    """New files under ``path``; batches are bounded by ``files_per_batch``."""
     reader = (
         spark.readStream.format("image")
         .schema(IMAGE_SOURCE)
@@ -30,7 +34,10 @@ def image_stream(
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return normalise(reader.load(path).filter(F.col("_metadata.file_size") <= max_bytes))
+    raw = reader.load(path)
+    if max_bytes is not None:
+        raw = raw.filter(F.col("_metadata.file_size") <= max_bytes)
+    return normalise(raw)
 
 
 def received(images: DataFrame) -> DataFrame:
@@ -46,8 +53,28 @@ def received(images: DataFrame) -> DataFrame:
     )
 
 
-def write_batch(result: DataFrame, sink: str, batch_id: int) -> None:
-    result.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+LEDGER = "_ledger"  # hidden from readers of the sink
+LEDGER_LAYOUT = "upload_key string, stream string, batch_id bigint"
+
+
+def stream_name(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
+def write_batch(result: DataFrame, sink: str, batch_id: int, stream: str = "0") -> None:
+    result.write.mode("overwrite").parquet(f"{sink}/stream={stream}/batch_id={batch_id}")
+
+
+def unseen(images: DataFrame, sink: str, batch_id: int, stream: str) -> DataFrame:
+    """The images that no other batch has stored. A batch's own keys do not
+    count: it may be a replay."""
+    spark = images.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{LEDGER}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return images
+    ledger = spark.read.schema(LEDGER_LAYOUT).parquet(f"{sink}/{LEDGER}")
+    mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+    return images.join(ledger.filter(~mine).select("upload_key"), "upload_key", "left_anti")
 
 
 def ingest(
@@ -58,8 +85,16 @@ def ingest(
 ) -> None:
     """Process what has arrived and stop. ``step`` maps a batch of images to
     the rows to store, and may use any operator of this package."""
+    stream = stream_name(checkpoint)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        fresh = unseen(batch, sink, batch_id, stream).select(batch.columns)
+        write_batch(step(fresh), sink, batch_id, stream)
+        keys = f"{sink}/{LEDGER}/stream={stream}/batch_id={batch_id}"
+        fresh.select("upload_key").write.mode("overwrite").parquet(keys)
+
     query = (
-        images.writeStream.foreachBatch(lambda batch, n: write_batch(step(batch), sink, n))
+        images.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -156,6 +156,35 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 10
 
 
+def test_a_new_stream_keeps_what_an_old_one_stored(spark, tmp_path):
+    inbox, sink = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    for name in ("a.png", "b.png", "c.png"):
+        (inbox / name).write_bytes(png(np.zeros((2, 2, 3), np.uint8)))
+    for state in ("one", "two"):
+        stream = ingest.image_stream(spark, str(inbox), files_per_batch=1)
+        ingest.ingest(stream, sink, str(tmp_path / state))
+        (inbox / f"{state}.png").write_bytes(png(np.zeros((2, 2, 3), np.uint8)))
+    stored = by_name(spark.read.parquet(sink))
+    assert set(stored) == {"a.png", "b.png", "c.png", "one.png"}
+    assert spark.read.parquet(sink).count() == 4
+
+
+def test_every_input_is_reported(spark, folder):
+    root = folder[0]
+    paths = [(p.resolve().as_uri().replace("file:///", "file:/"), p.name, p.stat().st_size) for p in root.rglob("*.*")]
+    inputs = spark.createDataFrame([*paths, ("file:/gone.png", "gone.png", 9)], "path string, filename string, length bigint")
+    images = source.scan_images(spark, str(root), 4000)
+    decoded = F.col("height") > 0
+    path = F.regexp_replace("path", "^file:///", "file:/")
+    report = images.select(path.alias("path"), F.when(decoded, "ok").otherwise("error").alias("status"), F.lit("m").alias("message"))
+    found = {r["filename"]: r["status"] for r in validation.input_report(inputs, report, 4000).collect()}
+    assert found == {
+        "a.PNG": "ok", "b.png": "ok", "junk.jpg": "error", "page.webp": "error", "empty.png": "empty",
+        "notes.txt": "unsupported_type", "huge.bmp": "too_large", "gone.png": "absent",
+    }
+
+
 def test_stream_runs_whole_operators(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()

@@ -6,6 +6,7 @@ from fissura.operators import masks, paint, report, scoring, validation
 from fissura.plans import overlay as plan
 from fissura.plans.overlay import OverlayParams
 from fissura.schemas import DETECTIONS, IMAGES
+from fissura.sources.images import scan_images
 from fissura.storage import durable
 from tests import brute
 
@@ -160,6 +161,13 @@ def test_run_end_to_end(spark, corpus, tmp_path):
     )
     rows = plan.run(source, load_thresholder, str(weights), str(tmp_path / "out"))
     found = {r["image_id"]: r for r in rows.collect()}
+    assert all(r["alpha"] == 0.5 and r["outline"] == 2 and r["conf"] == 0.25 for r in found.values())
+    written = {str(p) for p in (tmp_path / "out" / "images").glob("*.png")}
+    assert written == {r["out_path"] for r in found.values() if r["status"] == "ok"}
+    read = {
+        r["path"].rsplit("/", 1)[1]: np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], 3)
+        for r in scan_images(spark, str(tmp_path / "out" / "images")).collect()
+    }
     assert len(found) == len(arrays) + 1
     assert found[99]["message"] == "Inference failed: image could not be decoded"
     painted = collect_images(spark.read.parquet(str(tmp_path / "out" / "overlay")))
@@ -171,15 +179,79 @@ def test_run_end_to_end(spark, corpus, tmp_path):
         assert found[i]["num_instances"] == 2 and found[i]["status"] == "ok"
         planes = [image[:, :, k] > 200 for k in range(2)]
         want = expected(image, planes, [0.75] * 2, 0.25, 0.5, 2, (0, 0, 255))
-        assert np.array_equal(painted[i], want)
+        assert np.array_equal(painted[i], want) and np.array_equal(read[f"{i}.png"], want)
 
 
 def test_missing_weights_and_clashing_paths(spark, corpus, tmp_path):
     images = corpus[0].withColumn("out_path", F.lit("same"))
     with pytest.raises(FileNotFoundError, match="Weights not found"):
         scoring.ship_weights(spark, str(tmp_path / "absent.pt"))
-    with pytest.raises(ValueError, match="out_path is not unique"):
-        plan.run(images, load_thresholder, "w", str(tmp_path))
+    weights = tmp_path / "w0.txt"
+    weights.write_text("200")
+    rows = plan.run(images, load_thresholder, str(weights), str(tmp_path / "clash")).collect()
+    assert len(rows) == 16 and {r["status"] for r in rows} == {"error"}
+    again = images.withColumn("image_id", F.lit(1).cast("bigint"))
+    with pytest.raises(ValueError, match="image_id is not unique"):
+        plan.run(again, load_thresholder, str(weights), str(tmp_path))
+
+
+def faulty(kind):
+    ones = np.ones((4, 4), np.float32)
+    return {
+        0: [(0.9, ones[0])], 1: [(0.9, ones[None])], 2: [(0.9, ones), (0.9, np.ones((2, 2), np.float32))],
+        3: [(0.9, ones * np.nan)], 4: [(float("nan"), ones)], 5: [("x", ones)],
+    }.get(kind, [(0.9, ones)])
+
+
+def test_faulty_masks_and_parameters_stay_with_their_image(spark, tmp_path):
+    weights = tmp_path / "f.txt"
+    weights.write_text("")
+    rows = [(i, "p", 4, 4, 3, bytes([i] * 48)) for i in range(9)]
+    images = spark.createDataFrame(rows, IMAGES).withColumns(
+        {
+            "out_path": F.concat(F.lit("f"), F.col("image_id").cast("string")),
+            "alpha": F.when(F.col("image_id") != 6, 0.5),
+            "colour": F.when(F.col("image_id") != 7, F.struct(*(F.lit(9).alias(n) for n in "bgr"))),
+            "outline": F.when(F.col("image_id") == 8, 2147483647).otherwise(1),
+        }
+    )
+
+    def load(path):
+        return lambda image, conf, imgsz: faulty(int(image[0, 0, 0]))
+
+    report = {r["image_id"]: r for r in plan.run(images, load, str(weights), str(tmp_path / "o")).collect()}
+    assert [report[i]["status"] for i in range(9)] == ["error"] * 3 + ["ok"] * 2 + ["error"] + ["ok"] * 3
+    assert [report[i]["num_instances"] for i in (3, 4, 6, 7, 8)] == [1, 0, 1, 1, 1]
+    painted = collect_images(spark.read.parquet(str(tmp_path / "o" / "overlay")))
+    assert set(painted) == {3, 4, 6, 7, 8} and (painted[3] == 3).all()
+    assert painted[7][1, 1].tolist() == [4, 4, 131] and (painted[8] == 9).all()
+
+
+def test_mixed_mask_shapes_are_united(spark):
+    rng = np.random.default_rng(2)
+    grids = [rng.random(s) < 0.4 for s in ((8, 8), (2, 2), (3, 5))]
+    rows = [(1, k, 0.9, *g.shape, [0.9 if v else 0.1 for v in g.ravel()]) for k, g in enumerate(grids)]
+    images = spark.createDataFrame([(1, "p", 8, 8, 3, bytes(192))], IMAGES)
+    fill = plan.overlay(images, spark.createDataFrame(rows, DETECTIONS)).fill.collect()
+    want = np.any([brute.fit(g, 8, 8) for g in grids], axis=0)
+    assert brute.pixels(fill) == brute.set_pixels(want)
+    assert sum(r["x1"] - r["x0"] for r in fill) == want.sum()
+
+
+def test_two_loaders_of_one_file_are_two_models(spark, corpus, tmp_path):
+    weights = tmp_path / "same.txt"
+    weights.write_text("200")
+    images = corpus[0].limit(1).coalesce(1)
+
+    def loader(n):
+        return lambda path: lambda image, conf, imgsz: [(0.5, np.ones((2, 2)))] * n
+
+    counts = []
+    for n in (2, 0):
+        load = loader(n)
+        shipped = scoring.ship_weights(spark, str(weights), load)
+        counts.append(scoring.detections_of(scoring.score_images(images, load, shipped)).count())
+    assert counts == [2, 0]
 
 
 def test_model_loads_once_per_worker(spark, corpus, tmp_path):

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from fissura.plans import oracles, queries
 from tests.compare import check, connect
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(queries.ALL))
 def test_query_equals_sql(spark, con, name):
     got, want, spark_types, sql_types = check(spark, con, SF, name)
     assert got == want
@@ -23,7 +24,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.ALL) == set(oracles.ALL)
+    assert set(queries.ALL) <= set(entry.queries()) and set(oracles.ALL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -31,7 +33,7 @@ def test_entry(spark):
     assert df.columns == ["image_id", "num_instances", "mask_area"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(queries.ALL))
 def test_no_pairwise_joins(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -46,7 +48,7 @@ def test_confidence_filter_and_pruning_reach_the_scan(spark):
     assert "partial_bit_or" in first_shuffle and "Generate posexplode" in first_shuffle
 
 
-def test_upload_size_filter_reaches_the_scan(spark, tmp_path):
+def test_upload_checks_read_no_contents(spark, tmp_path):
     from fissura.operators.validation import accepted, check_uploads
     from fissura.sources.images import list_files
 
@@ -69,13 +71,22 @@ def test_limits_per_image_do_not_pin_a_hot_image_to_one_task(spark):
     assert above_join.index("partial_bit_or") < above_join.index("REPARTITION_BY_COL")
 
 
-def test_painting_hashes_runs_and_never_sorts_pixels(spark):
+def test_painting_shuffles_pixels_once_and_hints_no_join(spark):
     from fissura.plans import fixtures, queries
     from fissura.plans.overlay import overlay
 
     lines = overlay(fixtures.frame_images(spark, SF), fixtures.frame_detections(spark, SF), queries.FRAME).lines
-    plan = lines._jdf.queryExecution().executedPlan().toString()
-    above_pixels = plan[: plan.index("substring(data")]
-    assert "ShuffledHashJoin" in above_pixels and "BuildRight" in above_pixels
-    assert "Sort [" not in above_pixels and above_pixels.count("Exchange") == 1
+    execution = lines._jdf.queryExecution()
+    plan = execution.executedPlan().toString()
+    assert "strategy=" not in execution.analyzed().toString()
+    assert plan[: plan.index("substring(data")].count("Exchange") == 1
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_strips_are_labelled_once_for_low_images_and_stored_for_tall_ones(spark):
+    from fissura.operators import masks, outline
+    from fissura.plans import fixtures
+
+    runs = masks.union_runs(fixtures.speckle_runs(spark, SF), masks.IMAGE)
+    plan = outline.filled_runs(runs, strip_pixels=448)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "strips-" in plan

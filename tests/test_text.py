@@ -40,6 +40,8 @@ def test_identity_key_is_stable_and_distinct(spark):
     key = names.identity_key(F.col("path"), F.col("n"))
     once = [r[0] for r in df.select(key).collect()]
     assert once == [r[0] for r in df.select(key).collect()] and len(set(once)) == 3
+    parts = spark.createDataFrame([(None, "a"), ("a", None), ("a", ""), ("", "a")], "x string, y string")
+    assert parts.select(names.identity_key(F.col("x"), F.col("y"))).distinct().count() == 4
 
 
 NUMBERS = [
@@ -81,9 +83,9 @@ def test_strict_params_keep_values_and_refuse_text(spark):
     good = spark.createDataFrame([("2.5", None, "-4"), (None, "-3", None)], layout)
     rows = params.normalise_params(good, "strict").select("conf", "alpha", "outline").collect()
     assert sorted(map(tuple, rows)) == [(0.25, -3.0, 2), (2.5, 0.5, -4)]
-    bad = spark.createDataFrame([("0.2", "x", "1")], layout)
-    with pytest.raises(Exception, match="invalid alpha value: x"):
-        params.normalise_params(bad, "strict").collect()
+    bad = spark.createDataFrame([("0.2", "x", "1"), ("0.2", "1", "99999999999")], layout)
+    rows = params.normalise_params(bad, "strict").select("conf", "outline", "error").collect()
+    assert set(map(tuple, rows)) == {(None, None, "invalid alpha value: x"), (0.2, 2147483647, None)}
     with pytest.raises(ValueError):
         params.normalise_params(bad, "other")
 
