@@ -2,16 +2,19 @@
 
 Adaptive multi-match prefixes. Shingles have one global order, rare ones first.
 If two sets are similar, their prefixes of ``n - ceil(t n) + l`` shingles share
-at least ``l``. Each document picks its own ``l``: a longer prefix costs more
-postings, but asks for more shared ones before a pair is verified; the cost of
-both is estimated from how often the shingles occur. Of a pair, the smaller of
-the two ``l`` must be shared.
+at least ``l``. Each document has an ``l`` of 1 or ``LONG``: a longer prefix
+costs more postings, but asks for more shared ones before a pair is verified;
+the cost of both is estimated from how often the shingles occur. Of a pair, the
+smaller of the two ``l`` must be shared. So ``l - 1`` of a document's published
+shingles need not be looked up at all: the most frequent ones, by exact counts.
+The rarest that two documents share is never among them.
 
 1. Every task counts its shingles in ``BINS`` bins; the sums give the order.
 2. Documents with equal sets become one class. A class publishes its prefix.
-3. Shingles published by few classes give candidate pairs, which are counted
-   against ``l`` and verified on the whole sets. A shingle published by many
-   gives only the pairs with one of its classes.
+3. Shingles looked up by few classes give candidate pairs. The published
+   shingles that a pair shares are counted against ``l``, and what is left is
+   verified on the whole sets. A shingle looked up by many gives only the pairs
+   with one of its classes.
 4. Such large buckets may hold classes that are not connected yet. Those, the
    strays, are compared with all the bucket in blocks of bounded size, on
    bit sets, and only links between components leave a task.
@@ -25,17 +28,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fissura.llm.graph import components
 from fissura.llm.shared import arrow_schema, blocks, map_blocks, stored, texts_of
 from fissura.llm.shingles import mix, shingle_sets
 
-BINS = 1 << 21
+BINS = 1 << 20
 PART = 4096  # bins in a row of the sketch
 SMALL = 48  # classes of a bucket whose pairs are candidates
-LENGTHS = 8  # l goes from 1 to this
+LONG = 12  # the l of a lengthened prefix
 SET_CHARS = 500_000  # of text that sets are made of at a time
 FEW = 8  # sketches that a step of the sum adds up
 BLOCK = 256  # classes on either side of a block of a large bucket
@@ -53,7 +56,7 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
             for begin, end in blocks(column, SET_CHARS):
                 sets = shingle_sets(column.slice(begin, end - begin).to_pylist(), width)
                 counts += np.bincount(_bin(np.concatenate(sets)), minlength=BINS)
-        parts = [counts[a : a + PART].astype("<u4").tobytes() for a in range(0, BINS, PART)]
+        parts = [_packed(counts[a : a + PART]) for a in range(0, BINS, PART)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], schema=types
         )
@@ -64,7 +67,7 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[part] = sums.get(part, 0) + np.frombuffer(data, "<u4").astype(np.int64)
         if sums:
-            data = [np.minimum(v, (1 << 32) - 1).astype("<u4").tobytes() for v in sums.values()]
+            data = list(map(_packed, sums.values()))
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(data, pa.binary())], schema=types)
 
     schema = "part long, data binary"
@@ -78,12 +81,23 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
     total = np.zeros(BINS, np.int64)
     for part, data in parts.collect():  # FEW sketches of fixed size at most
         at = part * PART
-        total[at : at + PART] += np.frombuffer(data, "<u4")
+        total[at : at + PART] += _unpacked(data)
     return total
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """In 1, 2 or 4 bytes a bin; counts beyond the last are all alike."""
+    for size in (1, 2, 4):
+        if size == 4 or counts.max() < 1 << 8 * size:
+            return np.minimum(counts, (1 << 32) - 1).astype(f"<u{size}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // PART}").astype(np.int64)
+
+
 def _bin(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> _U(43)).astype(np.int64)
+    return (shingles >> _U(44)).astype(np.int64)
 
 
 RANK_SCALE = 2000.0
@@ -105,7 +119,7 @@ def prefix(one: np.ndarray, ranks: np.ndarray, noise: float, num: int, den: int)
     rank = ranks[_bin(one)]
     order = np.argsort(rank, kind="stable")  # ties by the shingle itself
     base = n - overlap
-    lengths = np.arange(1, min(LENGTHS, overlap) + 1)
+    lengths = np.array([1, LONG] if overlap >= LONG else [1])
     often = np.maximum(np.exp2(rank[order[: base + lengths[-1]]] / RANK_SCALE) - noise, 1.0)
     reads = np.cumsum(often)[base + lengths - 1]
     cost = reads + VERIFY_COST * reads / lengths**2
@@ -132,7 +146,10 @@ def _sets(texts: DataFrame, width: int, counts: np.ndarray, num: int, den: int)
                 length, some = prefix(one, table, noise, num, den)
                 first = mix(one + _U(1)).sum(dtype=np.uint64)
                 second = mix(one ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                rows.append((len(one), int(first.view(np.int64)), int(second.view(np.int64)), length, _short(some)))
+                short = _short(some)
+                if len(short) < len(some):  # two fell together, so the count of shared ones may be short
+                    length = 1
+                rows.append((len(one), int(first.view(np.int64)), int(second.view(np.int64)), length, short))
             n, k1, k2, lengths, some = zip(*rows)
             return {"doc_id": ids, "n": n, "k1": k1, "k2": k2, "l": lengths, "shared": some}
 
@@ -194,6 +211,15 @@ def _fits(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _sharing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, l) that share l published shingles at least."""
+    published = classes.select(F.col("doc_id").alias("id"), "shared")
+    both = pairs.join(published.select(F.col("id").alias("a"), F.col("shared").alias("x")), "a").join(
+        published.select(F.col("id").alias("b"), F.col("shared").alias("y")), "b"
+    )
+    return both.filter(F.size(F.array_intersect("x", "y")) >= F.col("l")).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
@@ -207,10 +233,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
 
 
-def _block_links(postings: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _block_links(large: DataFrame, found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between components within large buckets, strays against all, in blocks."""
+    # A bucket is told by shingle and level; one number will do.
+    buckets = large.select(F.xxhash64("token", "level").alias("token"), "rep")
     members = stored(
-        postings.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        buckets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
             "token", "rep", F.coalesce("component", "rep").alias("component")
         ),
         "members",
@@ -313,27 +341,36 @@ def join_similar(
     )
     often = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     postings = stored(postings.join(often, "token"), "postings")
-    small, large = postings.filter(F.col("df") <= SMALL), postings.filter(F.col("df") > SMALL)
 
-    # Pairs that share small buckets; shared large ones may add at most as many as either has.
-    crowded = large.groupBy("rep").agg(F.count("*").cast("int").alias("big"))
-    small = small.join(crowded, "rep", "left").fillna(0, ["big"])
-    side = lambda s: small.select("token", *(F.col(c).alias(c + s) for c in ("rep", "n", "l", "big")))
+    # Level LONG: without the l - 1 most frequent. Level 1: where a side has l = 1, with all.
+    by_count = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("token"))
+    ranked = postings.filter(F.col("l") == LONG).withColumn("rank", F.row_number().over(by_count))
+    rare = ranked.filter(F.col("rank") >= LONG).withColumn("level", F.lit(LONG))
+    plain = postings.filter("l = 1").select("token").distinct()
+    all_ = postings.join(plain, "token", "left_semi").withColumn("level", F.lit(1))
+    keys = ["token", "level"]
+    looked = [*keys, "rep", "n", "l"]
+    looked_up = stored(rare.select(looked).union(all_.select(looked)), "lookups")
+    sizes = looked_up.groupBy(keys).agg(F.count("*").alias("size")).filter("size > 1")
+    looked_up = stored(looked_up.join(sizes, keys), "buckets")
+    small, large = looked_up.filter(F.col("size") <= SMALL), looked_up.filter(F.col("size") > SMALL)
+
+    side = lambda s: small.select(*keys, *(F.col(c).alias(c + s) for c in ("rep", "n", "l")))
     pairs = (
-        side("1").join(side("2"), "token")
+        side("1").join(side("2"), keys)
         .filter((F.col("rep1") < F.col("rep2")) & _fits("n1", "n2", num, den))
-        .groupBy("rep1", "rep2")
-        .agg(F.count("*").alias("c"), F.min(F.least("l1", "l2")).alias("l"), F.min(F.least("big1", "big2")).alias("big"))
-        .filter(F.col("c") + F.col("big") >= F.col("l"))
-        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+        .filter(F.least("l1", "l2") == F.col("level"))
+        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b"), F.col("level").alias("l"))
+        .distinct()
     )
-    first = large.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("low"))
+    first = large.groupBy(keys).agg(F.min(F.struct("rep", "n", "l")).alias("low"))
     pivots = (
-        large.join(first, "token")
+        large.join(first, keys)
         .filter((F.col("rep") > F.col("low.rep")) & _fits("n", "low.n", num, den))
-        .select(F.col("low.rep").alias("a"), F.col("rep").alias("b"))
+        .select(F.col("low.rep").alias("a"), F.col("rep").alias("b"), F.least("l", "low.l").alias("l"))
+        .distinct()
     )
-    pairs = stored(pairs.union(pivots).distinct(), "pairs")
+    pairs = stored(_sharing(pairs.union(pivots).distinct(), classes), "pairs")
 
     ids = (
         pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select(F.col("rep").alias("id"))).distinct()
