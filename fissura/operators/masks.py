@@ -76,6 +76,18 @@ def score_words(
     ).agg(F.expr(f"bit_or(shiftleft(1L, int(x % {WORD})))").alias("bits"))
 
 
+def packed_words(packed: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Words of the union, over ``keys``, of masks that the scorer has packed."""
+    in_row = f"((mask_w + {WORD - 1}) div {WORD})"
+    words = packed.select(
+        *keys, "mask_h", "mask_w", F.explode(F.arrays_zip("places", "bits")).alias("word")
+    ).selectExpr(
+        *keys, "mask_h", "mask_w", f"int(word.places div {in_row}) AS y",
+        f"int(word.places % {in_row}) AS w", "word.bits AS bits",
+    )
+    return union_words(words, [*keys, "mask_h", "mask_w"])
+
+
 def instance_runs(
     detections: DataFrame,
     threshold: float = MASK_THRESHOLD,

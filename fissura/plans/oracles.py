@@ -342,6 +342,14 @@ mask AS (
   (max(blue::INTEGER) + max(green::INTEGER))::BIGINT AS num_instances,
   count(*) FILTER (blue OR green)::BIGINT AS mask_area FROM hit GROUP BY image_id""",
     ),
+    "scored_words": _query(
+        _PLANES,
+        """hot AS (
+  SELECT p.image_id, p.c::BIGINT AS instance_id, (p.p // 8)::INTEGER AS y, (p.p % 8)::INTEGER AS x
+  FROM plane p JOIN channel k ON k.image_id = p.image_id AND k.c = p.c WHERE p.px > 128)""",
+        _runs("run", "hot", "image_id, instance_id"),
+        select="SELECT * FROM run",
+    ),
     "scored_masks": _query(
         _PLANES,
         """hot AS (

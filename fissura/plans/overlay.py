@@ -45,10 +45,12 @@ def with_params(images: DataFrame, params: OverlayParams) -> DataFrame:
 def mask_words(images: DataFrame, detections: DataFrame, params: OverlayParams) -> DataFrame:
     """Union mask of each image's confident detections, as words.
 
-    With one confidence for all, the filter sits below the unpacking of masks.
+    Masks that come packed from the scorer have passed it already. With one confidence for all, the filter sits below the unpacking of masks.
     With one per image, each instance is packed first, so that the join on
     ``image_id`` moves bits and not the scores they came from.
     """
+    if "bits" in detections.columns:
+        return masks.packed_words(detections)
     whole = detections.filter(masks.well_formed())
     if "conf" not in images.columns:
         return masks.score_words(scoring.confident(whole, params.conf), params.threshold)
@@ -99,6 +101,8 @@ def overlay(
 
 def selected(images: DataFrame, detections: DataFrame, params: OverlayParams) -> DataFrame:
     """The detections that count: whole masks at or above the image's confidence."""
+    if "bits" in detections.columns:
+        return detections
     limit = images.select("image_id", "conf") if "conf" in images.columns else params.conf
     return scoring.confident(detections.filter(masks.well_formed()), limit)
 
@@ -129,10 +133,10 @@ def run(
     ``out_dir/images``, named after its ``out_path``; the report names that
     file, and echoes the parameters. Scanlines are also kept as a table.
 
-    Images are decoded twice: to score them and to paint them. Scores are
+    Images are decoded twice: to score them and to paint them. Packed masks are
     written once to shared storage, every later branch reads that table, and it
     is deleted at the end. Failed images get a report row and no overlay: those
-    the model failed on, those with malformed masks, and those that share an
+    the model failed on or gave malformed masks for, and those that share an
     ``out_path``. Images that share an ``image_id`` cannot be told apart and end
     the job.
     """
@@ -145,13 +149,16 @@ def run(
     filled = with_params(named.withColumn("conf", conf), params)
     path = new_dir(spark, "scored")
     scored = durable(
-        scoring.score_images(filled, load, shipped, params.conf, params.imgsz), "scored", path
+        scoring.score_images(
+            filled, load, shipped, params.conf, params.imgsz, params.threshold
+        ),
+        "scored",
+        path,
     )
     detections = scoring.detections_of(scored)
     listed = filled.drop("height", "width", "n_channels", "data")
     errors = durable(
         scoring.errors_of(scored)
-        .unionByName(masks.malformed(detections))
         .unionByName(_clashes(listed, "file"))
         .groupBy("image_id")
         .agg(F.min("error").alias("error")),

@@ -212,6 +212,15 @@ def scored_masks(spark, sf_dir):
     return masks.instance_runs(scoring.confident(scoring.detections_of(scored), 0.8))
 
 
+def scored_words(spark, sf_dir):
+    """Masks packed by the scorer; some scores lie exactly at the threshold."""
+    images = fx.planes(spark, sf_dir)
+    scored = scoring.score_images(images, _channel_model, "none", 0.8, threshold=128 / 255)
+    words = masks.packed_words(scoring.detections_of(scored), ("image_id", "instance_id"))
+    runs = masks.words_to_pieces(words)
+    return masks.merge_pieces(runs, ("image_id", "instance_id"))
+
+
 def result_pairs(spark, sf_dir):
     images = fx.frame_images(spark, sf_dir)
     found = scoring.confident(fx.frame_detections(spark, sf_dir), 0.35)
@@ -333,6 +342,7 @@ ALL = {
         overlay_pixels,
         detection_report,
         scored_masks,
+        scored_words,
         result_pairs,
         image_scan,
         overlay_sink,

@@ -54,6 +54,17 @@ SCORED = T.StructType(
     ]
 )
 
+# The same with masks packed where they are made: of every word that is not
+# empty, its place (row * words in a row + word) and its bits.
+PACKED = T.StructType(
+    [
+        *[f for f in SCORED.fields if f.name in ("image_id", "instance_id", "conf", "mask_h", "mask_w")],
+        T.StructField("places", T.ArrayType(T.IntegerType())),
+        T.StructField("bits", T.ArrayType(T.LongType())),
+        *SCORED.fields[-3:],
+    ]
+)
+
 RUN = T.StructType(
     [T.StructField("x0", T.IntegerType()), T.StructField("x1", T.IntegerType())]
 )
