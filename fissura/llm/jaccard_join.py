@@ -65,7 +65,7 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in rows:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(data, "<u4").astype(np.int64)
+                sums[part] = sums.get(part, 0) + _unpacked(data)
         if sums:
             data = list(map(_packed, sums.values()))
             yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(data, pa.binary())], schema=types)
