@@ -161,3 +161,13 @@ def test_anchors_are_closed_syncmers(spark):
     one, two = cut(one), cut(two)
     assert [h for h, at in one if at >= 50] == [h for h, at in two if at >= 2]
     assert 50 <= len(one) <= 150
+
+
+def test_sketch_adds_up_over_many_partitions(spark):
+    rows = [(-i, "the same three words again") for i in range(1, 400)] + near_rows()
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    want = np.zeros(jaccard_join.BINS, np.int64)
+    for one in shingle_sets([t for _, t in rows], 3):
+        np.add.at(want, jaccard_join._bin(one), 1)
+    assert want.max() > 255 and texts.rdd.getNumPartitions() > jaccard_join.FEW
+    assert (jaccard_join._sketch(texts, 3) == want).all()
