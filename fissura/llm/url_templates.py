@@ -3,20 +3,29 @@
 Per host the paths form a tree. Digits in a segment are one sign, and where a
 node has many children with few pages each, they are variable: one wildcard.
 Children whose share of blocked pages does not differ significantly from that
-of their siblings are merged. What is left along a path is its template. Pages
+of their siblings are merged. What was merged is one node: its members' children
+count together. What is left along a path is its template. Pages
 that a rule judges are the labels; a template whose smoothed share of blocked
 pages reaches ``PURITY`` is rejected, and so are its other pages. A template
 without labels is never rejected.
 
 Only DataFrame functions are used. Pages are first added up by host and shape,
 so the tree is built from far fewer rows than there are pages.
+
+``SQL`` counts the children of each path as it is written, not of merged nodes;
+both agree where nothing variable lies below something merged, as in the given
+tables.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fissura.llm.shared import stored
+
 #: Host and path a rule is for, and its verdict.
 RULES = [
     ("com", "/", "allow"),
@@ -53,17 +62,34 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """``host, shape, template`` of ``shapes (host, shape, n, labelled, blocked)``."""
-    segments = F.split("shape", "/")
-    nodes = shapes.select("host", "shape", "n", "labelled", "blocked", segments.alias("all"), F.posexplode(segments).alias("depth", "segment"))
-    nodes = nodes.withColumn("prefix", F.array_join(F.slice("all", F.lit(1), F.col("depth")), "/")).drop("all")
+    """``host, shape, template`` of ``shapes (host, shape, n, labelled, blocked)``.
 
+    From the root down, one round a level. The signs of the levels above are the
+    node that a shape is in, so all that was merged shares its wildcards. Labels
+    are compared among kin, the children of one segment or wildcard. A shape
+    alone in its node has nothing to be merged with and ends there.
+    """
+    left = shapes.withColumns({"node": F.lit(""), "kin": F.lit(""), "rest": F.split("shape", "/")})
+    ended, depth = [], 0
+    while not ended or not left.isEmpty():
+        placed = stored(_next_level(left, depth), "level")
+        ended.append(placed.filter("ended").select("host", "shape", F.col("node").alias("template")))
+        left, depth = placed.filter("not ended").drop("ended"), depth + 1
+    return reduce(DataFrame.union, ended)
+
+
+def _next_level(left: DataFrame, depth: int) -> DataFrame:
+    """``left`` with the sign of the first segment of ``rest`` moved to ``node``."""
+    left = left.withColumn("segment", F.col("rest")[0])
     add = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    branches = nodes.groupBy("host", "depth", "prefix", "segment").agg(*add)
-    parents = branches.groupBy("host", "depth", "prefix").agg(
-        F.count("*").alias("children"), F.sum("n").alias("pages"),
-        F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"),
-    )
+    branches = left.groupBy("host", "node", "kin", "segment").agg(F.count("*").alias("shapes"), *add)
+    nodes = branches.groupBy("host", "node", "segment").agg(F.sum("shapes").alias("shapes"), F.sum("n").alias("n"))
+    nodes = nodes.groupBy("host", "node").agg(
+        F.count("*").alias("children"), F.sum("shapes").alias("all_shapes"), F.sum("n").alias("pages")
+    )
+    parents = branches.groupBy("host", "kin").agg(
+        F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+    )
     variable = (F.col("children") >= CHILDREN) & (F.col("pages") < PAGES * F.col("children"))
     own, rest = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
     share, other = F.col("blocked") / own, (F.col("all_blocked") - F.col("blocked")) / rest
@@ -71,13 +97,18 @@ def templates(shapes: DataFrame) -> DataFrame:
     spread = Z * F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / rest))
     similar = F.when((own > 0) & (rest > 0), F.abs(share - other) <= spread).otherwise(F.lit(False))
     sign = F.when(variable, F.lit("*")).when(similar, F.lit("~")).otherwise(F.col("segment"))
-    signs = branches.join(parents, ["host", "depth", "prefix"]).select("host", "depth", "prefix", "segment", sign.alias("sign"))
-    return (
-        nodes.join(signs, ["host", "depth", "prefix", "segment"])
-        .groupBy("host", "shape")
-        .agg(F.sort_array(F.collect_list(F.struct("depth", "sign"))).alias("signs"))  # as many as the path is deep
-        .select("host", "shape", F.array_join(F.col("signs.sign"), "/").alias("template"))
-    )
+    signs = branches.join(parents, ["host", "kin"]).join(nodes, ["host", "node"]).select(
+        "host", "kin", "segment", sign.alias("sign"),
+        F.when(variable, F.lit("*")).otherwise(F.col("segment")).alias("kind"),
+        (F.col("all_shapes") == 1).alias("alone"),
+    )
+    below = F.slice("rest", F.lit(2), F.size("rest"))
+    signed, kin = (F.concat_ws("/", *pair) if depth else F.col(pair[1]) for pair in (("node", "sign"), ("kin", "kind")))
+    return left.join(signs, ["host", "kin", "segment"]).select(
+        "host", "shape", "n", "labelled", "blocked",
+        F.when(F.col("alone"), F.array_join(F.concat(F.array(signed), below), "/")).otherwise(signed).alias("node"),
+        kin.alias("kin"), below.alias("rest"), (F.col("alone") | (F.size("rest") == 1)).alias("ended"),
+    )
 
 
 def judge_urls(
@@ -98,6 +129,7 @@ def judge_urls(
     shapes = pages.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
     )
+    shapes = stored(shapes, "shapes")
     placed = shapes.join(templates(shapes), ["host", "shape"])
     whole = Window.partitionBy("host", "template")
     overall = shapes.agg(

@@ -162,6 +162,23 @@ def test_urls_by_rule_and_template(spark):
     assert url_templates.judge_urls(df.limit(0)).collect() == []
 
 
+def test_urls_below_a_wildcard_share_a_node(spark):
+    """Users with three pages or twelve each: their pages have one template and one verdict."""
+    words = ["".join(w) for w in itertools.product("abcdefgh", repeat=3)]
+    slugs = {user: [f"{words[9 * k + i]}q" for i in range(12 if k % 2 else 3)] for k, user in enumerate(words[:20])}
+    rows = [f"http://y.org/{user}/{slug}" for user, mine in slugs.items() for slug in mine]
+    rows += [f"http://s.com/{lang}/{slug}" for lang, n in (("en", 12), ("fr", 3)) for slug in words[:n]]
+    rows += ["http://y.org/a/b/c/d", "http://z.org/"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    rules = [("y.org", f"/{user}/", "block") for user in words[1:20:2]] + [("s.com", "/", "allow")]
+    got = {rows[r["page_id"]]: r for r in url_templates.judge_urls(df, rules).collect()}
+    assert len(got) == len(rows)
+    users = [got[url] for url in rows if url.startswith("http://y.org/") and url.count("/") == 4]
+    assert len(users) == 150 and {(r["template"], r["verdict"]) for r in users} == {("/*/*", "block")}
+    assert {r["template"] for url, r in got.items() if "s.com" in url} == {"/~/*"}
+    assert got["http://y.org/a/b/c/d"]["template"] == "/*/*/c/d" and got["http://z.org/"]["template"] == "/"
+
+
 def test_urls_equal_their_sql(spark):
     got, want, _, _ = check(spark, connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", "op3_url_templates")
     assert got == want
