@@ -1,7 +1,8 @@
 """Verdicts on URLs by rules, and by the purity of path templates beyond them.
 
 Per host the paths form a tree. Digits in a segment are one sign, and where a
-node has many children with few pages each, they are variable: one wildcard.
+node has many children, none with most of the pages, they are variable: one
+wildcard.
 Children whose share of blocked pages does not differ significantly from that
 of their siblings are merged. What was merged is one node: its members' children
 count together. What is left along a path is its template. Pages
@@ -10,11 +11,13 @@ pages reaches ``PURITY`` is rejected, and so are its other pages. A template
 without labels is never rejected.
 
 Only DataFrame functions are used. Pages are first added up by host and shape,
-so the tree is built from far fewer rows than there are pages.
+so the tree is built from far fewer rows than there are pages. A page counts
+once however often its row is repeated, and no limit is a number of pages, so
+verdicts do not change with the number of rows.
 
-``SQL`` counts the children of each path as it is written, not of merged nodes;
-both agree where nothing variable lies below something merged, as in the given
-tables.
+``SQL`` counts the children of each path as it is written, not of merged nodes,
+calls them variable by ``PAGES`` for each, and counts repeated rows; both agree
+where rows are not repeated and nodes have few children, as in the given tables.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 CHILDREN = 8  # a node with at least so many children,
-PAGES = 20  # and fewer pages than this for each, has variable children
+LARGEST = 0.5  # and no larger share of its pages below any of them, has variable children
+PAGES = 20  # in ``SQL`` only: for each child
 Z = 1.96  # of the two-sided test that keeps branches apart
 STRENGTH = 4.0  # labels that the overall share counts as
 PURITY = 0.8
@@ -85,12 +89,13 @@ def _next_level(left: DataFrame, depth: int) -> DataFrame:
     branches = left.groupBy("host", "node", "kin", "segment").agg(F.count("*").alias("shapes"), *add)
     nodes = branches.groupBy("host", "node", "segment").agg(F.sum("shapes").alias("shapes"), F.sum("n").alias("n"))
     nodes = nodes.groupBy("host", "node").agg(
-        F.count("*").alias("children"), F.sum("shapes").alias("all_shapes"), F.sum("n").alias("pages")
-    )
+        F.count("*").alias("children"), F.sum("shapes").alias("all_shapes"),
+        F.sum("n").alias("pages"), F.max("n").alias("largest"),
+    )
     parents = branches.groupBy("host", "kin").agg(
         F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
     )
-    variable = (F.col("children") >= CHILDREN) & (F.col("pages") < PAGES * F.col("children"))
+    variable = (F.col("children") >= CHILDREN) & (F.col("largest") <= LARGEST * F.col("pages"))
     own, rest = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
     share, other = F.col("blocked") / own, (F.col("all_blocked") - F.col("blocked")) / rest
     pooled = F.col("all_blocked") / F.col("all_labelled")
@@ -118,15 +123,15 @@ def judge_urls(
 
     A null url, or one without ``://``, has an empty host and path; these pages
     share a template like any others, and no rule fits them. Repeated rows and
-    null ids are kept; other columns are ignored; an empty table gives no rows.
+    null ids are kept, but rows of the same id, host and path are one page to the
+    templates; other columns are ignored; an empty table gives no rows.
     ``purity`` is the template's smoothed share of blocked pages, null without labels.
     """
     host, path = host_and_path(F.col(url_col))
     pages = df.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    pages = pages.select("page_id", "host", "path", name.alias("rule"), ruled.alias("ruled"))
-    pages = pages.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
-    shapes = pages.groupBy("host", "shape").agg(
+    more = {"rule": name, "ruled": ruled, "shape": F.regexp_replace("path", "[0-9]+", "#")}
+    shapes = pages.distinct().withColumns(more).groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")
     )
     shapes = stored(shapes, "shapes")
@@ -143,7 +148,7 @@ def judge_urls(
     )
     judged = judged.select("host", "shape", "template", purity.alias("purity"))
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise(F.lit("allow")))
-    return pages.join(judged, ["host", "shape"]).select(
+    return pages.withColumns(more).join(judged, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"
     )
 

@@ -179,6 +179,27 @@ def test_urls_below_a_wildcard_share_a_node(spark):
     assert got["http://y.org/a/b/c/d"]["template"] == "/*/*/c/d" and got["http://z.org/"]["template"] == "/"
 
 
+def test_url_verdicts_do_not_change_with_the_number_of_rows(spark):
+    """Rows repeated, and more pages of the same ten segments; two have labels, and one host is small."""
+    segments = ["es", "fr", *(f"{c}{c}" for c in "abcdefgh")]
+
+    def verdicts(pages, times):
+        rows = [f"http://x.net/{s}/{i}" for s in segments for i in range(pages)]
+        rows += [f"http://x.com/{i}" for i in range(5 * pages)]
+        rows += ["http://w.net/es/1", "http://w.net/es/2", "http://w.net/es/a/3", "http://w.net/de/4", "http://w.net/de/a/5"]
+        df = spark.createDataFrame(list(enumerate(rows)) * times, "page_id long, url string")
+        got = url_templates.judge_urls(df).collect()
+        assert len(got) == times * len(rows)
+        found = {rows[r["page_id"]]: (r["template"], r["verdict"], r["purity"] if pages == 10 else None) for r in got}
+        return {url: v for url, v in found.items() if int(url.rsplit("/", 1)[1]) < 10}
+
+    once = verdicts(10, 1)
+    assert {v[:2] for url, v in once.items() if "x.net" in url} == {("/*/#", "block")}
+    assert verdicts(10, 3) == once
+    few = {url: v[:2] for url, v in once.items()}
+    assert {url: v[:2] for url, v in verdicts(40, 1).items()} == few
+
+
 def test_urls_equal_their_sql(spark):
     got, want, _, _ = check(spark, connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", "op3_url_templates")
     assert got == want
