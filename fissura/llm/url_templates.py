@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fissura.llm.shared import stored
@@ -136,17 +136,16 @@ def judge_urls(
     )
     shapes = stored(shapes, "shapes")
     placed = shapes.join(templates(shapes), ["host", "shape"])
-    whole = Window.partitionBy("host", "template")
     overall = shapes.agg(
         F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("overall")
     )
-    labelled, blocked = F.sum("labelled").over(whole), F.sum("blocked").over(whole)
-    judged = placed.select("host", "shape", "template", labelled.alias("labelled"), blocked.alias("blocked"))
+    whole = placed.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     base = overall.first()[0]
     purity = F.when(
         F.col("labelled") > 0, F.round((F.col("blocked") + STRENGTH * base) / (F.col("labelled") + STRENGTH), 6)
     )
-    judged = judged.select("host", "shape", "template", purity.alias("purity"))
+    pure = whole.select("host", "template", purity.alias("purity"))
+    judged = placed.select("host", "shape", "template").join(pure, ["host", "template"])
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise(F.lit("allow")))
     return pages.withColumns(more).join(judged, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity"

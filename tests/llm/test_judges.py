@@ -200,6 +200,13 @@ def test_url_verdicts_do_not_change_with_the_number_of_rows(spark):
     assert {url: v[:2] for url, v in verdicts(40, 1).items()} == few
 
 
+def test_urls_of_one_template_are_added_up_before_they_meet(spark, capsys):
+    rows = [(i, f"http://x.net/{'ab'[i % 2]}/{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    url_templates.judge_urls(df).explain()
+    assert "Window" not in capsys.readouterr().out
+
+
 def test_urls_equal_their_sql(spark):
     got, want, _, _ = check(spark, connect("/root/testdata/sf0.01"), "/root/testdata/sf0.01", "op3_url_templates")
     assert got == want
