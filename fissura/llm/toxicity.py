@@ -2,6 +2,8 @@
 
 A word enters as the sum of an embedding of its own and of the embeddings of
 its character n-grams, so words that were never seen are judged by their parts.
+Runs of letters longer than a word, as in scripts without spaces, enter as
+overlapping parts, so every n-gram of a text is read.
 Two recurrent passes read a window of words, attention pools their states, and
 one unit scores the window. All windows of a text count; neighbours overlap by
 half. The text's score is that of its worst window.
@@ -28,7 +30,9 @@ WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 14, 1 << 14  # rows of the embedding tables
 WIDTH, HIDDEN = 12, 10
-LONGEST = 24  # letters of a word that n-grams are taken from: the first and the last so many
+CUT = 48  # letters of the longest word; longer runs enter in parts
+PART, OVERLAP = 12, 6  # letters of a part, about a word, and those that it shares with the next; n-grams are shorter
+CHUNK = 4096  # words whose rows are held at a time
 PER_LABEL = 1500  # documents
 DRAWN = 10  # windows of a document in the first epochs
 EPOCHS, WORST_EPOCHS = 3, 4
@@ -38,13 +42,22 @@ PAD = 0  # the place of the word that fills windows up
 
 
 def text_words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= CUT:
+        return words
+    return [part for word in words for part in word_parts(word)]
+
+
+def word_parts(word: str) -> list[str]:
+    """The word, or parts of a longer run, the last up to the end."""
+    if len(word) <= CUT:
+        return [word]
+    return [word[a : a + PART] for a in range(0, len(word) - OVERLAP, PART - OVERLAP)]
 
 
 def word_rows(word: str) -> list[int]:
     """Rows of the embedding table: the word's, then those of its n-grams of 3 to 5 letters."""
-    ends = word if len(word) <= 2 * LONGEST else word[:LONGEST] + word[-LONGEST:]
-    marked = f"<{ends}>".encode()
+    marked = f"<{word}>".encode()
     rows = [zlib.crc32(word.encode()) % WORDS]
     for n in (3, 4, 5):
         rows += [WORDS + zlib.crc32(marked[i : i + n]) % GRAMS for i in range(len(marked) - n + 1)]
@@ -294,9 +307,9 @@ class Corpus:
             places += [self.words.setdefault(w, len(self.words)) for w in found]
         self.places = np.array(places, np.int64)
         self.starts, self.stops, self.owner = window_index(self.counts)
-        parts = [word_rows(w) for w in self.words]
+        parts = [np.array(word_rows(w), np.int32) for w in self.words]
         self.sizes = np.array([len(r) for r in parts])
-        self.rows = np.array([i for r in parts for i in r], np.int64)
+        self.rows = np.concatenate(parts)
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def batch(self, chosen: np.ndarray):
@@ -312,7 +325,11 @@ class Corpus:
         """Of every window."""
         reader, out = Reader(network), np.zeros(len(self.starts), np.float32)
         bounds = np.append(self.first, len(self.rows))
-        tables = reader.gates(network.embed(self.rows, bounds))
+        vectors = [
+            network.embed(self.rows[b[0] : b[-1]], b - b[0])
+            for b in (bounds[a : a + CHUNK + 1] for a in range(0, len(self.first), CHUNK))
+        ]
+        tables = reader.gates(np.concatenate(vectors))
         for a in range(0, len(out), 2048):
             b = slice(a, a + 2048)
             out[b] = reader.logits(tables, *fill(self.places, self.starts[b], self.stops[b]))
@@ -389,9 +406,12 @@ class Scorer:
         self.tables = self.reader.gates(self.vectors([""]))
 
     def vectors(self, words: list[str]) -> np.ndarray:
-        parts = list(map(word_rows, words))
-        bounds = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
-        return self.n.embed(np.array([i for r in parts for i in r], np.int64), bounds)
+        out = np.empty((len(words), WIDTH), np.float32)
+        for a in range(0, len(words), CHUNK):
+            parts = list(map(word_rows, words[a : a + CHUNK]))
+            bounds = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+            out[a : a + CHUNK] = self.n.embed(np.array([i for r in parts for i in r], np.int64), bounds)
+        return out
 
     def scores(self, texts: list[str]) -> list[float]:
         if len(self.place) > MEMO:

@@ -115,6 +115,33 @@ def test_windows_overlap_and_cover(n):
     assert all(c - a == toxicity.STRIDE for (a, _), (c, _) in itertools.pairwise(found))
 
 
+@pytest.mark.parametrize("n", [1, 47, 48, 49, 72, 73, 500])
+def test_long_words_enter_whole(n):
+    word = "".join(np.random.default_rng(n).choice(list("abcdefghé日"), n))
+    parts = toxicity.text_words(f"a {word}")[1:]
+    assert all(len(p) <= toxicity.CUT for p in parts) and (n > toxicity.CUT or parts == [word])
+    assert all(any(word[i : i + 5] in p for p in parts) for i in range(max(1, n - 4)))
+
+
+def test_toxic_word_in_the_middle_of_a_run_without_spaces(spark):
+    rng = np.random.default_rng(9)
+    good = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("n", "r", "st", "lk")]
+    rows, labels = [], []
+    for k in range(400):
+        words = rng.choice(good, rng.integers(5, 120)).tolist()
+        if k % 2:
+            words[rng.integers(len(words))] = "zorqvile"
+        rows.append((k, " ".join(words)))
+        labels.append((k, k % 2))
+    for k in range(400, 500):
+        n, at = (60, int(rng.integers(15, 45))) if k < 490 else (3000, 1500)
+        rows.append((k, "".join([*rng.choice(good, at), *["zorqvile"] * (k % 2), *rng.choice(good, n - at)])))
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(documents_of(spark, rows), marked, per_label=200).collect()}
+    assert np.mean([got[k]["predicted"] == k % 2 for k in range(400, 500)]) > 0.95
+    assert all(got[k]["predicted"] == k % 2 for k in range(490, 500))
+
+
 def test_toxicity(spark):
     """One bad word anywhere in a long text, or a word that only begins like a bad one."""
     rng = np.random.default_rng(8)
