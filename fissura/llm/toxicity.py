@@ -351,11 +351,14 @@ def worst(scores: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[Network, float]:
-    """The network, and what to take from a text's worst logit so that 0 parts the labels."""
+    """The network, and what to take from a text's worst logit so that 0 parts the labels.
+
+    Infinity where texts with words have fewer than two labels: nothing is learned.
+    """
     network, corpus = Network(seed=seed), Corpus(texts)
     target = np.asarray(labels, np.float32)
-    if not len(corpus.starts) or len(set(labels)) < 2:
-        return network, 0.0
+    if len(np.unique(target[corpus.owner])) < 2:
+        return network, np.inf
     rng, trainer = np.random.default_rng(seed), Trainer(network)
     share = target.mean()
     weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
@@ -414,6 +417,8 @@ class Scorer:
         return out
 
     def scores(self, texts: list[str]) -> list[float]:
+        if np.isinf(self.threshold):
+            return [0.0] * len(texts)
         if len(self.place) > MEMO:
             self.forget()
         split = list(map(text_words, texts))
@@ -448,8 +453,8 @@ def score_toxicity(
     Learns from about ``per_label`` documents of each label (all, where there
     are fewer) outside fold 0 that ``labels`` marks 0 or 1; other labels and null
     ids or texts are not learned from. Every whole text is scored from the text
-    alone, all its windows. A null text, or one without words, scores 0.0; so
-    little is learned from fewer than two labels that scores mean nothing then.
+    alone, all its windows. A null text, or one without words, scores 0.0, and
+    so does every text where documents of fewer than two labels can be learned from.
     Repeated rows are kept; of the other columns only those in ``carry`` come along.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

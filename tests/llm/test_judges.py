@@ -167,6 +167,19 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(empty, marked.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("labels", [[], [(k, 0) for k in range(60)], [(k, 1) for k in range(60)], [(1, 0), (61, 1)]])
+def test_nothing_is_toxic_without_two_labels_to_learn_from(spark, tmp_path, labels):
+    """Also where the only toxic document has no words."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(["ba", "do", "fig", "gun"], 5 + 9 * k))) for k in range(60)] + [(61, " ?! ")]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents_of(spark, rows)
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [d for d, _ in rows]
+    scores = toxicity.score_toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    assert {r["score"] for r in scores} == {0.0}
+
+
 def test_urls_by_rule_and_template(spark):
     rows = [(i, f"http://shop.net/es/{i}") for i in range(30)] + [(100 + i, f"http://shop.net/es{i}") for i in range(3)]
     rows += [(200 + i, f"http://a.org/u/name{'abcdefghijklmnop'[i]}/post") for i in range(16)]
