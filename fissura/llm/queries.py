@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from fissura.llm.cover_tree import link_vectors
 from fissura.llm.jaccard_join import join_similar
@@ -14,7 +15,7 @@ from fissura.llm.shared import table
 from fissura.llm.syncmers import fingerprint_documents
 from fissura.llm.toxicity import score_toxicity
 from fissura.llm.token_counts import count_tokens
-from fissura.llm import url_templates
+from fissura.llm import hard_negatives, url_templates
 
 
 def op1_token_counts(spark, sf_dir):
@@ -65,6 +66,13 @@ def op5_cover_tree(spark, sf_dir):
     return link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """Rows whose id is divisible by 7 stand for mislabelled ones."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10)
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.coalesce(moved, F.col("label")))
+    return hard_negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
@@ -76,7 +84,11 @@ ALL = {
     "op8_closed_syncmers": op8_closed_syncmers,
     "op9_secret_scan": op9_secret_scan,
     "op10_pattern_packing": op10_pattern_packing,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 #: SQL of those that it can express.
-ORACLES: dict[str, str] = {"op3_url_templates": url_templates.SQL}
+ORACLES: dict[str, str] = {
+    "op3_url_templates": url_templates.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+}
