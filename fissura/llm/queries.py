@@ -15,7 +15,7 @@ from fissura.llm.shared import table
 from fissura.llm.syncmers import fingerprint_documents
 from fissura.llm.toxicity import score_toxicity
 from fissura.llm.token_counts import count_tokens
-from fissura.llm import hard_negatives, url_templates
+from fissura.llm import hard_negatives, merkle, url_templates
 
 
 def op1_token_counts(spark, sf_dir):
@@ -73,6 +73,12 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    """Every seventh document, by a checksum of its id, is tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
@@ -85,10 +91,12 @@ ALL = {
     "op9_secret_scan": op9_secret_scan,
     "op10_pattern_packing": op10_pattern_packing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: SQL of those that it can express.
 ORACLES: dict[str, str] = {
     "op3_url_templates": url_templates.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
