@@ -15,7 +15,7 @@ from fissura.llm.shared import table
 from fissura.llm.syncmers import fingerprint_documents
 from fissura.llm.toxicity import score_toxicity
 from fissura.llm.token_counts import count_tokens
-from fissura.llm import hard_negatives, merkle, url_templates
+from fissura.llm import hard_negatives, merkle, mixing, url_templates
 
 
 def op1_token_counts(spark, sf_dir):
@@ -79,6 +79,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
 
 
+def op13_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).documents.drop("source")
+
+
 ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_lexicon": op2_bpe_lexicon,
@@ -92,6 +96,7 @@ ALL = {
     "op10_pattern_packing": op10_pattern_packing,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 #: SQL of those that it can express.
@@ -99,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op3_url_templates": url_templates.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_source_mixing": mixing.SQL,
 }
