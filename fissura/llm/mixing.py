@@ -151,7 +151,8 @@ def mix(
     n, n_slots, deepest = sources.agg(F.count("*"), F.sum("quota"), F.max("depth")).first()
     n_slots, deepest = n_slots or 0, deepest or 0
     owned = prefix_sums(sources, [], "place", "quota", 0, max(n - 1, 0)).withColumnRenamed("before", "first")
-    slots = schedule(owned.select("place", "first", "quota"), n_slots)
+    # Stored, so that its size is known: Spark takes what comes out of Python for as small as what goes in.
+    slots = stored(schedule(owned.select("place", "first", "quota"), n_slots), "slots")
 
     known = sources.select("of", "place", "words", "target", "due", "depth")
     units = units.join(known, "of").withColumn("bucket", F.expr(f"shiftright(key, {KEY_BITS} - depth)"))
