@@ -251,7 +251,8 @@ def manifest(docs: DataFrame, tampered: Column, arity: int = 2) -> DataFrame:
         F.col("of").alias("tree"), F.lit(0).cast("bigint").alias("at"), "before", "after", F.col("node").alias("subroot"), "root",
     )
     for step in reversed(range(1, len(arrays))):
-        paths = _lowered(arrays[step], paths, shape, step)
+        # Stored, so that its size is known before it is joined: a row becomes an array's slots.
+        paths = stored(_lowered(arrays[step], paths, shape, step), "paths")
 
     def each(row):
         for _, entry, before, after in _local(row, shape, 0):
