@@ -25,10 +25,11 @@ No bucket is dropped or cut; its pairs are never emitted.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fissura.llm.graph import components
@@ -155,7 +156,34 @@ def _sets(texts: DataFrame, width: int, counts: np.ndarray, num: int, den: int)
 
         return each
 
-    return map_blocks(texts, work, SETS, SET_CHARS)
+    return map_blocks(texts, work, SETS, SET_CHARS).withColumn("own", F.col("doc_id"))
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart; a null text is not an empty one."""
+    return F.xxhash64(text)
+
+
+def _told_apart(texts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """Where ids have several sets, their rows go by a hash of the set instead of the id.
+
+    So a number stands for one set from here on; ``own`` keeps the id. Returns
+    also whether there were such ids, and whether any number stands in several rows.
+    """
+    real = sets.filter("n > 0 and doc_id is not null")
+    differ = F.expr("min(k1) <> max(k1) or min(k2) <> max(k2) or min(n) <> max(n)")
+    many = real.groupBy("doc_id").agg(F.count("*").alias("times"), differ.alias("differ")).filter("times > 1")
+    many = stored(many, "many")
+    if many.filter("differ").isEmpty():
+        return texts, sets, False, not many.isEmpty()
+    named = real.join(many.filter("differ"), "doc_id", "left_semi")
+    named = stored(named.select("doc_id", "text_key", F.xxhash64("k1", "k2", "n").alias("set_id")).distinct(), "named")
+
+    def renamed(df: DataFrame) -> DataFrame:
+        both = df.join(named, ["doc_id", "text_key"], "left")
+        return both.withColumn("doc_id", F.coalesce("set_id", "doc_id")).select(df.columns)
+
+    return renamed(texts), stored(renamed(sets), "sets"), True, True
 
 
 def _short(shingles: np.ndarray) -> np.ndarray:
@@ -315,6 +343,15 @@ def _similar(stray, ids, of, counts, values, num, den) -> tuple[np.ndarray, np.n
     return np.asarray(a, np.int64), np.asarray(b, np.int64)
 
 
+@dataclass(frozen=True)
+class _Joined:
+    """``rows``: ``doc_id, own, text_key, n`` of every row; ``links``: of ``doc_id``; ``renamed``: see ``_told_apart``."""
+
+    rows: DataFrame
+    links: DataFrame
+    renamed: bool
+
+
 def join_similar(
     df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -327,8 +364,56 @@ def join_similar(
     an id but not a text link under that id; a null id gets a null component.
     An empty table gives no rows; other columns are ignored.
     """
-    texts = texts_of(df, id_col, text_col)
+    joined = _joined(df, width, num, den, id_col, text_col)
+    rows = joined.rows.select("doc_id", "own", F.col("n").alias("n_shingles"))
+    if not joined.renamed:
+        found = components(joined.links).withColumnRenamed("id", "doc_id")
+        return rows.join(found, "doc_id", "left").select(
+            "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+        )
+    real = rows.filter("n_shingles > 0 and own is not null")
+    low = real.groupBy("own").agg(F.min("doc_id").alias("b"))
+    same_id = real.join(low, "own").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    found = components(joined.links.union(same_id)).withColumnRenamed("id", "doc_id")
+    linked = real.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    linked = stored(linked.select("own", "component").distinct(), "linked")  # one component an id
+    names = linked.groupBy("component").agg(F.min("own").alias("component_id"))
+    named = linked.join(names, "component").select("own", "component_id")
+    return rows.join(named, "own", "left").select(
+        F.col("own").alias("doc_id"), "n_shingles", F.coalesce("component_id", "own").alias("component_id")
+    )
+
+
+def near_copies(
+    df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that have another keeper, and rows that occur repeatedly; both as ``doc_id, text_key``.
+
+    Of each component of similar sets the row of the smallest id, and of its
+    texts the one of the smallest key, is the keeper. Here rows of one id are
+    apart: each goes by its own text. Of the second table, those that are not in
+    the first are to be left once. Rows with a null id are in neither.
+    """
+    joined = _joined(df, width, num, den, id_col, text_col)
+    known = joined.rows.filter("own is not null")
+    found = components(joined.links).withColumnRenamed("id", "doc_id")
+    if joined.renamed:
+        real = known.filter("n > 0").join(found, "doc_id", "left")
+        real = stored(real.select("own", "text_key", F.coalesce("component", "doc_id").alias("component")).distinct(), "parts")
+        keepers = real.groupBy("component").agg(F.min(F.struct("own", "text_key")).alias("keeper"))
+        gone = real.join(keepers, "component").filter(F.struct("own", "text_key") != F.col("keeper"))
+    else:
+        gone = known.join(found, "doc_id").filter("component <> doc_id")
+    gone = gone.select(F.col("own").alias("doc_id"), "text_key").distinct()
+    again = known.groupBy(F.col("own").alias("doc_id"), "text_key").agg(F.count("*").alias("times"))
+    return gone, again.filter("times > 1").select("doc_id", "text_key")
+
+
+def _joined(df: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> _Joined:
+    key = text_key(F.col(text_col)).alias("text_key")
+    texts = texts_of(df, id_col, text_col, (key,))
     sets = stored(_sets(texts, width, _sketch(texts, width), num, den), "sets")
+    texts, sets, renamed, repeated = _told_apart(texts, sets)
     real = sets.filter("n > 0 and doc_id is not null")
     copies = real.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     members = real.select("doc_id", "k1", "k2", "n").join(copies.filter("copies > 1"), ["k1", "k2", "n"])
@@ -336,6 +421,8 @@ def join_similar(
     again = stored(equal.distinct(), "copies")
 
     classes = real.join(again.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    if repeated:
+        classes = stored(classes.dropDuplicates(["doc_id"]), "classes")
     postings = classes.select(
         F.explode("shared").alias("token"), F.col("doc_id").alias("rep"), F.col("n").cast("int").alias("n"), "l"
     )
@@ -380,9 +467,4 @@ def join_similar(
     if not large.isEmpty():
         found = components(links)
         links = stored(links.union(_block_links(large, found, whole, num, den)), "similar")
-    found = components(links.union(again))
-    return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    return _Joined(sets.select("doc_id", "own", "text_key", "n"), links.union(again), renamed)

@@ -171,3 +171,63 @@ def test_sketch_adds_up_over_many_partitions(spark):
         np.add.at(want, jaccard_join._bin(one), 1)
     assert want.max() > 255 and texts.rdd.getNumPartitions() > jaccard_join.FEW
     assert (jaccard_join._sketch(texts, 3) == want).all()
+
+
+def clash_rows():
+    """Ids that stand with several texts, some of them copies of others' texts."""
+    w = " ".join(f"w{i}" for i in range(40))
+    v = " ".join(f"v{i}" for i in range(40))
+    return [
+        (1, w), (5, w + " x"), (5, v), (8, v + " y"), (7, " ".join(f"q{i}" for i in range(30))),
+        (7, " ".join(f"z{i}" for i in range(30))), (9, w), (9, w), (9, v), (3, " ".join(f"q{i}" for i in range(30))),
+        (12, None), (12, ""), (12, ""), (None, w), (20, "alone it stands and is like nothing else here"),
+    ]
+
+
+def linked_sets(rows, width, num):
+    sets = [shingles(t, width) if d is not None else frozenset() for d, t in rows]
+    return sets, [
+        (i, j) for i, j in combinations(range(len(rows)), 2)
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])
+    ]
+
+
+@pytest.mark.parametrize("small", [48, 1])
+def test_ids_with_several_texts_link_under_the_id(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rows = clash_rows() + [(d, t) for d, t in near_rows(60, 5) if d > 20]
+    rows += [(d - 1, t + " more words at the end") for d, t in near_rows(60, 5) if d > 21 and d % 6 == 0]
+    sets, pairs = linked_sets(rows, 3, 90)
+    same = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and sets[j] and rows[i][0] == rows[j][0]]
+    top = joined(pairs + same, range(len(rows)))
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        if sets[i]:
+            low[top[i]] = min(low.get(top[i], d), d)
+    # A row without words has its id's component, as it has its id.
+    of_id = {d: low[top[i]] for i, (d, _) in enumerate(rows) if sets[i]}
+    want = sorted(((d, len(shingles(t, 3)), of_id.get(d, d)) for d, t in rows), key=repr)
+    got = jaccard_join.join_similar(documents_of(spark, rows).repartition(3), 3, 90, 100)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_near_duplicates_lose_no_other_text(spark):
+    import corpus_pipeline
+
+    rows = clash_rows()
+    sets, pairs = linked_sets(rows, 5, 80)
+    top = joined(pairs, range(len(rows)))
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        key = ("group", top[i]) if sets[i] else ("row", d, t) if d is not None else ("null", i)
+        groups.setdefault(key, []).append(d)
+    docs = documents_of(spark, rows).repartition(4)
+    for _ in range(2):
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert kept.dtypes == docs.dtypes
+        kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert sorted((d for d, _ in kept), key=repr) == sorted(
+            (min(g, key=lambda d: (d is None, d or 0)) for g in groups.values()), key=repr
+        )
+        assert {t for d, t in kept if d == 7} == {t for d, t in rows if d == 7 and "z0" in t}
+        assert (5, rows[2][1]) in kept and (5, rows[1][1]) not in kept
