@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fissura.storage import shared_dir
 
@@ -60,8 +61,8 @@ def map_blocks(
     characters at a time, or one longer text.
     """
     made = arrow_schema(schema)
-    carried = df.schema.fields[2:]
-    out = ", ".join([schema, *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
+    # As types, not text: names inside structs may be anything.
+    out = T.StructType([*T.StructType.fromDDL(schema).fields, *df.schema.fields[2:]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
