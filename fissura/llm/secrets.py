@@ -32,7 +32,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SEPARATOR = re.compile(r"[:=]")
 NAME_BEFORE = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])(["']?)([A-Za-z_$][A-Za-z0-9_.-]*)\1[ \t]*$""", re.ASCII)
 NAME_CHARS = 256  # a longer word before a separator is not a name
-QUOTED = re.compile(r'''[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)''')
+# Possessive, so that no way back is kept for each character of a long literal.
+QUOTED = re.compile(
+    r'''[ \t]*(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`([^`\n]*+)`)'''
+)
 PLUS = re.compile(r"""[ \t]*\+(?=[ \t]*["'`])""")
 BARE = re.compile(r"""[ \t]*([^\s"'`,;#(){}\[\]<>]+)""")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_$][A-Za-z0-9_.-]*)\}?", re.ASCII)
