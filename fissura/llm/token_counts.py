@@ -161,6 +161,8 @@ class BytePairs:
 
 
 NEVER = (1 << 60, -1)
+LONG_PIECE = 512  # bytes; longer pieces are walked one by one
+GROUP_BYTES = 1 << 18  # of pieces that are counted together, and so of new states in between two looks at the bound
 
 
 def byte_letters() -> dict[int, str]:
@@ -235,6 +237,39 @@ class PieceTransducer:
         self.arcs[state, self.column[byte]] = to << 9 | delta + 256
 
     def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """Tokens of each piece. Long ones, whose states hardly ever come again, leave none behind."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out = np.empty(len(pieces), np.int64)
+        for i in np.flatnonzero(sizes > LONG_PIECE).tolist():
+            out[i] = self.walk(pieces[i])
+        short = np.flatnonzero(sizes <= LONG_PIECE)
+        group = np.cumsum(sizes[short]) // GROUP_BYTES
+        for some in np.split(short, np.flatnonzero(np.diff(group)) + 1):
+            if len(some):
+                out[some] = self.together([pieces[i] for i in some.tolist()])
+        return out
+
+    def walk(self, piece: bytes) -> int:
+        """Tokens of one piece, over configurations that are not numbered."""
+        live, count = [(0, -1, 0)], 0
+        children, tokens = self.children, self.token
+        for byte in piece:
+            kept, found = [], None
+            for node, last, before in live:
+                below = children[node].get(byte)
+                if below is None:
+                    continue
+                token = tokens[below]
+                if found is None and token >= 0 and self.compatible(last, token):
+                    found = token, before + 1
+                if children[below]:
+                    kept.append((below, last, before))
+            token, count = found
+            kept.append((0, token, count))
+            live = kept
+        return count
+
+    def together(self, pieces: list[bytes]) -> np.ndarray:
         """Tokens of each piece; all pieces take their next transition together."""
         if len(self.configs) > self.bound:
             self.forget()

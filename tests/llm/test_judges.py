@@ -3,12 +3,16 @@
 import ast
 import hashlib
 import itertools
+import re
+import subprocess
+import sys
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -292,7 +296,8 @@ def test_secrets_of_awkward_rows(documents, nothing):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    larger = SF.replace("sf0.001", "sf0.01")  # the smallest table has no secrets
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
     columns, before = docs.dtypes, docs
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -319,6 +324,65 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == set(kept["secrets"])
 
 
+def test_base_spans_are_those_of_three_plain_patterns(spark):
+    larger = SF.replace("sf0.001", "sf0.01")  # the smallest table has no secrets
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    kinds = ("assign", "access", "hex")
+    patterns = (
+        (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        (r"AKIA[A-Z0-9]+", 0, 20),
+        (r"[0-9a-f]+", 0, 24),
+    )
+    total = 0
+    for r in queries.op9_secret_scan(spark, larger).collect():
+        spans = [
+            (m.start(), k, m.end())
+            for k, (pattern, group, least) in enumerate(patterns)
+            for m in re.finditer(pattern, texts[r["doc_id"]], re.ASCII)
+            if len(m[group]) >= least
+        ]
+        line = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in kinds] == [sum(s[1] == i for s in spans) for i in range(3)]
+        assert set(filter(None, line.split(","))) <= set(r["spans"].split(","))
+        total += len(spans)
+    assert total > 5
+
+
+def in_bounded_memory(code: str, megabytes: int) -> str:
+    """What ``code`` prints in a process of its own that may not hold more."""
+    limit = f"import resource; resource.setrlimit(resource.RLIMIT_DATA, ({megabytes} << 20,) * 2)\n"
+    done = subprocess.run([sys.executable, "-c", limit + code], capture_output=True, text=True, cwd=Path(entry.__file__).parent)
+    assert done.returncode == 0, done.stderr[-2000:]
+    return done.stdout
+
+
+def test_long_literals_and_runs_in_bounded_memory():
+    literal = "from fissura.llm import secrets\nprint(secrets.spans_of('key = \"' + 'aB3x' * 5_000_000 + '\"'))"
+    assert in_bounded_memory(literal, 900).strip() == "([], [])"
+    run = (
+        "import random, public_tokenizers\nfrom fissura.llm.token_counts import TokenCounter\n"
+        "text = ''.join(random.Random(3).choices('abcdefghijklmnopqrstuvwxyz', k=5_000_000))\n"
+        "print(TokenCounter(public_tokenizers.path('byte_bpe_50k.json')).counts([text])[0])"
+    )
+    assert 2_500_000 < int(in_bounded_memory(run, 1500)) < 3_500_000
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.select(
+        "*", F.lit(1).alias("my col"), F.lit("x").alias("a-b"), F.col("lang").alias("a.b"), F.lit(2.5).alias("new"),
+        F.struct(F.lit(1).alias("my col"), F.struct(F.lit("y").alias("c.d"), F.array(F.lit(1)).alias("row")).alias("in ner")).alias("own"),
+        F.create_map(F.lit("k"), F.lit(1)).alias("text_key"),
+    ).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.dtypes == docs.dtypes
+        assert 0 < len(after.collect()) <= 40
+        after.write.parquet(str(tmp_path / name))
+
+
 def test_pipeline_of_awkward_rows(spark):
     rows = [*TEXTS, (12, "same id"), (12, "same id")]
     docs = documents_of(spark, rows)
@@ -336,7 +400,7 @@ def test_pipeline_of_awkward_rows(spark):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert names["pipeline"] is corpus_pipeline.run
     assert set(queries.ALL) <= set(names)

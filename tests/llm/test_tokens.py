@@ -48,6 +48,16 @@ def test_counts_survive_a_full_automaton():
     assert got == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_pieces_are_walked():
+    rng = random.Random(8)
+    run = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rng.choices(letters, k=n))
+    texts = [run(20_000) + " and " + run(600), "x" * 3000, "ab" * 3000, "日本" * 900, "é" * 700, "-" * 5000, run(511), run(513, "aeé")]
+    want = [len(e.ids) for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    counter = TokenCounter(BYTES)
+    assert counter.counts(texts).tolist() == want
+    assert len(counter.pieces.configs) < 5000  # long runs leave no states behind
+
+
 def test_scan_of_chunk_maps_equals_one_walk():
     classes = np.random.default_rng(1).integers(0, N_CLASSES, (37, 128)).astype(np.uint8)
     state, want = START, []
