@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fissura.llm.jaccard_join import join_similar
+from fissura.llm.jaccard_join import near_copies, text_key
 from fissura.llm.language import identify
 from fissura.llm.packing import pack_documents
 from fissura.llm.secrets import find_secrets
@@ -35,20 +35,30 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, and of repeated rows of one id, one stays.
+    """Of each group of similar documents, and of rows that repeat id and text, one stays.
 
-    Five-word shingles and a likeness of 0.8. The smallest id of a group stays;
-    documents without an id are in no group.
+    Five-word shingles and a likeness of 0.8. The row of the smallest id of a
+    group stays. Rows that share an id but not a text are documents of their own:
+    each goes only if its own text has another keeper. Of repeated rows that differ
+    in other columns the one that reads smallest as JSON stays. Documents without an
+    id are in no group.
     """
-    joined = join_similar(docs, width=5, num=80, den=100)
-    gone = stored(joined.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    again = joined.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
-    again = stored(again.select("doc_id").join(gone, "doc_id", "left_anti"), "again")
-    once = docs.join(gone.union(again), "doc_id", "left_anti")
+    gone, again = near_copies(docs, width=5, num=80, den=100)
+    gone, again = stored(gone, "gone"), stored(again, "again")
+    # No name can clash with the documents' own columns.
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", text_key(F.col("text")).alias("text_key"))
+    keys = ["doc_id", "text_key"]
+    kept = rows.join(gone, keys, "left_anti")
     if again.isEmpty():
-        return once.select(docs.columns)
-    twice = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).union(twice.select(docs.columns))
+        return kept.select("row.*")
+    once = kept.join(again, keys, "left_anti").select("row")
+    twice = kept.join(again, keys, "left_semi").groupBy(keys)
+    return once.union(twice.agg(F.min_by("row", F.to_json("row")).alias("row")).drop(*keys)).select("row.*")
+
+
+def _named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +69,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     n_chars = F.when(changed, F.char_length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return clean.select(
         *(
-            F.coalesce("_clean", "text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c)
+            F.coalesce("_clean", "text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else _named(c)
             for c in docs.columns
         )
     )
