@@ -97,10 +97,33 @@ def normalise_params(
     return df.withColumns(columns)
 
 
+def colour_error(text: Column) -> Column:
+    """Message for a text that is no colour; NULL for a good or a missing one."""
+    return F.when(~text.rlike(COLOUR_PATTERN), F.lit(COLOUR_MESSAGE))
+
+
+def normalise_colour(df: DataFrame, mode: str = "lenient", colour_raw: str = "colour_raw") -> DataFrame:
+    """Add ``colour``, by default the usual one where the text is missing.
+
+    A bad text is NULL in lenient mode. In strict mode it is the ``error`` of its row, unless
+    the row has one already, and the other rows go on.
+    """
+    text = F.col(colour_raw)
+    usual = F.struct(*(F.lit(v).alias(n) for n, v in zip("bgr", DEFAULT_COLOUR)))
+    typed = df.withColumn("colour", F.when(text.isNull(), usual).otherwise(parse_colour(text)))
+    if mode == "lenient":
+        return typed
+    if mode != "strict":
+        raise ValueError(f"unknown mode: {mode}")
+    known = [F.col("error")] if "error" in df.columns else []
+    return typed.withColumn("error", F.coalesce(*known, colour_error(text)))
+
+
 def parse_colour(text: Column, mode: str = "lenient") -> Column:
     """``"B,G,R"`` to a struct of channels clamped to 0..255.
 
-    Anything but three whole numbers is NULL, or an error in strict mode.
+    Anything but three whole numbers is NULL; strict mode ends the job on it. To
+    have it as an error of its row, see ``normalise_colour``.
     """
     channels = (
         clamp(

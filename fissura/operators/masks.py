@@ -13,8 +13,11 @@ than the image itself. Runs are what geometry (scaling, outlines, painting)
 wants; a scanline has at most ``width / 2`` of them.
 """
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,25 +192,111 @@ def fit_runs(words: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
     return merge_overlapping(fitted, keys)
 
 
-def thicken_runs(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Pixels of a strip that a task thickens at a time, without the rows around it that reach into it.
+THICK_PIXELS = 1 << 22
+
+
+def thicken_runs(pieces: DataFrame, keys: Sequence[str], strip_pixels: int = THICK_PIXELS) -> DataFrame:
     """Grow runs by a disc of diameter ``outline`` (a column), clipped to the image.
 
     Every pixel within ``outline / 2`` of a run pixel is set; 1 changes nothing.
-    Widths beyond the image cost no more than the image.
+    Images are cut into strips of scanlines; a run goes to the strips that it
+    reaches, which is one or two unless the width is beyond a strip. A strip is a
+    distance transform in two steps, so the work does not grow with the width.
     """
-    radius = "int(least(outline div 2, height))"
-    grown = (
-        pieces.selectExpr("*", f"explode(sequence(-{radius}, {radius})) AS dy")
-        .filter("y + dy >= 0 and y + dy < height")
-        .selectExpr("*", "int(least(floor(sqrt(double(outline) * outline / 4 - dy * dy)), width)) AS reach")
-        .selectExpr(
-            *keys,
-            "y + dy AS y",
-            "greatest(x0 - reach, 0) AS x0",
-            "least(x1 + reach, width) AS x1",
-        )
+    rows = f"int(greatest(1, {strip_pixels} div width))"
+    radius = "least(outline div 2, height)"
+    first = f"int(greatest(y - {radius}, 0) div {rows})"
+    last = f"int(least(y + {radius}, height - 1) div {rows})"
+    strips = pieces.selectExpr(
+        *keys, "y", "x0", "x1", f"explode(sequence({first}, {last})) AS strip", f"{rows} AS rows"
+    )
+    layout = pieces.select(*keys, "y", "x0", "x1").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for strip in by_group(batches, ("image_id", "strip")):
+            yield from _thick_strip(strip, layout.names)
+
+    return (
+        strips.repartition("image_id", "strip").sortWithinPartitions("image_id", "strip").mapInArrow(run, layout)
     )
-    return union_runs(grown, keys)
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by ``keys``, one after the other."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(k)[i].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        bounds = [0, *cuts.tolist(), batch.num_rows]
+        for begin, end in zip(bounds, bounds[1:]):
+            if held and key(held[0], 0) != key(batch, begin):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def disc_reach(width: int, rows: int) -> np.ndarray:
+    """How far a disc of diameter ``width`` reaches sideways, for each distance in rows up to ``rows``; -1: not at all."""
+    return np.array([math.isqrt((width * width - 4 * d * d) // 4) if 2 * d <= width else -1 for d in range(rows + 1)])
+
+
+def _thick_strip(strip: pa.Table, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    one = {c: strip.column(c)[0].as_py() for c in ("height", "width", "outline", "strip", "rows")}
+    height, width, thickness = one["height"], one["width"], one["outline"]
+    radius = min(thickness // 2, height)
+    low = one["strip"] * one["rows"]
+    high = min(low + one["rows"], height)
+    y, x0, x1 = (strip.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    # Only columns that runs reach, and scanlines of the strip that are near one.
+    left, right = max(int(x0.min()) - thickness // 2, 0), min(int(x1.max()) + thickness // 2, width)
+    low, high = max(low, int(y.min()) - radius), min(high, int(y.max()) + radius + 1)
+    top, bottom = int(y.min()), int(y.max()) + 1
+    edges = np.zeros((bottom - top, right - left + 1), np.int32)
+    np.add.at(edges, (y - top, x0 - left), 1)
+    np.add.at(edges, (y - top, x1 - left), -1)
+    hit = np.cumsum(edges[:, :-1], axis=1) > 0
+    # Step one, down the columns: rows to the nearest pixel, above or below.
+    far = np.int32(2 * radius + height + 1)
+    at = np.arange(top, bottom, dtype=np.int32)[:, None]
+    above = np.maximum.accumulate(np.where(hit, at, np.int32(top - far)), axis=0)
+    below = np.minimum.accumulate(np.where(hit, at, np.int32(bottom + far))[::-1], axis=0)[::-1]
+    reach = disc_reach(thickness, radius)
+    lines = np.arange(low, high)
+    for begin in range(0, len(lines), 256):
+        some = lines[begin : begin + 256]
+        # Scanlines beyond all runs look at the first or last one that has any.
+        up = above[np.clip(some - top, 0, bottom - top - 1)]
+        down = below[np.clip(some - top, 0, bottom - top - 1)]
+        up = np.where(some[:, None] >= top, up, top - far)
+        down = np.where(some[:, None] < bottom, down, bottom + far)
+        distance = np.minimum(some[:, None] - up, down - some[:, None])
+        # Step two, along the scanline: every column covers as far as its distance leaves.
+        row, column = np.nonzero(distance <= radius)
+        k = reach[distance[row, column]]
+        row, column, k = row[k >= 0], column[k >= 0], k[k >= 0]
+        cover = np.zeros((len(some), right - left + 1), np.int32)
+        np.add.at(cover, (row, np.maximum(column - k, 0)), 1)
+        np.add.at(cover, (row, np.minimum(column + k + 1, right - left)), -1)
+        inside = np.zeros((len(some), right - left + 2), np.int8)
+        inside[:, 1:-1] = np.cumsum(cover[:, :-1], axis=1) > 0
+        step = np.diff(inside, axis=1)
+        starts, ends = np.nonzero(step == 1), np.nonzero(step == -1)
+        n = len(starts[0])
+        if n:
+            made = {"y": some[starts[0]], "x0": starts[1] + left, "x1": ends[1] + left}
+            columns = [
+                pa.array(made[c], pa.int32()) if c in made else pa.repeat(strip.column(c)[0], n) for c in names
+            ]
+            yield pa.RecordBatch.from_arrays(columns, list(names))
 
 
 def count_instances(images: DataFrame, detections: DataFrame) -> DataFrame:

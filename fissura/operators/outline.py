@@ -31,7 +31,6 @@ from fissura.operators.masks import (
     thicken_runs,
     words_to_pieces,
 )
-from fissura.storage import durable
 
 STRIP_PIXELS = 1 << 24
 _RUN = -1  # component number of a run, which is no gap
@@ -94,6 +93,9 @@ def _gaps_of(runs: pa.Table) -> pa.Table:
         np.r_[np.repeat(below, n_edges) + 1, escaped + 1],
         np.r_[targets + 1, np.zeros_like(escaped)],
     )[1:]
+    # Numbered within the strip, so that it does not matter which strips were labelled together.
+    begin = np.searchsorted(group[g_line], group[g_line])
+    part = np.where(part > 0, part - begin, 0)
 
     def rows_at(index, start, end, component):
         kept = [c for c in runs.column_names if c not in ("rows", "x0", "x1")]
@@ -173,7 +175,8 @@ def filled_runs(
 
     A run and a gap it touches stay separate rows. Images of one strip and
     taller ones part before the gaps are labelled: only the latter take the
-    step that links strips, and their labels, which it reads twice, are stored.
+    step that links strips. It reads their labels twice; they are the same both
+    times, and nothing runs ahead of the query for images that are not there.
     """
     tall = F.col("height") > _strip_rows(strip_pixels)
     shared = (F.col("y") % F.col("rows") == 0) & (F.col("y") > 0)
@@ -201,7 +204,7 @@ def filled_runs(
         )
 
     low = labelled(runs.filter(~tall)).filter("solid").select(*result)
-    high = durable(labelled(runs.filter(tall)), "strips").withColumn("rows", _strip_rows(strip_pixels))
+    high = labelled(runs.filter(tall)).withColumn("rows", _strip_rows(strip_pixels))
     opened = (
         high.filter(shared & (F.col("part") != _RUN))
         .select("image_id", "strip", "y", "x0", "part", "solid")

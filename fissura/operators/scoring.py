@@ -30,6 +30,10 @@ FAILED = "Inference failed: "
 
 # Score values a task holds back before it hands a batch on.
 _OUTPUT_CELLS = 1 << 24
+_OUTPUT_ROWS = 10_000
+
+# Pixel bytes that a task holds for one call of a model that takes batches.
+BATCH_BYTES = 1 << 27
 
 _SCORED_TYPES = (
     *(pa.int64(), pa.int64(), pa.float32(), pa.int32(), pa.int32(), pa.list_(pa.float32())),
@@ -133,9 +137,17 @@ def score_images(
     conf: float = DEFAULT_CONF,
     imgsz: int = DEFAULT_IMGSZ,
     threshold: float | None = None,
+    batch: int | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Detections of every image, and one row per image with its size.
 
+    With ``batch``, the model takes lists: ``model(images, confs, imgsz)`` gets up to
+    ``batch`` images of one shape and gives as many lists of detections. The
+    images of a partition are sorted by shape, without a shuffle, and held up to
+    ``batch_bytes``. A call that fails, or gives another number of lists, is made
+    again on either half, so one bad image costs a few calls and fails alone.
+
     With a ``threshold``, masks are binarised and packed before they leave the
     worker, and only detections at or above the image's confidence come out: the
     ``PACKED`` layout, about a thirty-second of the scores.
@@ -151,10 +163,11 @@ def score_images(
     blank = (None,) * (len(layout) - 4)
     token = weights.token if isinstance(weights, Shipped) else f"{_identity(load)}:{weights}"
 
-    def detections(row: dict) -> list[tuple[float, np.ndarray]]:
-        model = model_of(load, weights, token)
-        image = _as_bgr(row["data"], row["height"], row["width"], row["n_channels"])
-        found = [(float(c), np.asarray(m, np.float32)) for c, m in model(image, row["conf"], imgsz)]
+    def image_of(row: dict) -> np.ndarray:
+        return _as_bgr(row["data"], row["height"], row["width"], row["n_channels"])
+
+    def checked(detected) -> list[tuple[float, np.ndarray]]:
+        found = [(float(c), np.asarray(m, np.float32)) for c, m in detected]
         shapes = {m.shape for _, m in found}
         if any(len(s) != 2 or 0 in s for s in shapes):
             raise ValueError("a mask is not two-dimensional")
@@ -162,12 +175,47 @@ def score_images(
             raise ValueError("masks of one image differ in shape")
         return found
 
-    def rows_of(row: dict) -> Iterator[tuple]:
-        size = (row["height"], row["width"])
+    def alone(row: dict) -> list | Exception:
         try:
-            found = detections(row)
+            return checked(model_of(load, weights, token)(image_of(row), row["conf"], imgsz))
         except Exception as exc:
-            yield (row["image_id"], *blank, *size, f"{FAILED}{exc}")
+            return exc
+
+    def together(rows: list[dict]) -> list[list | Exception]:
+        """What each image gives, or why it failed."""
+        try:
+            images = [image_of(r) for r in rows]
+            found = list(model_of(load, weights, token)(images, [r["conf"] for r in rows], imgsz))
+            if len(found) != len(rows):
+                raise ValueError("the model gave another number of results than images")
+            return [checked(f) for f in found]
+        except Exception as exc:
+            if len(rows) == 1:
+                return [exc]
+            half = len(rows) // 2
+            return together(rows[:half]) + together(rows[half:])
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list | Exception]]:
+        waiting, held = [], 0
+        for incoming in batches:
+            for i in range(incoming.num_rows):
+                row = incoming.slice(i, 1).to_pylist()[0]
+                if batch is None:
+                    yield row, alone(row)
+                    continue
+                same = not waiting or all(row[c] == waiting[0][c] for c in ("height", "width", "n_channels"))
+                if waiting and (not same or len(waiting) >= batch or held >= batch_bytes):
+                    yield from zip(waiting, together(waiting))
+                    waiting, held = [], 0
+                waiting.append(row)
+                held += len(row["data"] or b"")
+        if waiting:
+            yield from zip(waiting, together(waiting))
+
+    def rows_of(row: dict, found: list | Exception) -> Iterator[tuple]:
+        size = (row["height"], row["width"])
+        if isinstance(found, Exception):
+            yield (row["image_id"], *blank, *size, f"{FAILED}{found}")
             return
         yield (row["image_id"], *blank, *size, None)
         for i, (c, m) in enumerate(found):
@@ -177,21 +225,21 @@ def score_images(
                 yield (row["image_id"], i, c, *m.shape, *packed(m, threshold), *size, None)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, cells = [], 0
-            for row in batch.to_pylist():
-                for one in rows_of(row):
-                    rows.append(one)
-                    cells += 0 if one[5] is None else len(one[5])
-                    if cells > _OUTPUT_CELLS:  # also within one image
-                        yield _batch(rows, layout)
-                        rows, cells = [], 0
-            if rows:
-                yield _batch(rows, layout)
-
-    return images.select(
-        "image_id", "height", "width", "n_channels", "data", limit.alias("conf")
-    ).mapInArrow(score, layout)
+        rows, cells = [], 0
+        for row, found in results(batches):
+            for one in rows_of(row, found):
+                rows.append(one)
+                cells += 0 if one[5] is None else len(one[5])
+                if cells > _OUTPUT_CELLS or len(rows) >= _OUTPUT_ROWS:  # also within one image
+                    yield _batch(rows, layout)
+                    rows, cells = [], 0
+        if rows:
+            yield _batch(rows, layout)
+
+    given = images.select("image_id", "height", "width", "n_channels", "data", limit.alias("conf"))
+    if batch is not None:
+        given = given.sortWithinPartitions("height", "width", "n_channels")
+    return given.mapInArrow(score, layout)
 
 
 def detections_of(scored: DataFrame) -> DataFrame:

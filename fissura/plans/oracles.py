@@ -5,7 +5,7 @@ outside is a recursive flood from the frame, thick lines are a join with the
 disc: no step follows the Spark plans.
 """
 
-from fissura.functions import names
+from fissura.functions import names, params
 from fissura.operators import validation
 from fissura.plans import fixtures as fx
 
@@ -253,6 +253,17 @@ final AS (
   FROM parts)""",
         select="""SELECT event_id, CASE WHEN ok THEN v[1] END AS b, CASE WHEN ok THEN v[2] END AS g,
   CASE WHEN ok THEN v[3] END AS r FROM parsed""",
+    ),
+    "colour_strict": _query(
+        f"raw AS (SELECT event_id, {_pick(fx.COLOUR_TEXTS, 'event_id')} AS t FROM events)",
+        "parts AS (SELECT event_id, t, string_split(t, ',') AS p FROM raw)",
+        rf"""parsed AS (
+  SELECT event_id, t, len(p) = 3 AND len(list_filter(p, lambda s: regexp_full_match(s, '\s*{_INT}\s*'))) = 3 AS ok,
+         list_transform(p, lambda s: least(greatest(TRY_CAST(trim(s) AS BIGINT), 0), 255)::INTEGER) AS v
+  FROM parts)""",
+        select=f"""SELECT event_id, CASE WHEN t IS NULL THEN 0 WHEN ok THEN v[1] END AS b,
+  CASE WHEN t IS NULL THEN 0 WHEN ok THEN v[2] END AS g, CASE WHEN t IS NULL THEN 255 WHEN ok THEN v[3] END AS r,
+  CASE WHEN t IS NOT NULL AND NOT ok THEN '{params.COLOUR_MESSAGE.replace("'", "''")}' END AS error FROM parsed""",
     ),
     "linear_scores": """SELECT vec_id AS image_id,
   round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * i / 64)), 4) AS score FROM embeddings""",
@@ -298,6 +309,11 @@ final AS (
         FRAMES, GRID, FRAME_DET, _hot(0.1), _mask(), _outside("frame"), THICK,
         select="SELECT * FROM thick",
     ),
+    "outline_thick_wide": _query(
+        FRAMES.replace("(image_id % 5)::INTEGER AS outline", "(image_id * 7 % 60)::INTEGER AS outline"),
+        GRID, FRAME_DET, _hot(0.1), _mask(), _outside("frame"), THICK.replace("-5, 6", "-30, 31"),
+        select="SELECT * FROM thick",
+    ),
     "overlay_pixels": OVERLAY,
     "overlay_sink": OVERLAY,
     "detection_report": _query(
@@ -332,6 +348,28 @@ mask AS (
   LEFT JOIN edge e ON e.image_id = p.image_id AND e.y = p.p // 8 AND e.x = p.p % 8)""",
         select="""SELECT image_id, y, x, max(v) FILTER (c = 0) AS b, max(v) FILTER (c = 1) AS g,
   max(v) FILTER (c = 2) AS r FROM whole GROUP BY image_id, y, x""",
+    ),
+    "file_manifest": _query(
+        FRAMES,
+        """named AS (
+  SELECT CASE WHEN image_id % 7 = 0 THEN NULL WHEN image_id % 11 = 0 THEN 'frames/frame_' || image_id || '.bmp'
+              ELSE 'frame_' || image_id || '.bmp' END AS name,
+         (54 + height * ((width * 3 + 3) // 4 * 4))::BIGINT AS bytes FROM frame)""",
+        select="""SELECT name, CASE WHEN name LIKE 'frame_%' AND name NOT LIKE '%/%' THEN bytes END AS size,
+  CASE WHEN name IS NULL THEN 'no name' WHEN name LIKE '%/%' THEN 'not a file name' END AS error,
+  CASE WHEN name LIKE 'frame_%' AND name NOT LIKE '%/%' THEN bytes END AS length FROM named""",
+    ),
+    "scored_batches": _query(
+        FRAMES, GRID,
+        """hit AS (
+  SELECT image_id, y, x, (image_id * 31 + y * 7 + x * 3) % 256 > 127 AS blue,
+         (image_id * 31 + y * 7 + x * 3 + 11) % 256 > 200 AS green FROM grid),
+counted AS (
+  SELECT image_id, image_id * 31 % 256 % 10 = 7 AS bad, max(blue::INTEGER) + max(green::INTEGER) AS n,
+         count(*) FILTER (blue OR green) AS area FROM hit GROUP BY image_id)""",
+        select="""SELECT image_id, CASE WHEN bad THEN 0 ELSE n END::BIGINT AS num_instances,
+  CASE WHEN bad THEN 0 ELSE area END::BIGINT AS mask_area,
+  CASE WHEN bad THEN 'Inference failed: forced failure' END AS error FROM counted""",
     ),
     "stream_detect": _query(
         FRAMES, GRID,

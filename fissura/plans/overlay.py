@@ -26,11 +26,18 @@ class OverlayParams:
 
 @dataclass(frozen=True)
 class Overlay:
+    """``images``: painted ones, whole; ``lines``: their scanlines ``image_id, y, bgr``."""
+
+    images: DataFrame
     lines: DataFrame
     fill: DataFrame
     outline: DataFrame
 
 
+def overlay_lines(images: DataFrame) -> DataFrame:
+    return paint.scanlines(images).select("image_id", "y", F.col("line").alias("bgr"))
+
+
 def with_params(images: DataFrame, params: OverlayParams) -> DataFrame:
     """Fill in the parameters that ``images`` does not bring, column by column and row by row."""
     colour = F.struct(*(F.lit(v).alias(n) for n, v in zip("bgr", params.colour)))
@@ -74,6 +81,7 @@ def overlay(
     params: OverlayParams = OverlayParams(),
     sizes: DataFrame | None = None,
     failed: DataFrame | None = None,
+    carry: tuple[str, ...] = (),
 ) -> Overlay:
     """Overlay of every decodable image, damaged or not.
 
@@ -81,9 +89,9 @@ def overlay(
     columns; ``params`` stands in for those it lacks. ``sizes`` spares decoding
     the images for their size, and images in ``failed`` get no overlay.
 
-    The mask is written to shared storage when this is called: filling,
-    outlining and painting all read it, and it is a small part of the scores it
-    comes from.
+    The mask and the index of runs are written to shared storage when this is
+    called; they are a small part of the scores they come from. The images are
+    read once, where the result is asked for, and are not shuffled.
     """
     images = with_params(images, params)
     known = images
@@ -91,12 +99,9 @@ def overlay(
         known = images.drop("height", "width", "n_channels", "data").join(sizes, "image_id")
     fill = durable(fitted_mask(known, detections, params), "mask")
     edge = outline.thick_outline_runs(fill)
-    kept = ("image_id", "height", "width", "n_channels", "alpha", "colour", "data")
-    skipped = None
-    if failed is not None:
-        skipped = failed.select("image_id").join(known.select("image_id", "height"), "image_id")
-    lines = paint.paint(paint.scanlines(images.select(*kept)), fill, edge, skipped)
-    return Overlay(lines, fill, edge)
+    skipped = None if failed is None else failed.select("image_id").distinct()
+    painted = paint.paint(images, paint.index_runs(fill, edge, skipped), carry)
+    return Overlay(painted, overlay_lines(painted), fill, edge)
 
 
 def selected(images: DataFrame, detections: DataFrame, params: OverlayParams) -> DataFrame:
@@ -120,6 +125,11 @@ def _clashes(images: DataFrame, column: str) -> DataFrame:
     return images.join(shared, column, "left_semi").select("image_id", message.alias("error"))
 
 
+def _unnamed(images: DataFrame) -> DataFrame:
+    message = F.lit(f"{scoring.FAILED}no result path")
+    return images.filter("file is null").select("image_id", message.alias("error"))
+
+
 def run(
     images: DataFrame,
     load: Callable,
@@ -133,11 +143,12 @@ def run(
     ``out_dir/images``, named after its ``out_path``; the report names that
     file, and echoes the parameters. Scanlines are also kept as a table.
 
-    Images are decoded twice: to score them and to paint them. Packed masks are
-    written once to shared storage, every later branch reads that table, and it
-    is deleted at the end. Failed images get a report row and no overlay: those
-    the model failed on or gave malformed masks for, and those that share an
-    ``out_path``. Images that share an ``image_id`` cannot be told apart and end
+    Images are decoded twice: to score them and to paint them. Painted pixels
+    are written once, and deleted when the files and the scanlines are there; pixels are
+    never shuffled. Packed masks are written once to shared storage, every later
+    branch reads that table, and it is deleted at the end. The files appear all together. Failed images
+    get a report row and no overlay: those the model failed on or gave malformed
+    masks for, those without an ``out_path``, and those that share one. Images that share an ``image_id`` cannot be told apart and end
     the job.
     """
     spark = images.sparkSession
@@ -159,19 +170,20 @@ def run(
     listed = filled.drop("height", "width", "n_channels", "data")
     errors = durable(
         scoring.errors_of(scored)
-        .unionByName(_clashes(listed, "file"))
+        .unionByName(_clashes(listed.filter("file is not null"), "file"))
+        .unionByName(_unnamed(listed))
         .groupBy("image_id")
         .agg(F.min("error").alias("error")),
         "errors",
     )
     sizes = scoring.sizes_of(scored)
-    result = overlay(filled, detections, params, sizes, errors)
-    write_scanlines(result.lines, f"{out_dir}/overlay")
-    lines = spark.read.schema(result.lines.schema).parquet(f"{out_dir}/overlay")
-    whole = paint.assemble(lines, listed.join(sizes, "image_id"))
-    write_image_files(
-        whole.join(listed.select("image_id", "file"), "image_id"), f"{out_dir}/images", "file", "png"
-    )
+    # The name of an image's file is a value of its row, so it needs no join either.
+    painted = overlay(filled, detections, params, sizes, errors, carry=("file",)).images
+    pixels = new_dir(spark, "painted")
+    painted = durable(painted, "painted", pixels)
+    write_scanlines(overlay_lines(painted), f"{out_dir}/overlay")
+    write_image_files(painted, f"{out_dir}/images", "file", "png")
+    discard(spark, pixels)
     target = F.concat(F.lit(f"{out_dir}/images/"), F.col("file"))
     rows = report.report(
         listed.withColumn("out_path", target).drop("file"), selected(filled, detections, params), errors

@@ -108,6 +108,15 @@ def _linear_model():
     return lambda batch: batch.astype(np.float64) @ weights
 
 
+def colour_strict(spark, sf_dir):
+    """A bad colour is the error of its row; the others keep theirs."""
+    raw = fx.table(spark, sf_dir, "events").select(
+        "event_id", fx.pick(fx.COLOUR_TEXTS, F.col("event_id")).alias("colour_raw")
+    )
+    typed = params.normalise_colour(raw, "strict")
+    return typed.select("event_id", "colour.b", "colour.g", "colour.r", "error")
+
+
 def linear_scores(spark, sf_dir):
     score = scoring.score_tensors("embedding", _linear_model, [64], T.DoubleType())
     return fx.table(spark, sf_dir, "embeddings").select(
@@ -170,6 +179,13 @@ def outline_thick(spark, sf_dir):
     return _pixels(outline.thick_outline_runs(runs))
 
 
+def outline_thick_wide(spark, sf_dir):
+    """Widths up to several times the image."""
+    images = fx.frame_images(spark, sf_dir).withColumn("outline", (F.col("image_id") * 7 % 60).cast("int"))
+    runs = fitted_mask(images, fx.frame_detections(spark, sf_dir), FRAME)
+    return _pixels(outline.thick_outline_runs(runs))
+
+
 def _frames_with_conf(spark, sf_dir):
     return fx.frame_images(spark, sf_dir).withColumn(
         "conf", (F.col("image_id") % 4 * 5 + 20) / 100.0
@@ -221,6 +237,33 @@ def scored_words(spark, sf_dir):
     return masks.merge_pieces(runs, ("image_id", "instance_id"))
 
 
+def _batched_bright_model(weights: str):
+    """As ``_bright_model``, for lists of images of one shape; refuses some images."""
+
+    def model(images, confs, imgsz):
+        stack = np.stack(images)
+        if (stack[:, 0, 0, 0] % 10 == 7).any():
+            raise ValueError("forced failure")
+        marks = [stack[..., 0] > 127, stack[..., 1] > 200]
+        return [[(0.75, m[i].astype(np.float32)) for m in marks if m[i].any()] for i in range(len(stack))]
+
+    return model
+
+
+def scored_batches(spark, sf_dir):
+    """Images of many shapes, scored many to a call; a refused one fails alone."""
+    images = fx.frame_images(spark, sf_dir)
+    scored = scoring.score_images(images, _batched_bright_model, "none", 0.5, threshold=0.5, batch=32)
+    scored = durable(scored, "scored")
+    words = masks.packed_words(scoring.detections_of(scored))
+    areas = masks.mask_areas(masks.merge_pieces(masks.words_to_pieces(words), ["image_id"]))
+    counted = masks.count_instances(images.select("image_id"), scoring.detections_of(scored))
+    failed = scoring.errors_of(scored)
+    return counted.join(areas, "image_id", "left").join(failed, "image_id", "left").select(
+        "image_id", "num_instances", F.coalesce("mask_area", F.lit(0).cast("bigint")).alias("mask_area"), "error"
+    )
+
+
 def result_pairs(spark, sf_dir):
     images = fx.frame_images(spark, sf_dir)
     found = scoring.confident(fx.frame_detections(spark, sf_dir), 0.35)
@@ -267,6 +310,17 @@ def overlay_sink(spark, sf_dir):
     )
 
 
+def file_manifest(spark, sf_dir):
+    """What a committed write has made of every row, also of those without a usable name."""
+    i = F.col("image_id")
+    name = F.when(i % 7 == 0, None).when(i % 11 == 0, F.col("path")).otherwise(F.substring_index("path", "/", -1))
+    directory = new_dir(spark, "committed")
+    frames = fx.frame_images(spark, sf_dir).withColumn("name", name)
+    written = write_image_files(frames, directory)
+    files = spark.read.format("binaryFile").load(directory).select(_file_name("path"), "length")
+    return written.join(files, F.col("name") == F.col("file"), "left").select("name", "size", "error", "length")
+
+
 def stream_ingest(spark, sf_dir):
     sink, checkpoint = new_dir(spark, "ingested"), new_dir(spark, "ingest-state")
     ingest(image_stream(spark, _frame_files(spark, sf_dir), files_per_batch=1000), sink, checkpoint)
@@ -327,6 +381,7 @@ ALL = {
         param_parse_clamp,
         param_strict,
         colour_parse,
+        colour_strict,
         linear_scores,
         conf_filter_count,
         mask_binarise_runs,
@@ -339,13 +394,16 @@ ALL = {
         outline_speckle,
         outline_strips,
         outline_thick,
+        outline_thick_wide,
         overlay_pixels,
         detection_report,
         scored_masks,
         scored_words,
+        scored_batches,
         result_pairs,
         image_scan,
         overlay_sink,
+        file_manifest,
         stream_ingest,
         result_files,
         stream_detect,

@@ -30,6 +30,15 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fissura/{label}-{uuid.uuid4().hex}"
 
 
+def uri(spark: SparkSession, directory: str) -> str:
+    """``directory`` with its scheme, as Arrow reads it on any node."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    target = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if target.startswith("file:"):
+        target = "file://" + target.removeprefix("file:").replace("//", "/")
+    return target
+
+
 def durable(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage once and return a scan of it.
 

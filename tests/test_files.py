@@ -214,3 +214,82 @@ def test_jpeg_and_tiff_decode(spark, tmp_path):
         assert (r["height"], r["width"], r["n_channels"]) == (4, 6, 3), name
         pixels = np.frombuffer(bytes(r["data"]), np.uint8).reshape(-1, 3).astype(int)
         assert np.abs(pixels - (0x32, 0x78, 0x0A)).max() <= (3 if name == "p.JPG" else 0), name
+
+
+def written(spark, rows, target):
+    return sinks.write_files(spark.createDataFrame(rows, "name string, content binary"), target)
+
+
+def test_files_appear_together_or_not_at_all(spark, tmp_path):
+    target = str(tmp_path / "out")
+    assert sinks.read_manifest(spark, target).count() == 0
+    manifest = written(spark, [("a", b"1"), ("b", b"22")], target)
+    assert sorted(tuple(r) for r in manifest.collect()) == [("a", 1, None), ("b", 2, None)]
+
+    def fail(batches):
+        for batch in batches:
+            yield batch
+        raise RuntimeError("killed")
+
+    broken = spark.createDataFrame([(f"n{i}", b"x") for i in range(40)], "name string, content binary").repartition(4)
+    with pytest.raises(Exception, match="killed"):
+        sinks.write_files(broken.mapInPandas(fail, "name string, content binary"), target)
+    # The earlier files and manifest stand, and nothing is left beside them.
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"a": b"1", "b": b"22"}
+    assert sinks.read_manifest(spark, target).count() == 2
+    assert {p.name for p in tmp_path.iterdir()} == {"out", "_out.manifest"}
+    written(spark, [("c", b"333")], target)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["c"]
+    assert {p.name for p in tmp_path.iterdir()} == {"out", "_out.manifest"}
+
+
+def test_rows_without_a_file_name_are_error_rows(spark, tmp_path):
+    rows = [(None, b"1"), (None, b"2"), ("", b"3"), ("x/y", b"4"), ("..", b"5"), ("a.png", None), ("b.png", b"")]
+    manifest = written(spark, rows, str(tmp_path / "out")).collect()
+    assert len(manifest) == len(rows)
+    assert {(r["name"], r["error"]) for r in manifest} == {
+        (None, "no name"), ("", "not a file name"), ("x/y", "not a file name"), ("..", "not a file name"),
+        ("a.png", "no content"), ("b.png", None),
+    }
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["b.png"]
+    assert written(spark, [], str(tmp_path / "none")).count() == 0
+
+
+def test_lost_attempts_leave_nothing(tmp_path):
+    """Two attempts of one task: one dies in the middle of a file, one after its files."""
+    import pyarrow as pa
+
+    def batch(*rows):
+        return pa.RecordBatch.from_pydict({"name": [r[0] for r in rows], "content": [r[1] for r in rows]})
+
+    def dying(*rows):
+        yield batch(*rows)
+        raise OSError("lost")
+
+    writer = sinks._FilesWriter(f"file://{tmp_path}/out")
+    with pytest.raises(OSError):
+        writer.write(dying(("a", b"old")))
+    lost = writer.write(iter([batch(("a", b"old"), ("b", b"old"))]))  # its message never arrives
+    kept = [writer.write(iter([batch(("a", b"1"), ("b", b"2"))])), writer.write(iter([batch(("c", b"3"))]))]
+    assert lost.part not in {m.part for m in kept} and not (tmp_path / "out").exists()
+    writer.commit([*kept, None])
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"a": b"1", "b": b"2", "c": b"3"}
+    assert {p.name for p in (tmp_path / "_out.manifest").iterdir()} == {m.part for m in kept}
+    other = sinks._FilesWriter(f"file://{tmp_path}/out")
+    other.abort([other.write(iter([batch(("z", b"9"))]))])
+    assert {p.name for p in tmp_path.iterdir()} == {"out", "_out.manifest"}
+
+
+def test_images_without_a_result_path_are_errors(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fissura.plans import overlay as plan
+
+    weights = tmp_path / "w.txt"
+    weights.write_text("")
+    images = spark.createDataFrame([(i, "p", 2, 2, 3, bytes(12)) for i in range(4)], IMAGES)
+    images = images.withColumn("out_path", F.when(F.col("image_id") > 1, F.concat(F.lit("r"), F.col("image_id").cast("string"))))
+    report = plan.run(images, lambda path: lambda image, conf, imgsz: [], str(weights), str(tmp_path / "o"))
+    found = {r["image_id"]: (r["status"], r["error"]) for r in report.collect()}
+    assert found == {i: ("ok", None) if i > 1 else ("error", "Inference failed: no result path") for i in range(4)}
+    assert sorted(p.name for p in (tmp_path / "o" / "images").iterdir()) == ["r2.png", "r3.png"]

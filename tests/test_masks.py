@@ -167,3 +167,30 @@ def test_thick_outline(spark, thickness):
     for i, m in enumerate(bitmaps):
         expected = brute.thicken(brute.outline(m), thickness, *m.shape) if thickness else set()
         assert brute.pixels(found.get(i, [])) == expected
+
+
+@pytest.mark.parametrize("strip_pixels", [masks.THICK_PIXELS, 200, 40])
+def test_thickening_by_distances_equals_the_disc(spark, strip_pixels):
+    """Every width from 0 to 200, on sparse pixels of images up to many times smaller."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for t in range(1, 201):
+        h, w = (int(v) for v in rng.integers(1, 40, 2))
+        mask = rng.random((h, w)) < rng.choice([0.002, 0.05, 0.4])
+        mask[rng.integers(h), rng.integers(w)] = True
+        want[t] = brute.thicken(brute.set_pixels(mask), t, h, w)
+        for y in range(h):
+            x = np.flatnonzero(mask[y]).tolist()
+            rows += [(t, h, w, t, y, a, a + 1) for a in x]
+    layout = "image_id bigint, height int, width int, outline int, y int, x0 int, x1 int"
+    df = spark.createDataFrame(rows, layout).repartition(5)
+    found = masks.thicken_runs(df, masks.IMAGE_AND_OUTLINE, strip_pixels).collect()
+    by_image = {}
+    for r in found:
+        assert 0 <= r["x0"] < r["x1"] <= r["width"] and r["outline"] == r["image_id"]
+        by_image.setdefault(r["image_id"], []).append(r)
+    for t, pixels in want.items():
+        mine = sorted((r["y"], r["x0"], r["x1"]) for r in by_image[t])
+        assert brute.pixels(by_image[t]) == pixels, t
+        # Maximal and apart.
+        assert all(a[0] < b[0] or a[2] < b[1] for a, b in zip(mine, mine[1:])), t

@@ -356,3 +356,56 @@ def test_one_image_with_most_of_the_instances(spark):
     )
     found = brute.pixels(runs.filter("image_id = 0").collect())
     assert found == brute.set_pixels(union.reshape(6, 40))
+
+
+def test_batches_give_what_single_images_give(spark, tmp_path):
+    """Shapes mixed, one image poisoned, one malformed, one undecodable, and a call that loses a result."""
+    rng = np.random.default_rng(21)
+    shapes = [(4, 6), (5, 5), (4, 6), (9, 3)]
+    rows = [(i, "p", *s, 3, rng.integers(0, 200, (*s, 3), dtype=np.uint8).tobytes()) for i in range(60) for s in [shapes[i % 4]]]
+    poison, short, bad = 17, 30, 41
+    for i, value in ((poison, 250), (short, 251), (bad, 252)):
+        data = bytes([value]) + rows[i][5][1:]
+        rows[i] = (*rows[i][:5], data)
+    rows.append((99, "p", -1, -1, -1, b""))
+    images = spark.createDataFrame(rows, IMAGES).repartition(3)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def one(image, conf, imgsz):
+        first = image[0, 0, 0]
+        if first == 250:
+            raise RuntimeError("poison")
+        if first == 252:
+            return [(0.9, np.ones(3))]
+        return [(0.5 + k / 4, (image[:, :, k] > 100).astype(np.float32)) for k in range(2)]
+
+    def load_one(path):
+        return one
+
+    def load_many(path):
+        import os
+        import uuid
+
+        def model(images, confs, imgsz):
+            (calls / f"{os.getpid()}-{uuid.uuid4().hex}").write_text(str(len(images)))
+            assert len({i.shape for i in images}) == 1 and len(confs) == len(images)
+            found = [one(i, c, imgsz) for i, c in zip(images, confs)]
+            return found[1:] if any(i[0, 0, 0] == 251 for i in images) else found
+
+        return model
+
+    def rows_of(scored):
+        return sorted(str(r) for r in scored.collect() if r["image_id"] != short)
+
+    for kind in ({}, {"threshold": 0.5}):
+        want = scoring.score_images(images, load_one, "a", 0.6, **kind)
+        got = scoring.score_images(images, load_many, "b", 0.6, **kind, batch=8)
+        assert rows_of(got) == rows_of(want)
+    sizes = [int(p.read_text()) for p in calls.iterdir()]
+    assert max(sizes) > 4
+    errors = {r["image_id"]: r["error"] for r in scoring.errors_of(got).collect()}
+    assert set(errors) == {poison, short, bad, 99} and "poison" in errors[poison]
+    assert "another number of results" in errors[short] and "two-dimensional" in errors[bad]
+    plan_text = got._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.split("Initial Plan")[-1].count("Exchange") == 1  # the test's own repartition

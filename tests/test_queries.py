@@ -71,22 +71,47 @@ def test_limits_per_image_do_not_pin_a_hot_image_to_one_task(spark):
     assert above_join.index("partial_bit_or") < above_join.index("REPARTITION_BY_COL")
 
 
-def test_painting_shuffles_pixels_once_and_hints_no_join(spark):
+def test_painting_leaves_pixels_where_they_were_decoded(spark, tmp_path):
     from fissura.plans import fixtures, queries
     from fissura.plans.overlay import overlay
+    from fissura.sources.images import scan_images
 
-    lines = overlay(fixtures.frame_images(spark, SF), fixtures.frame_detections(spark, SF), queries.FRAME).lines
+    images = scan_images(spark, queries._frame_files(spark, SF))
+    lines = overlay(images, fixtures.frame_detections(spark, SF), queries.FRAME).lines
     execution = lines._jdf.queryExecution()
     plan = execution.executedPlan().toString()
+    # Scan, paint, cut into scanlines: no pixel is shuffled, sorted or joined.
     assert "strategy=" not in execution.analyzed().toString()
-    assert plan[: plan.index("substring(data")].count("Exchange") == 1
-    assert plan.count("ArrowEvalPython") == 1
+    assert "Exchange" not in plan and "Join" not in plan and "Sort" not in plan
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan image") == 1
 
 
-def test_strips_are_labelled_once_for_low_images_and_stored_for_tall_ones(spark):
+def test_strips_run_nothing_ahead_of_the_query(spark):
     from fissura.operators import masks, outline
     from fissura.plans import fixtures
 
+    sc = spark.sparkContext
     runs = masks.union_runs(fixtures.speckle_runs(spark, SF), masks.IMAGE)
-    plan = outline.filled_runs(runs, strip_pixels=448)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "strips-" in plan
+    sc.setJobGroup("strips", "")
+    try:
+        for pixels in (448, outline.STRIP_PIXELS):
+            plan = outline.filled_runs(runs, strip_pixels=pixels)._jdf.queryExecution().executedPlan().toString()
+            # Low images once, tall ones once for their border gaps and once for their runs.
+            assert plan.count("MapInArrow") == 3
+        assert not list(sc.statusTracker().getJobIdsForGroup("strips"))
+    finally:
+        sc.setJobGroup(None, None)
+
+
+def test_thickening_does_not_grow_with_the_width(spark):
+    """As many rows reach the strips for a width of 200 as for 2."""
+    from fissura.operators import masks
+
+    layout = "image_id bigint, height int, width int, outline int, y int, x0 int, x1 int"
+    rows = [(i, 3000, 3000, 200 if i % 2 else 2, 700 + 2 * k, 100 + k, 140 + k) for i in range(4) for k in range(50)]
+    thick = masks.thicken_runs(spark.createDataFrame(rows, layout), masks.IMAGE_AND_OUTLINE)
+    plan = thick._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "dy" not in plan
+    strips = [l for l in thick._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in l]
+    assert len(strips) == 1
+    assert thick.filter("outline = 200").count() > 2 * 298 and thick.filter("outline = 2").count() == 2 * 101

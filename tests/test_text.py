@@ -110,3 +110,13 @@ def test_colour(spark):
         assert (tuple(r["v"]) if r["v"] else None) == python_colour(r["c"]), r
     with pytest.raises(Exception, match="color must be"):
         df.select(params.parse_colour(F.col("c"), "strict")).collect()
+
+
+def test_strict_colours_fail_alone(spark):
+    df = spark.createDataFrame([(c, None if i % 2 else "earlier") for i, c in enumerate([*COLOURS, None])], "colour_raw string, error string")
+    for r in params.normalise_colour(df, "strict").collect():
+        want = (0, 0, 255) if r["colour_raw"] is None else python_colour(r["colour_raw"])
+        assert (tuple(r["colour"]) if r["colour"] else None) == want
+        assert r["error"] in ("earlier", None if want else params.COLOUR_MESSAGE)
+    lenient = params.normalise_colour(df.drop("error")).collect()
+    assert all("error" not in r.asDict() for r in lenient)
