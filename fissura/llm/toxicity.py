@@ -4,9 +4,11 @@ A word enters as the sum of an embedding of its own and of the embeddings of
 its character n-grams, so words that were never seen are judged by their parts.
 Runs of letters longer than a word, as in scripts without spaces, enter as
 overlapping parts, so every n-gram of a text is read.
-Two recurrent passes read a window of words, attention pools their states, and
-one unit scores the window. All windows of a text count; neighbours overlap by
-half. The text's score is that of its worst window.
+Two recurrent passes read a segment of words, attention pools the states of a
+window in it, and one unit scores the window. All windows of a text count, one
+beginning at every word; segments overlap so that each window lies whole in its own. A
+segment is read once for all its windows: their sums over states are sliding
+sums. The text's score is that of its worst window.
 
 The network is trained in numpy on a bounded sample of labelled documents. Only
 documents have labels, so after some epochs on drawn windows it is trained on
@@ -27,7 +29,9 @@ from fissura.llm.sampling import held_out, labelled_sample
 from fissura.llm.shared import map_blocks, texts_of
 
 WORD = re.compile(r"[^\W_]+")
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 1
+SEGMENT = 64  # words that are read in one go
+BEGIN = SEGMENT - WINDOW + 1  # windows that begin in a segment
 WORDS, GRAMS = 1 << 14, 1 << 14  # rows of the embedding tables
 WIDTH, HIDDEN = 12, 10
 CUT = 48  # letters of the longest word; longer runs enter in parts
@@ -65,22 +69,43 @@ def word_rows(word: str) -> list[int]:
 
 
 def windows(n: int) -> list[tuple[int, int]]:
-    """All windows of n words: WINDOW long, STRIDE apart, the last up to the end."""
+    """All windows of n words: WINDOW long, or the whole of a shorter text."""
     if n <= WINDOW:
         return [(0, n)] if n else []
-    return [(a, min(a + WINDOW, n)) for a in range(0, n - WINDOW + STRIDE, STRIDE)]
+    return [(a, a + WINDOW) for a in range(n - WINDOW + 1)]
 
 
-def window_index(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops among all words, and the text, of every window of every text."""
-    starts, stops, owner, at = [], [], [], 0
-    for k, n in enumerate(counts):
-        for a, b in windows(n):
-            starts.append(at + a)
-            stops.append(at + b)
-            owner.append(k)
-        at += n
-    return np.array(starts, np.int64), np.array(stops, np.int64), np.array(owner, np.int64)
+def counted(counts: list[int] | np.ndarray) -> np.ndarray:
+    """Windows of texts of so many words."""
+    counts = np.asarray(counts, np.int64)
+    return np.where(counts > 0, np.maximum(counts - WINDOW + 1, 1), 0)
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which text, and which of its parts, for so many parts of each text."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def segment_index(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops among all words, the text, and the windows that begin in it, of every segment."""
+    counts = np.asarray(counts, np.int64)
+    n = counted(counts)
+    owner, k = spread(-(-n // BEGIN))
+    first = (np.cumsum(counts) - counts)[owner]
+    starts = first + k * BEGIN
+    stops = np.minimum(starts + SEGMENT, first + counts[owner])
+    return starts, stops, owner, np.minimum(n[owner] - k * BEGIN, BEGIN)
+
+
+def window_index(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops among all words, the text, and the start of the segment, of every window."""
+    counts = np.asarray(counts, np.int64)
+    owner, w = spread(counted(counts))
+    first = (np.cumsum(counts) - counts)[owner]
+    starts = first + w
+    stops = np.minimum(starts + WINDOW, first + counts[owner])
+    return starts, stops, owner, first + w // BEGIN * BEGIN
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -142,22 +167,23 @@ class Network:
         return context @ p["v"] + p["c"][0], (e, weight, context)
 
     def logits(self, table: np.ndarray, places: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Scores of windows; table: gates of each word, places (time, windows)."""
+        """Scores of windows; table: gates of each word, places (time, windows), mask: of segments and of windows."""
         x = table[places]
-        half = 3 * HIDDEN
-        states = [self.run(x[:, :, :half], mask, "f"), self.run(x[:, :, half:], mask, "b")]
-        return self.pool(np.concatenate(states, axis=2), mask)[0]
+        half, (inside, pooled) = 3 * HIDDEN, mask
+        states = [self.run(x[:, :, :half], inside, "f"), self.run(x[:, :, half:], inside, "b")]
+        return self.pool(np.concatenate(states, axis=2), pooled)[0]
 
     def gradients(self, rows, bounds, places, mask, target, weight):
         """Loss and gradients of a batch of windows."""
         p, half = self.p, 3 * HIDDEN
+        mask, pooled = mask
         vectors = self.embed(rows, bounds)
         x = self.gates(vectors)[places]
         kept = {d: [] for d in "fb"}
         states = np.concatenate(
             [self.run(x[:, :, :half], mask, "f", kept["f"]), self.run(x[:, :, half:], mask, "b", kept["b"])], axis=2
         )
-        logit, (e, share, context) = self.pool(states, mask)
+        logit, (e, share, context) = self.pool(states, pooled)
         y = sigmoid(logit)
         loss = -float((weight * (target * np.log(y + 1e-7) + (1 - target) * np.log(1 - y + 1e-7))).mean())
         d_logit = (weight * (y - target) / len(y)).astype(np.float32)
@@ -258,6 +284,7 @@ class Reader:
         return out
 
     def logits(self, tables: list[np.ndarray], places: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Of the window that begins at each of the first BEGIN words of every segment."""
         e, worth = 0.0, 0.0
         with np.errstate(over="ignore"):  # of the exponential: the quotient is 0 then
             for d, (attend, value) in enumerate(self.split):
@@ -266,9 +293,35 @@ class Reader:
                 worth = worth + states @ value
             e = 1 - 2 / (1 + np.exp(2 * e))
         s, worth = (e @ self.p["a"]).reshape(mask.shape), worth.reshape(mask.shape)
-        s = np.where(mask > 0, s, -1e9)
-        share = np.exp(s - s.max(axis=0))
-        return (share * worth).sum(axis=0) / share.sum(axis=0) + self.p["c"][0]
+        s = np.where(mask > 0, s.astype(np.float64), -np.inf)
+        share = np.zeros((SEGMENT, mask.shape[1]))
+        share[: len(s)] = np.exp(s - s.max(axis=0))
+        value = share.copy()
+        value[: len(s)] *= worth
+        with np.errstate(invalid="ignore"):  # windows that do not exist
+            return slid(value) / slid(share) + self.p["c"][0]
+
+    def best(self, tables: list[np.ndarray], places: np.ndarray, index, every: bool = False) -> np.ndarray:
+        """The highest logit of each segment, or all that there are, segment by segment."""
+        starts, stops, _, n = index
+        lengths = stops - starts
+        out = np.full((len(starts), BEGIN), -np.inf)
+        order = np.argsort(-lengths, kind="stable")  # like lengths together: shorter ones take fewer steps
+        for a in range(0, len(order), 1024):
+            some = order[a : a + 1024]
+            filled = fill(places, starts[some], stops[some], int(lengths[some[0]]))
+            out[some] = self.logits(tables, *filled).T
+        there = np.arange(BEGIN) < n[:, None]
+        return out[there] if every else np.where(there, out, -np.inf).max(axis=1, initial=-np.inf)
+
+
+def slid(x: np.ndarray) -> np.ndarray:
+    """Sums over WINDOW rows from each of the first BEGIN rows on, by doubling; nothing is taken off again."""
+    far = 1
+    while far < WINDOW:
+        x = x[: len(x) - far] + x[far:]
+        far *= 2
+    return x[:BEGIN]
 
 
 class Trainer:
@@ -306,15 +359,20 @@ class Corpus:
             self.counts.append(len(found))
             places += [self.words.setdefault(w, len(self.words)) for w in found]
         self.places = np.array(places, np.int64)
-        self.starts, self.stops, self.owner = window_index(self.counts)
+        self.starts, self.stops, self.owner, self.segment = window_index(self.counts)
+        self.ends = np.cumsum(self.counts)[self.owner] if len(self.owner) else self.owner
         parts = [np.array(word_rows(w), np.int32) for w in self.words]
         self.sizes = np.array([len(r) for r in parts])
         self.rows = np.concatenate(parts)
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def batch(self, chosen: np.ndarray):
-        """Rows, bounds, places and mask of the chosen windows."""
-        places, mask = fill(self.places, self.starts[chosen], self.stops[chosen])
+        """Rows, bounds and places of the chosen windows' segments, the mask of these and of the windows."""
+        begin = self.segment[chosen]
+        places, inside = fill(self.places, begin, np.minimum(begin + SEGMENT, self.ends[chosen]))
+        at = begin + np.arange(SEGMENT)[:, None]
+        pooled = ((at >= self.starts[chosen]) & (at < self.stops[chosen])).astype(np.float32)
+        mask = np.stack([inside, pooled])
         used, inverse = np.unique(places, return_inverse=True)
         sizes = self.sizes[used]
         bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -323,22 +381,21 @@ class Corpus:
 
     def scores(self, network: Network) -> np.ndarray:
         """Of every window."""
-        reader, out = Reader(network), np.zeros(len(self.starts), np.float32)
+        reader = Reader(network)
         bounds = np.append(self.first, len(self.rows))
         vectors = [
             network.embed(self.rows[b[0] : b[-1]], b - b[0])
             for b in (bounds[a : a + CHUNK + 1] for a in range(0, len(self.first), CHUNK))
         ]
         tables = reader.gates(np.concatenate(vectors))
-        for a in range(0, len(out), 2048):
-            b = slice(a, a + 2048)
-            out[b] = reader.logits(tables, *fill(self.places, self.starts[b], self.stops[b]))
-        return out
+        return reader.best(tables, self.places, segment_index(self.counts), every=True)
 
 
-def fill(places: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words (time, windows) and 1.0 where there is one; PAD where there is none."""
-    at = starts + np.arange(WINDOW)[:, None]
+def fill(
+    places: np.ndarray, starts: np.ndarray, stops: np.ndarray, steps: int = SEGMENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """Words (time, segments) and 1.0 where there is one; PAD where there is none."""
+    at = starts + np.arange(steps)[:, None]
     inside = at < stops
     return np.where(inside, places[np.minimum(at, len(places) - 1)], PAD), inside.astype(np.float32)
 
@@ -429,13 +486,9 @@ class Scorer:
             self.tables = [np.concatenate(pair) for pair in zip(self.tables, more)]
         counts = list(map(len, split))
         places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        starts, stops, owner = window_index(counts)
-        logits = np.zeros(len(starts))
-        for a in range(0, len(starts), 2048):
-            b = slice(a, a + 2048)
-            logits[b] = self.reader.logits(self.tables, *fill(places, starts[b], stops[b]))
+        index = segment_index(counts)
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, owner, logits)
+        np.maximum.at(out, index[2], self.reader.best(self.tables, places, index))
         return np.where(np.isinf(out), 0.0, sigmoid(out - self.threshold)).tolist()
 
 

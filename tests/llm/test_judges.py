@@ -119,6 +119,27 @@ def test_windows_overlap_and_cover(n):
     assert all(c - a == toxicity.STRIDE for (a, _), (c, _) in itertools.pairwise(found))
 
 
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 64, 65, 66, 97, 98, 300])
+def test_score_is_that_of_the_worst_of_all_windows(n):
+    """Every window by itself: its segment read alone, its states pooled alone, without Reader, sums or batches."""
+    rng = np.random.default_rng(n)
+    words = rng.choice(["aa", "bad", "good", "xyz", "worse", "fine"], n).tolist()
+    net = toxicity.Network(seed=3)
+    net.p["a"] = net.p["a"] * 8  # attention that tells words apart
+    best = -np.inf
+    for w, (begin, end) in enumerate(toxicity.windows(n)):
+        low = w // toxicity.BEGIN * toxicity.BEGIN
+        some = words[low : low + toxicity.SEGMENT]
+        assert low <= begin and end <= low + len(some)
+        vectors = [net.embed(np.array(r), np.array([0, len(r)]))[0] for r in map(toxicity.word_rows, some)]
+        table, places = net.gates(np.array(vectors)), np.arange(len(some))[:, None]
+        inside = np.ones((len(some), 1), np.float32)
+        pooled = np.array([[float(begin <= low + i < end)] for i in range(len(some))], np.float32)
+        best = max(best, float(net.logits(table, places, np.stack([inside, pooled]))[0]))
+    got = toxicity.Scorer(net, 0.25).scores(["x", " ".join(words), ""])
+    assert abs(got[1] - toxicity.sigmoid(np.array(best - 0.25))) < 1e-5 and got[2] == 0.0
+
+
 @pytest.mark.parametrize("n", [1, 47, 48, 49, 72, 73, 500])
 def test_long_words_enter_whole(n):
     word = "".join(np.random.default_rng(n).choice(list("abcdefghé日"), n))
