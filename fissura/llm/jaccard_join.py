@@ -203,6 +203,33 @@ def _bitmap(ids: DataFrame) -> tuple[int, dict[int, bytes]]:
     return bits, {r["part"]: bytes(r["bits"]) for r in rows.collect()}
 
 
+def may_be_among(ids: DataFrame, key: Column) -> Column:
+    """False only where ``key``, a long, is surely none of ``ids (id long)``.
+
+    A bit set of bounded size, so that rows which are in no small table need not
+    be shuffled to find that out; what passes is to be joined exactly.
+    """
+    bits, parts = _bitmap(ids)
+    shared = ids.sparkSession.sparkContext.broadcast(parts)
+
+    @F.arrow_udf("boolean")
+    def among(place: pa.Array) -> pa.Array:
+        return pa.array(_set_bits(shared.value, place.to_numpy(zero_copy_only=False)))
+
+    return among(F.pmod(F.xxhash64(key), F.lit(bits)))
+
+
+def _set_bits(parts: dict[int, bytes], at: np.ndarray) -> np.ndarray:
+    """Which of the places are set."""
+    found, part_of = np.zeros(len(at), bool), at // 32768 + 1
+    for part in np.unique(part_of).tolist():
+        if part in parts:
+            mine = np.flatnonzero(part_of == part)
+            bit = np.unpackbits(np.frombuffer(parts[part], np.uint8), bitorder="little")
+            found[mine] = bit[at[mine] % 32768] > 0
+    return found
+
+
 def _whole_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id, items`` of the documents in ``ids``, made again from their texts."""
     bits, parts = _bitmap(ids)
@@ -214,13 +241,7 @@ def _whole_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = np.zeros(len(at), bool)
-            for part in np.unique(at // 32768 + 1).tolist():
-                if part in have:
-                    mine = np.flatnonzero(at // 32768 + 1 == part)
-                    bit = np.unpackbits(np.frombuffer(have[part], np.uint8), bitorder="little")
-                    keep[mine] = bit[at[mine] % 32768] > 0
+            keep = _set_bits(have, batch.column(2).to_numpy())
             batch = batch.filter(pa.array(keep))
             column = batch.column(1)
             for begin, end in blocks(column, SET_CHARS):
