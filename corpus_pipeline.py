@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fissura.llm.jaccard_join import near_copies, text_key
+from fissura.llm.jaccard_join import may_be_among, near_copies, text_key
 from fissura.llm.language import identify
 from fissura.llm.packing import pack_documents
 from fissura.llm.secrets import find_secrets
@@ -45,13 +45,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     gone, again = near_copies(docs, width=5, num=80, den=100)
     gone, again = stored(gone, "gone"), stored(again, "again")
+    keys = ["doc_id", "text_key"]
+    # Texts that are in neither table, nearly all, are told by a bit set and not shuffled.
+    row_key = F.xxhash64(*keys)
+    concerned = may_be_among(gone.union(again).select(row_key.alias("id")), row_key)
     # No name can clash with the documents' own columns.
     rows = docs.select(F.struct("*").alias("row"), "doc_id", text_key(F.col("text")).alias("text_key"))
-    keys = ["doc_id", "text_key"]
-    kept = rows.join(gone, keys, "left_anti")
+    rows = rows.withColumn("concerned", F.coalesce(concerned, F.lit(False)))
+    kept = rows.filter("concerned").join(gone, keys, "left_anti")
+    once = rows.filter("not concerned").select("row")
     if again.isEmpty():
-        return kept.select("row.*")
-    once = kept.join(again, keys, "left_anti").select("row")
+        return once.union(kept.select("row")).select("row.*")
+    once = once.union(kept.join(again, keys, "left_anti").select("row"))
     twice = kept.join(again, keys, "left_semi").groupBy(keys)
     return once.union(twice.agg(F.min_by("row", F.to_json("row")).alias("row")).drop(*keys)).select("row.*")
 
