@@ -40,6 +40,7 @@ CHUNK = 4096  # words whose rows are held at a time
 PER_LABEL = 1500  # documents
 DRAWN = 10  # windows of a document in the first epochs
 EPOCHS, WORST_EPOCHS = 3, 4
+STEPS, WORST_STEPS = 60, 24  # batches that the epochs of either kind come to at least, however few documents there are
 BATCH = 256
 MEMO = 120_000
 PAD = 0  # the place of the word that fills windows up
@@ -427,14 +428,18 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[Network,
             doc = corpus.owner[part]
             trainer.apply(network.gradients(*corpus.batch(part), target[doc], weight[doc])[1])
 
-    for _ in range(EPOCHS):
+    done = 0
+    while done < EPOCHS or trainer.step < STEPS:
+        done += 1
         mixed = rng.permutation(len(corpus.starts))
         order = mixed[np.argsort(corpus.owner[mixed], kind="stable")]
         owner = corpus.owner[order]
         within = np.arange(len(order)) - np.searchsorted(owner, owner)
         epoch(order[within < DRAWN])
     trainer.rate /= 2
-    for _ in range(WORST_EPOCHS):
+    done, before = 0, trainer.step
+    while done < WORST_EPOCHS or trainer.step - before < WORST_STEPS:
+        done += 1
         epoch(worst(corpus.scores(network), corpus.owner, len(texts)))
     scores = corpus.scores(network)
     top = worst(scores, corpus.owner, len(texts))
