@@ -40,7 +40,7 @@ CHUNK = 4096  # words whose rows are held at a time
 PER_LABEL = 1500  # documents
 DRAWN = 10  # windows of a document in the first epochs
 EPOCHS, WORST_EPOCHS = 3, 4
-STEPS, WORST_STEPS = 60, 24  # batches that the epochs of either kind come to at least, however few documents there are
+STEPS, WORST_STEPS = 24, 8  # batches that the epochs of either kind come to at least, however few documents there are
 BATCH = 256
 MEMO = 120_000
 PAD = 0  # the place of the word that fills windows up
