@@ -6,7 +6,12 @@ Whether a run is an anchor depends on its own words only, so an edit moves no
 anchor that it does not touch. The fingerprint lists the anchors in order, each
 with 32 bits of its hash and its place, the number of words before it. Two
 fingerprints are compared twice, with and without the places: an anchor that
-only moved counts half.
+only moved counts half. Places are compared after the fingerprints are laid
+over each other, by the difference of places that most anchors share, so words put
+in front of a text move nothing.
+
+Nine words have few anchors or none. Up to ``SHORT`` words a fingerprint also
+lists every word in the same way, and two such are compared by words.
 """
 
 from __future__ import annotations
@@ -16,6 +21,10 @@ from pyspark.sql import functions as F
 
 SPAN = 8  # two-word runs in an anchor
 K = SPAN + 1  # its words
+# Words up to which a text is compared by words. One without an anchor has fewer
+# than 2 * SPAN, so in words it is less than half like any text beyond this.
+SHORT = 6 * SPAN
+PLACE = (1 << 31) - 1  # bits of a place
 BUCKET_ROWS = 2000
 MOST_BUCKETS = 4096
 GROUP = 64  # bucket limits are looked up in two steps of this size
@@ -32,8 +41,8 @@ def _pairs(a: str, d: int, combine) -> Column:
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out array<bigint>``: of each anchor of ``text``, hash * 2**32 + place.
 
-    In a text too short to have one, every word is an anchor; one without words
-    has none. Columns that begin with ``_`` are used on the way.
+    ``{out}_words`` gives the words in the same form, null above ``SHORT`` of them.
+    Columns that begin with ``_`` are used on the way.
     Each array is a column that later ones use more than once, so it is made
     once and no lambda makes it again.
     """
@@ -56,14 +65,16 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     edge = F.zip_with(at_left, at_right, lambda x, y: x | y)
     marked = F.zip_with(edge, whole, lambda e, x: F.when(e, x))
     place = lambda x, i: F.shiftleft(x, 32).bitwiseOR(i.cast("bigint"))
-    df = df.withColumn("_a", F.array_compact(F.transform(marked, place)))
-    words = F.transform(F.col("_h"), place)
-    return df.withColumn(out, F.when(F.size("_a") > 0, F.col("_a")).otherwise(words)).select(*kept, out)
+    df = df.withColumn(out, F.array_compact(F.transform(marked, place)))
+    words = F.when(F.size("_h") <= SHORT, F.transform(F.col("_h"), place))
+    return df.withColumn(f"{out}_words", words).select(*kept, out, f"{out}_words")
 
 
-def written(anchors: str) -> Column:
-    """16 hexadecimal digits an anchor."""
-    return F.array_join(F.transform(anchors, lambda a: F.lower(F.lpad(F.hex(a), 16, "0"))), "")
+def written(own: str) -> Column:
+    """16 hexadecimal digits an anchor; of short texts also a slash and 16 digits a word."""
+    digits = lambda c: F.array_join(F.transform(c, lambda a: F.lower(F.lpad(F.hex(a), 16, "0"))), "")
+    words = F.when(F.size(f"{own}_words") > 0, F.concat(F.lit("/"), digits(f"{own}_words")))
+    return F.concat(digits(own), F.coalesce(words, F.lit("")))
 
 
 def _dice(a: Column, b: Column) -> Column:
@@ -71,10 +82,57 @@ def _dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
-def likeness(a: str, b: str) -> Column:
-    """0 to 1 of two anchor arrays; 1 for equal ones."""
+def commonest_shift(a: str, b: str) -> Column:
+    """The difference of places, b's less a's, that most hashes of both have at their first place.
+
+    Of equally common ones the smallest, first in size; 0 where no hash is in both.
+    Both arrays are sorted as one, with a's places turned round: where a hash of a
+    meets the same of b, the first places of either stand side by side.
+    """
+    turned = F.transform(a, lambda x: x.bitwiseXOR(F.lit(PLACE)))
+    after = F.transform(b, lambda x: x.bitwiseOR(F.lit(PLACE + 1)))
+    place = lambda x: x.bitwiseAND(F.lit(PLACE))
+    of_b = lambda x: x.bitwiseAND(F.lit(PLACE + 1)) != 0
+    meet = lambda x, y: (F.shiftright(x, 32) == F.shiftright(y, 32)) & ~of_b(x) & of_b(y)
+    step = lambda x, y: F.when(meet(x, y), place(y) - (F.lit(PLACE) - place(x)))
+
+    def count(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        closer = (run == acc["most"]) & (F.abs(x) < F.abs(acc["shift"]))
+        better = (run > acc["most"]) | closer
+        return F.struct(
+            x.alias("last"), run.alias("run"),
+            F.when(better, x).otherwise(acc["shift"]).alias("shift"),
+            F.when(better, run).otherwise(acc["most"]).alias("most"),
+        )
+
+    start = F.struct(
+        F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("run"),
+        F.lit(0).cast("bigint").alias("shift"), F.lit(0).alias("most"),
+    )
+    # The arrays are bound once, so that slices of the sorted one don't sort again.
+    sorted_once = F.transform(F.array(F.sort_array(F.concat(turned, after))), lambda s: F.sort_array(
+        F.array_compact(F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.size(s)), step))
+    ))
+    return F.aggregate(F.get(sorted_once, F.lit(0)), start, count, lambda acc: acc["shift"])
+
+
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with ``out``, 0 to 1, of the fingerprints ``a`` and ``b``; 1 for equal ones.
+
+    Two texts of up to ``SHORT`` words are compared by words, others by anchors.
+    """
+    kept = df.columns
+    by_words = F.col(f"{a}_words").isNotNull() & F.col(f"{b}_words").isNotNull()
+    df = df.select("*", *(
+        F.when(by_words, F.col(f"{c}_words")).otherwise(F.col(c)).alias(name) for c, name in ((a, "_p"), (b, "_q"))
+    ))
+    df = df.withColumn("_d", commonest_shift("_p", "_q"))
+    # The shift is named twice, so it stays a column and is not made for each anchor.
+    moved = F.when(F.col("_d") == 0, F.col("_q")).otherwise(F.transform("_q", lambda x: x - F.col("_d")))
     hashes = lambda c: F.array_distinct(F.transform(c, lambda x: F.shiftright(x, 32)))
-    return (_dice(F.col(a), F.col(b)) + _dice(hashes(a), hashes(b))) / 2
+    like = (_dice(F.col("_p"), moved) + _dice(hashes("_p"), hashes("_q"))) / 2
+    return df.withColumn(out, like).select(*kept, out)
 
 
 def _bucket(doc_id: Column, limits: list[int]) -> Column:
@@ -123,16 +181,20 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     order = Window.partitionBy("_bucket").orderBy("_copy", F.col("doc_id").desc_nulls_last(), "text")
     rows = with_next(texts).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.col("text")))
     rows = with_anchors(rows, "text", "own")
-    rows = rows.withColumn("next", F.coalesce(F.lead("own").over(order), F.col("own"))).filter("_copy = 0")
+    following = (F.coalesce(F.lead("_own").over(order), F.col("_own"))).alias("_next")
+    rows = rows.withColumn("_own", F.struct("own", "own_words")).select("*", following).filter("_copy = 0")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)
     )
-    rows = rows.select("doc_id", "n_chars", "own", "next", edited.alias("edited"))
+    rows = rows.select(
+        "doc_id", "n_chars", "own", "own_words", edited.alias("edited"),
+        F.col("_next.own").alias("next"), F.col("_next.own_words").alias("next_words"),
+    )
     rows = with_anchors(rows, "edited", "new")
+    rows = with_likeness(with_likeness(rows, "own", "new", "near_edited"), "own", "next", "near_next")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        written("own").alias("fingerprint"), written("new").alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"),
+        written("own").alias("fingerprint"), written("new").alias("edited_fingerprint"), "near_edited", "near_next",
     )

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from fissura.llm import cover_tree, jaccard_join
 from fissura.llm.graph import components
 from fissura.llm.shingles import shingle_sets
-from fissura.llm.syncmers import fingerprint_documents
+from fissura.llm.syncmers import SHORT, fingerprint_documents
 from tests.llm.conftest import TEXTS, documents_of
 
 
@@ -231,3 +232,48 @@ def test_near_duplicates_lose_no_other_text(spark):
         )
         assert {t for d, t in kept if d == 7} == {t for d, t in rows if d == 7 and "z0" in t}
         assert (5, rows[2][1]) in kept and (5, rows[1][1]) not in kept
+
+
+def plain_likeness(a, b):
+    """The definition over lists of (hash, place)."""
+    first = lambda rows: {h: min(p for g, p in rows if g == h) for h, _ in rows}
+    at_a, at_b = first(a), first(b)
+    shifts = Counter(at_b[h] - at_a[h] for h in at_a.keys() & at_b.keys())
+    shift = min(shifts, key=lambda d: (-shifts[d], abs(d), d)) if shifts else 0
+    dice = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+    placed_a, placed_b = set(a), {(h, p - shift) for h, p in b}
+    return (dice(placed_a, placed_b) + dice(set(at_a), set(at_b))) / 2
+
+
+def fingerprint_parts(text):
+    anchors, _, words = text.partition("/")
+    cut = lambda s: [(s[i : i + 8], int(s[i + 8 : i + 16], 16)) for i in range(0, len(s), 16)]
+    return cut(anchors), cut(words)
+
+
+def test_fingerprints_are_laid_over_each_other(spark):
+    """Words in front of a text move no anchor; short texts are compared by words."""
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(400)}" for _ in range(300)]
+    short = [f"s{i}" for i in range(14)]
+    again = [f"r{i}" for i in range(40)] * 6
+    chain = [
+        long, ["put", "in", "front", *long], long[150:] + long[:150], [*long[:100], "within", *long[100:]],
+        short, ["new", *short], short[:7] + ["x"] + short[7:], short[:4], again, ["x", *again[40:]],
+        [f"b{i}" for i in range(48)], [f"b{i}" for i in range(49)], [f"b{i}" for i in range(8)], [],
+    ]
+    n = len(chain)
+    rows = [(n - k, " ".join(words)) for k, words in enumerate(chain)]
+    got = {r["doc_id"]: r for r in fingerprint_documents(documents_of(spark, rows)).collect()}
+    for k in range(n):
+        one, two = got[n - k], got[n - (k + 1) % n]
+        a, b = fingerprint_parts(one["fingerprint"]), fingerprint_parts(two["fingerprint"])
+        both_short = len(chain[k]) <= SHORT and len(chain[(k + 1) % n]) <= SHORT
+        assert one["near_next"] == pytest.approx(plain_likeness(a[both_short], b[both_short])), k
+        new = fingerprint_parts(one["edited_fingerprint"])
+        by_words = bool(a[1] or not a[0]) and bool(new[1] or not new[0])
+        assert one["near_edited"] == pytest.approx(plain_likeness(a[by_words], new[by_words])), k
+    near = [got[n - k]["near_next"] for k in range(n)]
+    assert near[0] > 0.95  # three words in front
+    assert 0.45 < near[1] < 0.9  # halves exchanged
+    assert near[4] > 0.9 and near[5] > 0.6  # of fourteen words, none or half of which moved
