@@ -379,6 +379,20 @@ counted AS (
         select="""SELECT 'frame_' || image_id || '.bmp' AS file,
   (max(blue::INTEGER) + max(green::INTEGER))::BIGINT AS num_instances,
   count(*) FILTER (blue OR green)::BIGINT AS mask_area FROM hit GROUP BY image_id""",
+    ),
+    "stream_results": _query(
+        FRAMES, GRID,
+        """hit AS (
+  SELECT image_id, height, width, (image_id * 31 + y * 7 + x * 3) % 256 > 127 AS blue,
+         (image_id * 31 + y * 7 + x * 3 + 11) % 256 > 200 AS green FROM grid),
+counted AS (
+  SELECT image_id, height, width, image_id * 31 % 256 % 10 = 7 AS bad,
+         (max(blue::INTEGER) + max(green::INTEGER))::BIGINT AS n FROM hit GROUP BY ALL)""",
+        select="""SELECT 'frame_' || image_id || '.bmp' AS file, CASE WHEN NOT bad THEN n END AS num_instances,
+  CASE WHEN bad THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN bad THEN 'Inference failed: forced failure' WHEN n = 0 THEN 'No cracks detected'
+       WHEN n = 1 THEN 'Found 1 crack instance' ELSE 'Found ' || n || ' crack instances' END AS message,
+  CASE WHEN NOT bad THEN height END AS height, CASE WHEN NOT bad THEN width END AS width FROM counted""",
     ),
     "scored_words": _query(
         _PLANES,

@@ -13,6 +13,7 @@ from fissura.sources.images import scan_images
 from fissura.sources.sinks import write_files, write_image_files, write_scanlines
 from fissura.storage import durable, new_dir
 from fissura.streaming.ingest import image_stream, ingest
+from fissura.streaming.job import published, run_stream
 
 SITE = OverlayParams(conf=0.35, threshold=0.1)
 FRAME = OverlayParams(conf=0.2, threshold=0.1)
@@ -370,6 +371,40 @@ def _bright_model(weights: str):
     return model
 
 
+def _refusing_bright_model(weights: str):
+    """As ``_bright_model``; refuses some images."""
+    bright = _bright_model(weights)
+
+    def model(image, conf, imgsz):
+        if image[0, 0, 0] % 10 == 7:
+            raise ValueError("forced failure")
+        return bright(image, conf, imgsz)
+
+    return model
+
+
+def stream_results(spark, sf_dir):
+    """The whole job as files arrive, in three batches: reports, and the sizes of the files they name."""
+    sink, checkpoint = new_dir(spark, "published"), new_dir(spark, "published-state")
+    weights = new_dir(spark, "model")
+    content = F.encode(F.lit("bright"), "utf-8").alias("content")
+    write_files(spark.range(1).select(F.lit("model.txt").alias("name"), content), weights)
+    directory = _frame_files(spark, sf_dir)
+    n = spark.read.format("binaryFile").load(directory).select("path").count()
+    model = f"{weights}/model.txt"
+    params = OverlayParams(conf=0.5, outline=1)
+    run_stream(
+        spark, directory, _refusing_bright_model, model, sink, checkpoint, params, files_per_batch=-(-n // 3)
+    )
+    rows = published(spark, sink).select(
+        _file_name("path"), "num_instances", "status", "message", F.substring_index("out_path", "/", -1).alias("name")
+    )
+    files = scan_images(spark, f"{sink}/stream=*/batch_id=*/images").select(
+        F.substring_index("path", "/", -1).alias("name"), "height", "width"
+    )
+    return rows.join(files, "name", "left").drop("name")
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -407,5 +442,6 @@ ALL = {
         stream_ingest,
         result_files,
         stream_detect,
+        stream_results,
     )
 }

@@ -95,3 +95,12 @@ IMAGE_SOURCE = T.StructType(
         )
     ]
 )
+
+BINARY_SOURCE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)

@@ -1,9 +1,23 @@
 """Image files to rows."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fissura.functions import names
+from fissura.storage import literal
+
+
+def identity() -> dict[str, Column]:
+    """What is known of a file before it is opened."""
+    meta = "_metadata."
+    path, length = F.col(meta + "file_path"), F.col(meta + "file_size")
+    modified = F.unix_micros(meta + "file_modification_time")
+    return {
+        "image_id": F.xxhash64(path, modified, length).alias("image_id"),
+        "path": path.alias("path"),
+        "upload_key": names.identity_key(path, modified, length).alias("upload_key"),
+        "length": length.alias("length"),
+    }
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -13,14 +27,12 @@ def normalise(raw: DataFrame) -> DataFrame:
     path, time and size, the same in every attempt of a task; it is 64 bits, so
     check very large scans with ``output_collisions(images, "image_id")``.
     """
-    meta = "_metadata."
-    path, length = F.col(meta + "file_path"), F.col(meta + "file_size")
-    modified = F.unix_micros(meta + "file_modification_time")
+    known = identity()
     return raw.select(
-        F.xxhash64(path, modified, length).alias("image_id"),
-        path.alias("path"),
-        names.identity_key(path, modified, length).alias("upload_key"),
-        length.alias("length"),
+        known["image_id"],
+        known["path"],
+        known["upload_key"],
+        known["length"],
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("n_channels"),
@@ -47,6 +59,12 @@ def scan_images(spark: SparkSession, path: str, max_bytes: int | None = None) ->
     return normalise(raw)
 
 
+def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Decode the files at ``paths``, whose names are not patterns."""
+    raw = spark.read.format("image").option("dropInvalid", "false").load([literal(p) for p in paths])
+    return normalise(raw)
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, filename, length`` of every file, contents unread, for upload checks."""
     return (

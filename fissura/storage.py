@@ -1,5 +1,6 @@
 """Shared storage for results that must outlive the executors that made them."""
 
+import re
 import tempfile
 import uuid
 
@@ -55,3 +56,20 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that ``durable`` has written to ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, or any that a pattern fits."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return bool(found)
+
+
+def literal(path: str) -> str:
+    """``path`` as a pattern that fits nothing else."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
