@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.resource import ResourceProfile
 from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +92,9 @@ def model_of(load: Callable, weights: Shipped | str, token: str):
     return _MODELS[token]
 
 
-def _as_bgr(data: bytes, height: int, width: int, n_channels: int) -> np.ndarray:
+def _as_bgr(data: bytes, height: int, width: int, n_channels: int, error: str | None = None) -> np.ndarray:
     if height <= 0 or width <= 0:
-        raise ValueError("image could not be decoded")
+        raise ValueError(error or "image could not be decoded")
     image = np.frombuffer(data, np.uint8).reshape(height, width, n_channels)
     return np.repeat(image, 3, axis=2) if n_channels == 1 else image[:, :, :3]
 
@@ -139,6 +140,8 @@ def score_images(
     threshold: float | None = None,
     batch: int | None = None,
     batch_bytes: int = BATCH_BYTES,
+    profile: ResourceProfile | None = None,
+    barrier: bool = False,
 ) -> DataFrame:
     """Detections of every image, and one row per image with its size.
 
@@ -155,7 +158,12 @@ def score_images(
     A ``conf`` column in ``images`` overrides the argument image by image.
     Failures are caught per image and land in the ``error`` of its row: what the
     model raises, and masks that are not two-dimensional or differ in shape. So
-    one bad file never fails a task. ``weights`` is what ``ship_weights`` gave,
+    one bad file never fails a task.
+
+    ``profile`` holds the resources of the scoring stage alone, such as
+    accelerators and memory; the stages before and after keep the session's.
+    ``barrier`` starts the stage's tasks together, for models that span tasks:
+    there must be a slot for each partition. ``weights`` is what ``ship_weights`` gave,
     or a path that every node can open.
     """
     limit = F.col("conf") if "conf" in images.columns else F.lit(conf)
@@ -164,7 +172,7 @@ def score_images(
     token = weights.token if isinstance(weights, Shipped) else f"{_identity(load)}:{weights}"
 
     def image_of(row: dict) -> np.ndarray:
-        return _as_bgr(row["data"], row["height"], row["width"], row["n_channels"])
+        return _as_bgr(row["data"], row["height"], row["width"], row["n_channels"], row.get("decode_error"))
 
     def checked(detected) -> list[tuple[float, np.ndarray]]:
         found = [(float(c), np.asarray(m, np.float32)) for c, m in detected]
@@ -236,10 +244,11 @@ def score_images(
         if rows:
             yield _batch(rows, layout)
 
-    given = images.select("image_id", "height", "width", "n_channels", "data", limit.alias("conf"))
+    known = [c for c in ("decode_error",) if c in images.columns]
+    given = images.select("image_id", "height", "width", "n_channels", "data", limit.alias("conf"), *known)
     if batch is not None:
         given = given.sortWithinPartitions("height", "width", "n_channels")
-    return given.mapInArrow(score, layout)
+    return given.mapInArrow(score, layout, barrier=barrier, profile=profile)
 
 
 def detections_of(scored: DataFrame) -> DataFrame:

@@ -422,6 +422,20 @@ counted AS (
         select="""SELECT 'frame_' || image_id || '.bmp' AS file, height, width, 3 AS n_channels,
   sum((image_id * 31 + y * 7 + x * 3 + c * 11) % 256)::BIGINT AS byte_sum
   FROM grid, unnest([0, 1, 2]) AS k(c) GROUP BY image_id, height, width""",
+    ),
+    "decoded_scan": _query(
+        FRAMES, GRID,
+        """summed AS (
+  SELECT image_id, sum((image_id * 31 + y * 7 + x * 3 + c * 11) % 256)::BIGINT AS byte_sum
+  FROM grid, unnest([0, 1, 2]) AS k(c) GROUP BY image_id),
+told AS (
+  SELECT *, CASE WHEN image_id % 2 = 0 THEN NULL WHEN image_id % 7 = 5 THEN 'image could not be decoded'
+    WHEN image_id % 7 = 3 THEN 'raw: more than 1048576 bytes of pixels' END AS decode_error FROM frame)""",
+        select="""SELECT 'frame_' || image_id || CASE WHEN image_id % 2 = 0 THEN '.tiff' ELSE '.webp' END AS file,
+  CASE WHEN decode_error IS NULL THEN height END AS height, CASE WHEN decode_error IS NULL THEN width END AS width,
+  CASE WHEN decode_error IS NULL THEN 3 END AS n_channels,
+  CASE WHEN decode_error IS NULL THEN byte_sum END AS byte_sum, decode_error
+  FROM told JOIN summed USING (image_id)""",
     ),
     "stream_ingest": _query(
         FRAMES,

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +137,8 @@ def run(
     weights: str,
     out_dir: str,
     params: OverlayParams = OverlayParams(),
+    batch: int | None = None,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Score, paint and report ``images`` (with ``out_path``); returns the report.
 
@@ -149,7 +152,7 @@ def run(
     branch reads that table, and it is deleted at the end. The files appear all together. Failed images
     get a report row and no overlay: those the model failed on or gave malformed
     masks for, those without an ``out_path``, and those that share one. Images that share an ``image_id`` cannot be told apart and end
-    the job.
+    the job. ``batch`` and ``profile`` are those of ``score_images``.
     """
     spark = images.sparkSession
     if not output_collisions(images, "image_id").isEmpty():
@@ -161,7 +164,7 @@ def run(
     path = new_dir(spark, "scored")
     scored = durable(
         scoring.score_images(
-            filled, load, shipped, params.conf, params.imgsz, params.threshold
+            filled, load, shipped, params.conf, params.imgsz, params.threshold, batch, profile=profile
         ),
         "scored",
         path,

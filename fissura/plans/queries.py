@@ -9,6 +9,7 @@ from fissura.functions import names, params
 from fissura.operators import masks, outline, paint, report, scoring, validation
 from fissura.plans import fixtures as fx
 from fissura.plans.overlay import OverlayParams, fitted_mask, overlay, run
+from fissura.sources.decoders import Decoder, decode_others
 from fissura.sources.images import scan_images
 from fissura.sources.sinks import write_files, write_image_files, write_scanlines
 from fissura.storage import durable, new_dir
@@ -299,6 +300,42 @@ def image_scan(spark, sf_dir):
     return pixels.groupBy(*keys).agg(F.sum(F.conv("v", 16, 10).cast("bigint")).alias("byte_sum"))
 
 
+def _raw_pixels(content: bytes) -> np.ndarray:
+    height, width = np.frombuffer(content[4:12], ">u4")
+    return np.frombuffer(content, np.uint8, offset=12).reshape(height, width, 3)
+
+
+#: A format without compression: a mark, height and width, B,G,R bytes.
+RAW = Decoder(
+    "raw", ((0, b"RAWF"),), _raw_pixels, lambda head: (*(int(v) for v in np.frombuffer(head[4:12], ">u4")), 3)
+)
+
+
+def decoded_scan(spark, sf_dir):
+    """Files of a format of the caller's beside BMP under the wrong name, junk and a huge picture."""
+    i, number = F.col("image_id"), lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    frames = fx.frame_images(spark, sf_dir).withColumn("stem", F.concat(F.lit("frame_"), i.cast("string")))
+    told = F.when(i % 7 == 3, F.lit(1 << 20)).otherwise(F.col("height"))
+    raw = F.concat(F.lit("RAWF").cast("binary"), number(told), number("width"), F.col("data"))
+    content = F.when(i % 7 == 5, F.lit("junk").cast("binary")).otherwise(raw)
+    directory = new_dir(spark, "formats")
+    write_files(
+        frames.filter("image_id % 2 = 1").select(F.concat("stem", F.lit(".webp")).alias("name"), content.alias("content")),
+        f"{directory}/raw",
+    )
+    write_image_files(
+        frames.filter("image_id % 2 = 0").withColumn("name", F.concat("stem", F.lit(".tiff"))), f"{directory}/bmp"
+    )
+    images = decode_others(scan_images(spark, f"{directory}/*"), [RAW], most_bytes=1 << 20)
+    values = F.split(F.regexp_replace(F.hex("data"), "(..)(?!$)", "$1,"), ",")
+    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda s, v: s + F.conv(v, 16, 10).cast("bigint"))
+    there = lambda c: F.when(F.col("height") > 0, c)
+    return images.select(
+        _file_name("path"), there(F.col("height")).alias("height"), there(F.col("width")).alias("width"),
+        there(F.col("n_channels")).alias("n_channels"), there(total).alias("byte_sum"), "decode_error",
+    )
+
+
 def overlay_sink(spark, sf_dir):
     images = _frames_with_conf(spark, sf_dir)
     lines = overlay(images, fx.frame_detections(spark, sf_dir), FRAME).lines
@@ -437,6 +474,7 @@ ALL = {
         scored_batches,
         result_pairs,
         image_scan,
+        decoded_scan,
         overlay_sink,
         file_manifest,
         stream_ingest,
