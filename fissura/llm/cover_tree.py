@@ -1,13 +1,16 @@
 """Near-duplicate vectors by dual traversal of cover trees.
 
 Vectors of one label are points on the unit sphere. Equal ones are one point
-with a count. Points are dealt to cells around centres, the tree's upper level;
-a pair of cells is kept only if their centres are no further apart than both
-covering radii and the threshold together. Within a pair of cells two trees are
-built, whose levels halve the radius, and walked together: a pair of nodes that
-the same bound rules out goes as a whole, a pair that lies within the threshold
-as a whole is taken as a whole, any other is replaced by its children. Points
-that are left are compared by cosine in double precision, so the result is exact.
+with a count. The upper levels of the tree are tables: a label is a cell, and
+each level deals the points of cells that are too large for a task to children
+around centres half the cell's radius apart. Pairs of cells go down together:
+the children of a pair are paired only if their centres are no further apart
+than both covering radii and the threshold together, and a pair that lies within
+the threshold as a whole is taken as a whole. So points of no pair are compared,
+or even copied, before radii have told where they may link. Within a pair of
+small cells two trees are built, whose levels halve the radius, and walked by
+the same rules. Points that are left are compared by cosine in double precision,
+so the result is exact.
 
 A task returns, per point, how many vectors it is linked with, and a spanning
 part of the links. Pairs are never emitted.
@@ -19,15 +22,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fissura.llm.graph import components
 from fissura.llm.shared import stored
 
-CELL = 1024  # points a cell has on average, and a shard of one at most about twice
-SAMPLE = 64  # centres of a label at most
-LEVELS = 7  # radii 1, 1/2, ... 1/64
+CELL = 1024  # cells of more than twice as many points are split
+FAN = 32  # children of a cell, on average at most
+FEW = 4  # children that are worth a level
+PART = 16_384  # points of a cell that one task deals to its children
+MOST_LEVELS = 60  # of cells; each divides large ones by FAN or so
+LEVELS = 7  # radii 1, 1/2, ... 1/64 of the trees within a task
+TINY = 1e-18  # squared distance of centres that are one direction
 SLACK = 1e-9  # on bounds, far above rounding errors and far below the distances told apart
 
 
@@ -40,7 +49,7 @@ class Node:
         self.centre, self.radius, self.children, self.points = centre, radius, children, points
 
 
-def build(x: np.ndarray, points: np.ndarray, level: int = 0, leaf: int = 24) -> Node:
+def build(x: np.ndarray, points: np.ndarray, level: int = 0, leaf: int = 64) -> Node:
     """The cover tree of ``x[points]``; the first point is the centre."""
     centre = x[points[0]]
     away = np.sqrt(np.maximum(((x[points] - centre) ** 2).sum(axis=1), 0))
@@ -137,117 +146,129 @@ def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors / norm[:, None], norm
 
 
-def _centres(points: DataFrame, cell: int, most: int) -> dict:
-    """By label, the centres of cells: points drawn by hash, about one for ``cell`` points."""
-    sizes = {r["label"]: r["count"] for r in points.groupBy("label").count().collect()}
-    share = F.lit(0)
-    for label, n in sizes.items():
-        wanted = min(most, -(-n // cell))
-        share = F.when(F.col("label") == label, F.lit(-(-wanted * (1 << 30) // n))).otherwise(share)
-    drawn = points.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share)
-    centres: dict = {label: [] for label in sizes}
-    for r in drawn.select("label", "vector").collect():  # about ``most`` of each label
-        centres[r["label"]].append(r["vector"])
-    first = points.groupBy("label").agg(F.min_by("vector", "id").alias("vector")).collect()
-    for r in first:
-        centres[r["label"]] = _unit(np.array(centres[r["label"]] or [r["vector"]], np.float64))[0]
-    return centres
+@F.arrow_udf(T.DoubleType())
+def _apart(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Distance of two vectors of one length, row by row."""
+    starts = np.cumsum([0, *pc.list_value_length(a).to_pylist()])[:-1]
+    gap = (a.flatten().to_numpy() - b.flatten().to_numpy()) ** 2
+    return pa.array(np.sqrt(np.add.reduceat(gap, starts)) if len(starts) else np.zeros(0))
 
 
-def link_vectors(
-    df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    cell: int = CELL, most: int = SAMPLE,
-) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row of ``df``.
+def _rows(table: pa.Table, column: str) -> np.ndarray:
+    lists = table.column(column).combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
-    Vectors of one label link when their cosine in double precision is at least
-    ``cosine``. Null vectors or labels, zero vectors, and those with null, NaN
-    or infinite components link with nothing; vectors of different lengths do
-    not link. A component is named by its smallest id, and ``kept`` marks that
-    row. Repeated rows link like other copies, each a vector of its own; a null
-    id links with nothing and has a null component. An empty table gives no
-    rows; other columns are ignored. Labels are taken to be few.
+
+def _net(table: pa.Table) -> pa.Table:
+    """Of the points drawn from one cell, the centres of its children.
+
+    They are half the cell's radius apart; but where that leaves few, as in a
+    cell that is dense in one place, all are taken, so that every level gets on.
     """
-    spark = df.sparkSession
-    rows = df.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
-    )
-    bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    usable = (
-        rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull())
-        .filter(~bad & F.exists("vector", lambda v: v != 0))
-        .withColumn("vector", F.transform("vector", lambda v: v + 0.0))  # -0.0 equals 0.0
+    order = np.argsort(table.column("draw").to_numpy(), kind="stable")
+    x = _unit(_rows(table, "vector"))[0][order]
+    reach, net = table.column("radius")[0].as_py() / 2, []
+    for k in range(len(x)):
+        if not net or ((x[net] - x[k]) ** 2).sum(axis=1).min() > reach * reach:
+            net.append(k)
+    x = x[net] if len(net) >= FEW else x
+    return pa.table(
+        {"parent": [table.column("cell")[0].as_py()] * len(x), "child": np.arange(len(x)), "centre": list(x)},
+        schema=pa.schema([("parent", pa.int64()), ("child", pa.int64()), ("centre", pa.list_(pa.float64()))]),
     )
-    copies = stored(
-        usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("count")), "points"
+
+
+POINTS = "id long, vector array<double>, count long, cell long, away double"
+
+
+def _deal(points: pa.Table, centres: pa.Table) -> pa.Table:
+    """Part of a cell's points, each to the nearest child."""
+    if len(points) and len(centres):
+        x, c = _unit(_rows(points, "vector"))[0], _rows(centres, "centre")
+        ids = points.column("id").to_numpy()
+        if ((c - c[0]) ** 2).sum(axis=1).max() > TINY:
+            own = np.maximum(2 - 2 * x @ c.T, 0).argmin(axis=1)
+        else:  # one direction in many lengths: any part will do
+            own = (ids.view(np.uint64) % np.uint64(len(c))).astype(np.int64)
+        cells = centres.column("cell").to_numpy()[own]
+        away = np.sqrt(((x - c[own]) ** 2).sum(axis=1))
+        points = points.set_column(points.schema.get_field_index("cell"), "cell", pa.array(cells))
+        points = points.set_column(points.schema.get_field_index("away"), "away", pa.array(away))
+    elif not len(points):
+        points = points.slice(0, 0)
+    return points.select(["id", "vector", "count", "cell", "away"])
+
+
+def _split(points: DataFrame, large: DataFrame, level: int, cell: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """The points with those of large cells dealt to children, and ``parent, cell, centre`` of these.
+
+    A cell has about ``fan`` children at most, drawn by a hash of the points. Its
+    points meet them in parts of bounded size, so no cell is one task's work.
+    """
+    wanted = F.least(F.lit(fan), F.greatest(F.lit(2 * FEW), F.ceil(F.col("n") * 4 / cell)))
+    marks = large.select("cell", "n", "radius", wanted.alias("wanted"), F.ceil(F.col("n") / PART).alias("parts"))
+    tagged = points.join(marks, "cell")
+    draw = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 40))
+    drawn = tagged.withColumn("draw", draw).filter(F.col("draw") * F.col("n") < F.col("wanted") * F.lit(1 << 40).cast("double"))
+    nets = drawn.select("cell", "radius", "draw", "vector").groupBy("cell").applyInArrow(
+        _net, "parent long, child long, centre array<double>"
     )
-    # Vectors of another length never link, so the length is part of the key.
-    key = F.concat_ws("/", F.col("label").cast("string"), F.size("vector").cast("string"))
-    points = copies.select(F.col("rep").alias("id"), key.alias("label"), "vector", "count")
-    centres = spark.sparkContext.broadcast(_centres(points, cell, most))
-
-    def place(batches):
-        for batch in batches:
-            cells, away = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            vectors = batch.column("vector").to_pylist()
-            groups: dict = {}
-            for k, key in enumerate(batch.column("label").to_pylist()):
-                groups.setdefault(key, []).append(k)
-            for key, at in groups.items():
-                x, c = _unit(np.array([vectors[k] for k in at], np.float64))[0], centres.value[key]
-                gap = np.maximum(2 - 2 * x @ c.T, 0)
-                cells[at] = gap.argmin(axis=1)
-                away[at] = np.sqrt(((x - c[cells[at]]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
-
-    placed = stored(
-        points.mapInArrow(place, "id long, label string, vector array<double>, count long, cell long, away double"), "cells"
+    nets = stored(nets.select("parent", F.xxhash64("parent", "child").alias("cell"), "centre"), "centres")
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    copies = marks.select(F.col("cell").alias("parent"), parts.alias("part")).join(nets, "parent")
+    mine = tagged.select(
+        F.col("cell").alias("parent"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).alias("part"),
+        "id", "vector", "count", "cell", "away",
+    )
+    dealt = mine.groupBy("parent", "part").cogroup(copies.groupBy("parent", "part")).applyInArrow(_deal, POINTS)
+    rest = points.join(marks, "cell", "left_anti").select("id", "vector", "count", "cell", "away")
+    return stored(dealt.union(rest), "level"), nets
+
+
+def _cells(points: DataFrame) -> DataFrame:
+    return points.groupBy("cell").agg(
+        (F.max("away") + SLACK).alias("radius"), F.count("*").alias("n"), F.sum("count").alias("weight"), F.min("id").alias("low")
     )
-    spans = placed.groupBy("label", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()
-    cells: dict = {}
-    for r in spans:  # at most ``most`` of each label
-        cells.setdefault(r["label"], []).append((r["cell"], r["radius"], -(-r["n"] // (2 * cell))))
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    jobs = []
-    for label, some in cells.items():
-        c = centres.value[label]
-        for u, (i, r, m) in enumerate(some):
-            for j, s, n in some[u:]:
-                if i == j or np.sqrt(((c[i] - c[j]) ** 2).sum()) <= r + s + reach + SLACK:
-                    jobs.append((label, i, m, j, n))
-    if not jobs:
-        none = F.lit(0).cast("long")
-        return rows.select(
-            F.col("id").alias("vec_id"), none.alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
-        )
-    plan = spark.createDataFrame(jobs, "label string, i long, m long, j long, n long")
-    # Cells are split in shards; a task has two shards at most.
-    one = plan.select("label", F.col("i").alias("cell"), "i", "m", "j", "n", F.lit(True).alias("first"))
-    two = plan.filter("i <> j").select("label", F.col("j").alias("cell"), "i", "m", "j", "n", F.lit(False).alias("first"))
-    shard = lambda k: F.pmod(F.xxhash64("id", F.lit(11)), F.col(k))
-    every = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
-    tasks = placed.join(one.union(two), ["label", "cell"])
-    # Of a cell with itself, shard pairs u <= v: a shard meets v >= u as the first and u <= v as the second.
-    mine = tasks.withColumn("own", F.when(F.col("first"), shard("m")).otherwise(shard("n")))
-    inner = F.transform(every("m"), lambda v: F.struct(F.least(F.col("own"), v).alias("u"), F.greatest(F.col("own"), v).alias("v")))
-    outer = F.when(
-        F.col("first"), F.transform(every("n"), lambda v: F.struct(F.col("own").alias("u"), v.alias("v")))
-    ).otherwise(F.transform(every("m"), lambda u: F.struct(u.alias("u"), F.col("own").alias("v"))))
-    dealt = mine.withColumn("at", F.explode(F.when(F.col("i") == F.col("j"), inner).otherwise(outer))).select(
-        "label", "i", "j", F.col("at.u").alias("u"), F.col("at.v").alias("v"), "id", "vector", "count",
-        F.when(F.col("i") == F.col("j"), F.col("own") == F.col("at.u")).otherwise(F.col("first")).alias("left"),
+
+
+def _expanded(pairs: DataFrame, children: DataFrame, reach: float) -> DataFrame:
+    """Pairs of children of paired cells that the covering radii do not rule out; ``whole`` where all link."""
+    side = lambda s: children.select(*(F.col(c).alias(c + s) for c in children.columns))
+    both = pairs.join(side("1"), F.col("a") == F.col("parent1")).join(side("2"), F.col("b") == F.col("parent2"))
+    both = both.filter((F.col("a") != F.col("b")) | (F.col("cell1") <= F.col("cell2")))
+    radii = F.col("radius1") + F.col("radius2")
+    both = both.withColumn("apart", _apart("centre1", "centre2")).filter(F.col("apart") <= radii + reach + SLACK)
+    return both.filter((F.col("cell1") != F.col("cell2")) | (F.col("n1") > 1)).select(
+        F.col("cell1").alias("a"), F.col("cell2").alias("b"), (F.col("apart") + radii < reach - SLACK).alias("whole"),
+        "weight1", "weight2", F.least("low1", "low2").alias("low"),
     )
 
+
+def _whole_links(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, links, low`` of the points in pairs of cells that link as a whole."""
+    same = F.col("a") == F.col("b")
+    one = pairs.select(F.col("a").alias("cell"), F.col("weight2").alias("weight"), "low", same.cast("long").alias("own"))
+    two = pairs.filter(~same).select(F.col("b").alias("cell"), F.col("weight1").alias("weight"), "low", F.lit(0).cast("long").alias("own"))
+    of_cell = one.union(two).groupBy("cell").agg(
+        F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("own").alias("own")
+    )
+    return points.join(of_cell, "cell").select(
+        "id", (F.col("weight") - F.col("own") * F.col("count")).alias("links"), "low"
+    )
+
+
+def _compare(cosine: float):
+    """The work on one pair of cells: two trees, or one with itself."""
+
     def compare(table: pa.Table) -> pa.Table:
-        vectors = table.column("vector").combine_chunks()
-        raw = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        raw = _rows(table, "vector")
         x, norm = _unit(raw)
         ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
         links = Links(table.column("count").to_numpy())
         if left.all():
             tree = build(x, np.arange(len(ids)))
             traverse(x, raw, norm, tree, tree, cosine, links)
-        elif left.any():
+        else:
             trees = [build(x, np.flatnonzero(side)) for side in (left, ~left)]
             traverse(x, raw, norm, *trees, cosine, links)
         at = np.flatnonzero(links.found)
@@ -260,7 +281,77 @@ def link_vectors(
             schema=pa.schema([("id", pa.int64()), ("links", pa.int64()), ("low", pa.int64())]),
         )
 
-    found = stored(dealt.groupBy("label", "i", "j", "u", "v").applyInArrow(compare, "id long, links long, low long"), "links")
+    return compare
+
+
+def _links(points: DataFrame, cosine: float, cell: int, fan: int) -> DataFrame:
+    """``id, links, low``, in parts, of ``points (id, vector, count, cell)``, a cell for each label."""
+    reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+    points = stored(points.withColumn("away", F.lit(2.0)).select("id", "vector", "count", "cell", "away"), "level")
+    first = points.groupBy("cell").agg(F.min_by("vector", "id").alias("centre"))
+    norm = F.sqrt(F.aggregate("centre", F.lit(0.0), lambda s, v: s + v * v))
+    known = first.withColumn("norm", norm).select("cell", F.transform("centre", lambda v: v / F.col("norm")).alias("centre"))
+    cells = stored(_cells(points).join(known, "cell"), "cells")
+    pairs = stored(cells.select(F.col("cell").alias("a"), F.col("cell").alias("b")), "pairs")
+    found = []
+    for level in range(MOST_LEVELS):
+        alive = pairs.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
+        large = stored(cells.join(alive, "cell", "left_semi").filter(F.col("n") > 2 * cell), "large")
+        if large.isEmpty():
+            break
+        # What is in no pair any more stays behind.
+        points, nets = _split(points.join(alive, "cell", "left_semi"), large, level, cell, fan)
+        sizes = stored(_cells(points), "sizes")
+        new = sizes.join(nets, "cell").select("parent", *sizes.columns, "centre")
+        # A cell that is small, or whose draw was empty, is its own child.
+        old = cells.join(sizes.select("cell"), "cell", "left_semi").select(F.col("cell").alias("parent"), *sizes.columns, "centre")
+        children = stored(new.union(old), "cells")
+        cells = children.drop("parent")
+        both = stored(_expanded(pairs, children, reach), "expanded")
+        found.append(_whole_links(points, both.filter("whole")))
+        pairs = both.filter("not whole").select("a", "b")
+    else:
+        raise RuntimeError("cells did not get small")
+    one = pairs.select(F.col("a").alias("cell"), "a", "b", F.lit(True).alias("left"))
+    two = pairs.filter("a <> b").select(F.col("b").alias("cell"), "a", "b", F.lit(False).alias("left"))
+    met = points.join(one.union(two), "cell").select("a", "b", "left", "id", "vector", "count")
+    some = met.groupBy("a", "b").applyInArrow(_compare(cosine), "id long, links long, low long")
+    for part in found:
+        some = some.union(part)
+    return stored(some, "links")
+
+
+def link_vectors(
+    df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    cell: int = CELL, fan: int = FAN,
+) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row of ``df``.
+
+    Vectors of one label link when their cosine in double precision is at least
+    ``cosine``. Null vectors or labels, zero vectors, and those with null, NaN
+    or infinite components link with nothing; vectors of different lengths do
+    not link. A component is named by its smallest id, and ``kept`` marks that
+    row. Repeated rows link like other copies, each a vector of its own; a null
+    id links with nothing and has a null component. An empty table gives no
+    rows; other columns are ignored. Nothing is collected to the driver; cells of
+    more than ``2 * cell`` points are split, level by level, into ``fan`` at most or so.
+    """
+    rows = df.select(
+        F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
+    )
+    bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    usable = (
+        rows.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull())
+        .filter(~bad & F.exists("vector", lambda v: v != 0))
+        .withColumn("vector", F.transform("vector", lambda v: v + 0.0))  # -0.0 equals 0.0
+    )
+    copies = stored(
+        usable.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("count")), "points"
+    )
+    # Vectors of another length never link, so the length is part of the key.
+    key = F.concat_ws("/", F.col("label").cast("string"), F.size("vector").cast("string"))
+    points = copies.select(F.col("rep").alias("id"), "vector", "count", F.xxhash64(key).alias("cell"))
+    found = _links(points, cosine, cell, fan)
     comps = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = (

@@ -128,6 +128,36 @@ def test_vectors_equal_brute_force(spark, cell):
     assert cover_tree.link_vectors(df.limit(0), 0.93).collect() == []
 
 
+def test_levels_of_cells_equal_brute_force(spark, monkeypatch):
+    """A dense cluster, one direction in many lengths, clusters at the threshold and outliers, split to small cells."""
+    monkeypatch.setattr(cover_tree, "PART", 50)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(4, 12))
+    x = np.concatenate([
+        centres[0] + rng.normal(size=(150, 12)) * 0.005, centres[1] * rng.uniform(0.1, 9, size=(80, 1)),
+        centres[2] + rng.normal(size=(120, 12)) * 0.25, centres[3] + rng.normal(size=(60, 12)) * 0.15, rng.normal(size=(40, 12)),
+    ])
+    x = x[rng.permutation(len(x))]
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    comp = joined([(int(a), int(b)) for a, b in np.argwhere(linked)], range(len(x)))
+    want = {i: (int(linked[i].sum()), comp[i]) for i in range(len(x))}
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = cover_tree.link_vectors(df, 0.93, cell=10, fan=8).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+    assert len(got) == len(x)
+
+
+def test_pairs_within_the_threshold_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.ones((300, 8)) + rng.normal(size=(300, 8)) * 0.001
+    points = spark.createDataFrame([(i, v.tolist(), 1, 5) for i, v in enumerate(x)], "id long, vector array<double>, count long, cell long")
+    monkeypatch.setattr(cover_tree, "_compare", lambda cosine: lambda table: table.select([]).slice(0, len(table) // 0))
+    rows = cover_tree._links(points, 0.93, 20, 8).groupBy("id").sum("links").collect()
+    assert {r["sum(links)"] for r in rows} == {299} and len(rows) == 300
+
+
 def test_fingerprints(documents, nothing):
     rows = fingerprint_documents(documents).collect()
     assert len(rows) == len(TEXTS)
