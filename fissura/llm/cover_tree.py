@@ -30,11 +30,13 @@ from pyspark.sql import types as T
 from fissura.llm.graph import components
 from fissura.llm.shared import stored
 
-CELL = 1024  # cells of more than twice as many points are split
+CELL = 4096  # cells of more than twice as many points are split
 FAN = 32  # children of a cell, on average at most
 FEW = 4  # children that are worth a level
 PART = 16_384  # points of a cell that one task deals to its children
 MOST_LEVELS = 60  # of cells; each divides large ones by FAN or so
+LEAF = 512  # points of a tree's leaf
+CHILDREN = 16  # of a node of a tree
 LEVELS = 7  # radii 1, 1/2, ... 1/64 of the trees within a task
 TINY = 1e-18  # squared distance of centres that are one direction
 SLACK = 1e-9  # on bounds, far above rounding errors and far below the distances told apart
@@ -49,20 +51,36 @@ class Node:
         self.centre, self.radius, self.children, self.points = centre, radius, children, points
 
 
-def build(x: np.ndarray, points: np.ndarray, level: int = 0, leaf: int = 64) -> Node:
-    """The cover tree of ``x[points]``; the first point is the centre."""
+def build(x: np.ndarray, points: np.ndarray, level: int = 0, leaf: int = LEAF) -> Node:
+    """The cover tree of ``x[points]``; the first point is the centre.
+
+    Centres of children are apart by the radius of the level. Where points are so
+    spread that there were many, those beyond ``CHILDREN`` go to the nearest; all
+    radii are measured, so bounds hold.
+    """
     centre = x[points[0]]
     away = np.sqrt(np.maximum(((x[points] - centre) ** 2).sum(axis=1), 0))
     radius = float(away.max()) + SLACK
     if len(points) <= leaf or level >= LEVELS or radius <= 2 * SLACK:
         return Node(centre, radius, None, points)
-    children, left, reach = [], points, 0.5**level
-    while len(left):
-        near = ((x[left] - x[left[0]]) ** 2).sum(axis=1) <= reach * reach
-        near[0] = True
-        children.append(build(x, left[near], level + 1, leaf))
-        left = left[~near]
-    return children[0] if len(children) == 1 else Node(centre, radius, children, points)
+    reach = 0.5**level
+    net, nearest = [], np.full(len(points), np.inf)
+    own = np.zeros(len(points), np.int64)
+    while len(net) < CHILDREN and (far := nearest > reach * reach).any():
+        k = int(far.argmax())
+        gap = ((x[points] - x[points[k]]) ** 2).sum(axis=1)
+        gap[k] = -1.0  # its own, also beside an equal one
+        closer = gap < nearest
+        own[closer], nearest[closer] = len(net), gap[closer]
+        net.append(k)
+    if len(net) == 1:
+        return build(x, points, level + 1, leaf)
+    children = []
+    for c, k in enumerate(net):
+        mine = np.flatnonzero(own == c)
+        first = points[[k]]
+        children.append(build(x, np.concatenate([first, points[mine[mine != k]]]), level + 1, leaf))
+    return Node(centre, radius, children, points)
 
 
 class Links:
@@ -101,9 +119,18 @@ class Links:
         self.found[a] += linked @ self.counts[b]
         if not same:
             self.found[b] += self.counts[a] @ linked
-        for i, j in np.argwhere(linked).tolist():
-            if not same or i < j:
-                self.join(int(a[i]), int(b[j]))
+        p, q = np.nonzero(linked)
+        tops = [self.tops(a)[p], self.tops(b)[q]]
+        # Points that are joined already are most of those in a dense place.
+        pairs = np.unique(np.sort(np.stack(tops)[:, tops[0] != tops[1]], axis=0), axis=1)
+        for i, j in pairs.T.tolist():
+            self.join(i, j)
+
+    def tops(self, points: np.ndarray) -> np.ndarray:
+        found = self.root[points]
+        while (self.root[found] != found).any():
+            found = self.root[found]
+        return found
 
 
 def traverse(x: np.ndarray, raw: np.ndarray, norm: np.ndarray, one: Node, two: Node, cosine: float, links: Links) -> None:
@@ -205,7 +232,7 @@ def _split(points: DataFrame, large: DataFrame, level: int, cell: int, fan: int)
     A cell has about ``fan`` children at most, drawn by a hash of the points. Its
     points meet them in parts of bounded size, so no cell is one task's work.
     """
-    wanted = F.least(F.lit(fan), F.greatest(F.lit(2 * FEW), F.ceil(F.col("n") * 4 / cell)))
+    wanted = F.least(F.lit(fan), F.greatest(F.lit(2 * FEW), F.ceil(F.col("n") * 2 / cell)))
     marks = large.select("cell", "n", "radius", wanted.alias("wanted"), F.ceil(F.col("n") / PART).alias("parts"))
     tagged = points.join(marks, "cell")
     draw = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 40))

@@ -149,6 +149,24 @@ def test_levels_of_cells_equal_brute_force(spark, monkeypatch):
     assert len(got) == len(x)
 
 
+@pytest.mark.parametrize("leaf", [6, 512])
+def test_trees_equal_brute_force(leaf):
+    rng = np.random.default_rng(8)
+    raw = np.concatenate([
+        rng.normal(size=(900, 20)), rng.normal(size=(9, 20)).repeat(70, axis=0) + rng.normal(size=(630, 20)) * 0.2,
+    ])
+    x, norm = cover_tree._unit(raw)
+    links = cover_tree.Links(np.ones(len(x), np.int64))
+    sides = [cover_tree.build(x, p, leaf=leaf) for p in np.array_split(rng.permutation(len(x)), 2)]
+    for one, two in ((0, 0), (0, 1), (1, 1)):
+        cover_tree.traverse(x, raw, norm, sides[one], sides[two], 0.93, links)
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    comp = joined([(int(a), int(b)) for a, b in np.argwhere(linked)], range(len(x)))
+    assert links.found.tolist() == linked.sum(axis=1).tolist()
+    assert [links.top(i) for i in range(len(x))] == [comp[i] for i in range(len(x))]
+
+
 def test_pairs_within_the_threshold_are_not_compared(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = np.ones((300, 8)) + rng.normal(size=(300, 8)) * 0.001
